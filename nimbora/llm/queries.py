@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import licenses
+from nimbora.llm import licenses, quality
 from nimbora.llm.common import table
 
 
@@ -33,9 +33,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan}
+    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
