@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import licenses, quality
+from nimbora.llm import licenses, quality, urls
 from nimbora.llm.common import table
 
 
@@ -40,9 +40,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL."""
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules}
+    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
