@@ -43,23 +43,26 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], rows_per_bucket: int = 20_000, n_rows: int | None = None) -> DataFrame:
-    """Adds ``rank_in_key``: 0, 1, 2, ... without gaps within each combination of ``keys``.
+def numbered(df: DataFrame, keys: list[str], order: list[str], sizes: dict, rows_per_bucket: int = 2_000) -> DataFrame:
+    """Adds ``rank_in_key``: 0, 1, 2, ... without gaps within each value of the one column in ``keys``.
 
-    A plain window over a hot key would put all its rows into one task. Here rows are dealt by a hash of ``order``
-    into buckets of about ``rows_per_bucket``; each (key, bucket) is numbered by itself and starts where the key's
-    earlier buckets end. ``order`` must tell rows apart; rows alike in it are interchangeable.
+    ``sizes`` gives the rows of each value; there must be few values. A plain window over a hot key would put all its
+    rows into one task, so each key's rows are dealt, by a hash of ``order``, into as many buckets as its size asks for.
+    Each bucket is numbered by itself and starts where the key's earlier buckets end. ``order`` should tell rows apart;
+    rows alike in it are interchangeable.
     """
-    total = df.count() if n_rows is None else n_rows
-    buckets = max(1, -(-total // rows_per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    (key,) = keys
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    shares = spark.createDataFrame([(k, max(1, -(-n // rows_per_bucket))) for k, n in sizes.items()], f"{key} {kind}, _buckets long")
+    dealt = df.join(F.broadcast(shares), key).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets")
+    filled = dealt.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = filled.select(key, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(key, "_bucket").orderBy(*order)
     placed = dealt.withColumn("_row", F.row_number().over(inner) - 1)
     return (
-        placed.join(starts, [*keys, "_bucket"])
+        placed.join(starts, [key, "_bucket"])
         .withColumn("rank_in_key", (F.col("_row") + F.col("_start")).cast("long"))
         .drop("_row", "_start", "_bucket")
     )

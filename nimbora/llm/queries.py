@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import licenses, quality, urls
+from nimbora.llm import licenses, packing, quality, urls
 from nimbora.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _joined(labels) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
@@ -46,9 +53,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 1024 tokens."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter}
+    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
