@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import bpe, licenses, packing, quality, urls
+from nimbora.llm import bpe, languages, licenses, packing, quality, urls
 from nimbora.llm.common import table
 
 
@@ -71,9 +71,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", languages.held_out(F.col("doc_id")))
+    found = languages.identify_languages(docs.select("doc_id", "text", "held_out"), docs.where("NOT held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing}
+    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
