@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import bpe, languages, licenses, packing, quality, urls
+from nimbora.llm import bpe, languages, licenses, packing, quality, sharding, urls
 from nimbora.llm.common import table
 
 
@@ -65,6 +65,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, under the law of equal bytes."""
+    put = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document's pieces in sequences of 1024 tokens."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
@@ -80,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
+    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
