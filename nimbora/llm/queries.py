@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import bpe, languages, licenses, packing, quality, sharding, urls
+from nimbora.llm import bpe, jaccard, languages, licenses, packing, quality, sharding, urls
 from nimbora.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of similar shingle sets."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
+    return {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
