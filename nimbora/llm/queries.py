@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import bpe, jaccard, languages, licenses, packing, quality, sharding, urls
+from nimbora.llm import bpe, jaccard, languages, licenses, packing, quality, sharding, substrings, urls
 from nimbora.llm.common import table
 
 
@@ -52,6 +52,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the sentences that were said before."""
+    cleaned = substrings.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.col("removed").alias("removed_sentences"), "text")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -91,7 +97,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
+    return {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op5_substring_dedup": op5_substring_dedup, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
