@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import bpe, jaccard, languages, licenses, packing, quality, sharding, substrings, urls
+from nimbora.llm import bpe, jaccard, languages, licenses, packing, quality, search, sharding, substrings, urls
 from nimbora.llm.common import table
 
 
@@ -52,6 +52,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.top_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the sentences that were said before."""
     cleaned = substrings.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,9 +117,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op5_substring_dedup": op5_substring_dedup, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
+    return {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op4_exact_top_k": op4_exact_top_k, "op5_substring_dedup": op5_substring_dedup, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, for the queries that SQL expresses."""
-    return {}
+    return {"op4_exact_top_k": OP4_SQL}
