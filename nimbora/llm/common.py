@@ -43,6 +43,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fenced(df: DataFrame, passed: list[Column], computed: list[Column]) -> DataFrame:
+    """Selects both lists of columns, the second behind a generator.
+
+    A filter on a computed column would otherwise be moved below the projections that compute it, with their
+    expressions put into each other and evaluated many times.
+    """
+    return df.select(*passed, F.inline(F.array(F.struct(*computed))))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], sizes: dict, rows_per_bucket: int = 2_000) -> DataFrame:
     """Adds ``rank_in_key``: 0, 1, 2, ... without gaps within each value of the one column in ``keys``.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import whole_text
+from nimbora.llm.common import fenced, whole_text
 
 #: White space between words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -126,4 +126,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     total = F.aggregate(gains, F.lit(0.0), lambda a, x: a + x)
     scored = measure(clear).withColumn("llr", total / n_features).drop("_h")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+    return fenced(judged, [F.col(f"`{c}`") for c in clear.columns], [F.col(c) for c in measured])
