@@ -21,9 +21,6 @@ from nimbora.llm.common import materialise
 #: Words that a run of sentences must have.
 WORDS = 25
 
-#: Removed sentences are sent to all executors up to so many, else joined by a shuffle.
-BROADCAST_SENTENCES = 2_000_000
-
 #: A sentence: from a character that is no space to closing punctuation before a space, or to the line's end.
 SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s|$)|(?=\n)|$)")
 
@@ -106,10 +103,11 @@ def drop_repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     at = F.struct("doc_id", "first")
     repeated = materialise(places.groupBy("hash").agg(F.min(at).alias("home"), F.max(at).alias("far")).where("home <> far").select("hash", "home"))
     later = places.join(repeated, "hash").where(at != F.col("home"))
-    covered = later.select("doc_id", "first", "last").distinct().select("doc_id", F.explode(F.sequence("first", "last")).alias("sentence"))
-    gone = materialise(covered.groupBy("doc_id").agg(F.sort_array(F.collect_set("sentence")).alias("_removed")))
-    size = gone.agg(F.sum(F.size("_removed") + 1)).first()[0] or 0
-    joined = clear.join(F.broadcast(gone) if size <= BROADCAST_SENTENCES else gone, "doc_id", "left")
+    spans_gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
+    numbers = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["last"]))))
+    gone = materialise(spans_gone.select("doc_id", F.sort_array(numbers).alias("_removed")))
+    # always a shuffle: the removed sentences grow with the input
+    joined = clear.join(gone.hint("shuffle_merge"), "doc_id", "left")
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
