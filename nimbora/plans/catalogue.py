@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbora.plans import forecast_queries
+
+#: Modules that register queries.
+MODULES = ["forecast_queries"]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines by status, as a smoke query."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rate of badly wrong forecasts by region and lead."""
+    made = forecast_queries.labelled(spark, sf_dir)
+    return made.groupBy("region_id", "lead_time_days").agg(F.avg("y_bust").alias("bust_rate"), F.count(F.lit(1)).alias("n_events"))
+
+
+def _registries() -> list:
+    return [importlib.import_module(f"nimbora.plans.{m}").R for m in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {}
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {"bust_rate_by_lead": flagship}
+    for r in _registries():
+        found.update(r.queries)
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    found: dict[str, str] = {}
+    for r in _registries():
+        found.update(r.sql)
+    return found
