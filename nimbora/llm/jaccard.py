@@ -49,6 +49,9 @@ PER_ELEMENT, PARTS, SURE = 0.3, 256, 45
 #: Bits of the bit sketch, in words of 64.
 WORDS = 8
 
+#: Documents of a block that is compared with another.
+BLOCK = 512
+
 #: Ids are sent to all executors up to this number, else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -187,18 +190,68 @@ def _hamming(a: Column, b: Column) -> Column:
     return total
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bit sketches allow to link."""
     lean = sets.select("id", "n", "bits")
     left, right = (lean.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    near = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(left, "a").join(right, "b")
     sizes = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (_hamming(F.col("bits_a"), F.col("bits_b")) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT))
-    tested = materialise(near.where(sizes).select("a", "b", "n_a", "n_b"))
-    left, right = (sets.select(F.col("id").alias(k), F.col("elements").alias(f"set_{k}")) for k in "ab")
-    counted = tested.join(left, "a").join(right, "b").withColumn("shared", _shared("set_a", "set_b"))
+    return met.where(sizes).select("a", "b")
+
+
+def _linked(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    left, right = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("elements").alias(f"set_{k}")) for k in "ab")
+    counted = near.join(left, "a").join(right, "b").withColumn("shared", _shared("set_a", "set_b"))
     return counted.where(100 * F.col("shared") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct()
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a part's documents, the pairs of different components that sizes and bit sketches allow to link."""
+
+    def fields(items: pa.StructArray) -> tuple[np.ndarray, ...]:
+        bits = items.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(items), WORDS)
+        return (*(items.field(c).to_numpy() for c in ("rep", "component", "n")), bits)
+
+    for batch in batches:
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(batch.num_rows):
+            rep, component, n, bits = fields(batch.column("left")[i].values)
+            other, of_other, n_other, bits_other = fields(batch.column("right")[i].values)
+            names, sizes = np.unique(np.concatenate([component, of_other]), return_counts=True)
+            usual = names[sizes.argmax()]  # of two documents in different components one is outside the largest
+            for k, ids, of, own, sketch, ids_2, of_2, own_2, sketch_2 in (
+                *((k, rep, component, n, bits, other, of_other, n_other, bits_other) for k in np.flatnonzero(component != usual)),
+                *((k, other, of_other, n_other, bits_other, rep, component, n, bits) for k in np.flatnonzero(of_other != usual)),
+            ):
+                size = own[k] + own_2
+                fits = (of_2 != of[k]) & (100 * np.minimum(own[k], own_2) >= PERCENT * np.maximum(own[k], own_2))
+                differ = np.bitwise_count(sketch_2 ^ sketch[k]).sum(axis=1, dtype=np.int64)
+                fits &= differ * (100 + PERCENT) <= size * (100 - PERCENT)
+                found = ids_2[fits]
+                left.append(np.minimum(found, ids[k]))
+                right.append(np.maximum(found, ids[k]))
+        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a part and may link.
+
+    ``placed`` has part, rep and component. A part's documents are cut into blocks of bounded size; blocks meet blocks,
+    and only pairs that pass the bounds leave a task.
+    """
+    mixed = placed.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
+    blocks_of = mixed.select("part", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    lean = sets.select(F.col("id").alias("rep"), "n", "bits").dropDuplicates(["rep"])
+    members = placed.join(blocks_of, "part").join(lean, "rep")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    blocks = materialise(dealt.groupBy("part", "block").agg(F.collect_list(F.struct("rep", "component", "n", "bits")).alias("items")))
+    left = blocks.select("part", "block", F.col("items").alias("left"))
+    right = blocks.select("part", F.col("block").alias("block_2"), F.col("items").alias("right"))
+    return left.join(right, "part").where("block <= block_2").select("left", "right").mapInArrow(_block_pairs, "a long, b long").distinct()
+
+
 def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids`` (id)."""
     named = ids.select(F.col("id").alias("doc_id"))
@@ -234,16 +287,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sets = materialise(_restricted(texts, shared.select(F.col("rep").alias("id")).distinct()).mapInArrow(_set_rows, "id long, n long, bits array<bigint>, elements array<bigint>"))
     stars = materialise(shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a < b").distinct())
-    links = materialise(_linked(stars, sets))
+    links = materialise(_linked(materialise(_near(stars, sets)), sets))
     found = components(links)
 
-    placed = shared.join(found, shared["rep"] == found["id"], "left").select("part", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("part")
-    open_parts = materialise(placed.join(mixed, "part"))
-    left = open_parts.select("part", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-    right = open_parts.select("part", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    across = left.join(right, "part").where("a < b AND of_a <> of_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_linked(materialise(across), sets))
+    placed = materialise(shared.join(found, shared["rep"] == found["id"], "left").select("part", "rep", F.coalesce("component", "rep").alias("component")))
+    across = materialise(_across(placed, sets).join(stars, ["a", "b"], "left_anti"))
+    more = materialise(_linked(across, sets))
     if not more.isEmpty():
         found = components(links.union(more))
     result = members.join(found, members["rep"] == found["id"], "left")
