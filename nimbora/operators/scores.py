@@ -149,7 +149,7 @@ def pooled_adjacent(rows: DataFrame) -> DataFrame:
         fitted = [b[0] / b[1] for b in blocks for _ in range(int(b[2]))]
         return pd.DataFrame({"p": pdf["p"].to_numpy(), "fitted": fitted, "np": pdf["np"].to_numpy(), "nn": pdf["nn"].to_numpy()})
 
-    return histogram(rows).groupBy(F.lit(0)).applyInPandas(fit, "p double, fitted double, np long, nn long")
+    return histogram(rows).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "p double, fitted double, np long, nn long")
 
 
 def brier_decomposition(rows: DataFrame) -> DataFrame:
