@@ -21,6 +21,9 @@ TEXTS = [
     "".join(random.Random(1).choice("abcdefghij") for _ in range(5000)),
     "they'll we've I'd 'S 'LL ''' --- ...",
     "the the " * 2000,
+    "a\x1cb \x1d\x1f c\x85d\u2028e\xa0f\u200bg",
+    "e\u0301 n\u0303o \u212b \u01c5 \u1e9e \ufb01n",
+    ("word," * 40 + " ") * 3,
 ]
 
 
