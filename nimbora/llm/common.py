@@ -26,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches at BATCH_ROWS or less, so that a task's memory does not grow with its rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 

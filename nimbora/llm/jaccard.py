@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from nimbora.llm.common import materialise
+from nimbora.llm.common import bounded_batches, materialise
 from nimbora.llm.graphs import components
 
 #: Words of a shingle.
@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     count as linked with each other if they have words. A similarity of exactly 0.8 links. Rows with a null doc_id are
     left out. An empty table gives an empty result. Other columns are not read. Texts of any length are read whole.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, high long, low long, bands array<struct<spare:int,parts:array<bigint>>>"
     sketched = materialise(texts.mapInArrow(_sketch_rows, schema))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import materialise
+from nimbora.llm.common import bounded_batches, materialise
 
 #: Bytes of an n-gram; one fits a 32-bit number exactly.
 GRAM = 4
@@ -195,6 +195,7 @@ def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     alike, an empty table gives an empty result, and texts of any length are read whole. Columns that bear an added
     name are replaced, others stay.
     """
+    bounded_batches(docs.sparkSession)
     model = fit_languages(training)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of slots and a bit for each language
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import materialise, numbered
+from nimbora.llm.common import bounded_batches, materialise, numbered
 
 #: Tokens of a sequence.
 CAPACITY = 1024
@@ -201,6 +201,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     two rows alike takes which place is left open. An empty table gives an empty result. Other columns of ``docs`` are
     not read. Texts of any length are encoded whole.
     """
+    bounded_batches(docs.sparkSession)
     pieces = materialise(cut_pieces(docs.select("doc_id", "text"), tokenizer, capacity, end, keep_ids))
     packed = pack_pieces(pieces, capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -110,7 +110,7 @@ def measure(docs: DataFrame) -> DataFrame:
 def judge_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
     """Adds counts, ``base_failed``, ``llr`` and ``kept`` to each row of ``docs`` (doc_id, text, ...).
 
-    ``labels`` (doc_id, quality) names trusted documents: quality 1 in all of an id's rows. ``llr`` is the mean log
+    ``labels`` (doc_id, quality) names trusted documents: quality 1 in all of an id's rows that are not null. ``llr`` is the mean log
     ratio of a text's features, 0 for a text without words. ``kept`` is false where base_failed, else llr >= threshold.
 
     Null and empty texts count as no words, so they fail the base rule. Repeated rows are judged alike, each by

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import materialise
+from nimbora.llm.common import bounded_batches, materialise
 
 #: Neighbours of a query, pivots, and vectors that the pivots are chosen from (a documented bound).
 TOP, PIVOTS, SAMPLE = 10, 16, 2_048
@@ -192,6 +192,7 @@ def top_neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivot
     result. Other columns are not read. Products must stay below 2**63.
     """
     schema = "query_id long, rank int, vec_id long, score long"
+    bounded_batches(vectors.sparkSession)
     taken = materialise(quantised(vectors))
     index = fit_index(taken, pivots, sample)
     if index is None:

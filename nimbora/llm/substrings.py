@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import materialise
+from nimbora.llm.common import bounded_batches, materialise
 
 #: Words that a run of sentences must have.
 WORDS = 25
@@ -96,6 +96,7 @@ def drop_repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     too. A text all of whose sentences go becomes empty. An empty table gives an empty result. A column named removed
     is replaced, others stay. Texts of any length are read whole.
     """
+    bounded_batches(docs.sparkSession)
     clear = docs.drop("removed", "_removed")
     texts = clear.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = materialise(texts.mapInArrow(_run_rows(words), "doc_id long, n_sentences long, spans array<struct<hash:bigint,first:int,last:int>>"))
