@@ -1,9 +1,9 @@
 """License scans: ordered signature rules, gated by keywords, with overlaps resolved.
 
 A table of rules is made from license families (below) and phrase forms: each rule is a regular expression over the
-lower-cased text, with a keyword gate, a priority and a weight. A text's distinct words are intersected with the
-gates; only rules whose gate word occurs are tried. All their matches, as character intervals, are resolved in two
-ordered passes: an interval that lies inside another one is suppressed (of equal intervals the one of higher priority
+lower-cased text, with a gate, a mark, a priority and a weight. Gate and mark are literals that every match of the rule
+contains, so a rule is tried only where the text contains both, as words or within them. All matches, as character
+intervals, are resolved in two ordered passes: an interval that lies inside another one is suppressed (of equal intervals the one of higher priority
 stays), then of two that overlap in part the one of higher priority stays, the earlier one on ties.
 
 Everything is column expressions of one scan: no shuffle, no Python on the executors.
@@ -18,66 +18,75 @@ from pyspark.sql import functions as F
 
 from nimbora.llm.common import whole_text
 
-#: License families as (label, gate word, title pattern, short name pattern, SPDX pattern, address pattern).
+#: License families as (label, marks, title pattern, short name pattern, SPDX pattern, address pattern); the
+#: marks are literals without which the title, the short name and the address cannot match.
 FAMILIES = [
-    ("mit", "mit", r"mit\s+license", r"mit", r"mit(?:-0)?", r"opensource\.org/licenses/mit"),
-    ("apache", "apache", r"apache\s+(?:software\s+)?license(?:,?\s+version\s+[0-9.]+)?", r"apache(?:\s*|-)2(?:\.0)?", r"apache-[0-9.]+", r"apache\.org/licenses"),
-    ("gpl", "general", r"(?:gnu\s+)?general\s+public\s+license(?:,?\s+(?:version\s+|v)[0-9.]+)?", r"gnu\s+general\s+public", r"gpl-[0-9.]+(?:-only|-or-later)?", r"gnu\.org/licenses/gpl"),
-    ("gpl", "gpl", r"gnu\s+gpl(?:\s*v?[0-9.]+)?", r"gplv?[0-9.]*", r"gpl-[0-9.]+\+?", r"gnu\.org/copyleft/gpl"),
-    ("lgpl", "lesser", r"(?:gnu\s+)?lesser\s+general\s+public\s+license", r"gnu\s+lesser\s+general\s+public", r"lgpl-[0-9.]+(?:-only|-or-later)?", r"gnu\.org/licenses/lgpl"),
-    ("lgpl", "lgpl", r"gnu\s+lgpl(?:\s*v?[0-9.]+)?", r"lgplv?[0-9.]*", r"lgpl-[0-9.]+\+?", r"gnu\.org/copyleft/lesser"),
-    ("agpl", "affero", r"(?:gnu\s+)?affero\s+general\s+public\s+license", r"gnu\s+affero\s+general\s+public", r"agpl-[0-9.]+(?:-only|-or-later)?", r"gnu\.org/licenses/agpl"),
-    ("agpl", "agpl", r"gnu\s+agpl(?:\s*v?[0-9.]+)?", r"agplv?[0-9.]*", r"agpl-[0-9.]+\+?", r"gnu\.org/licenses/agpl"),
-    ("gfdl", "gfdl", r"gnu\s+free\s+documentation\s+license", r"gfdl", r"gfdl-[0-9.]+", r"gnu\.org/licenses/fdl"),
-    ("bsd", "bsd", r"(?:[234]-clause\s+|new\s+|simplified\s+|modified\s+)?bsd\s+license", r"bsd(?:-[234]-clause)?", r"bsd-[0-4]-clause", r"opensource\.org/licenses/bsd"),
-    ("0bsd", "0bsd", r"zero-clause\s+bsd\s+license", r"0bsd", r"0bsd", r"opensource\.org/licenses/0bsd"),
-    ("mpl", "mozilla", r"mozilla\s+public\s+license(?:,?\s+(?:version\s+|v\.?\s*)[0-9.]+)?", r"mozilla\s+public", r"mpl-[0-9.]+", r"mozilla\.org/(?:en-us/)?mpl"),
-    ("mpl", "mpl", r"mpl\s*(?:version\s+)?[0-9.]+", r"mpl", r"mpl-[0-9.]+", r"opensource\.org/licenses/mpl"),
-    ("epl", "eclipse", r"eclipse\s+public\s+license(?:\s*-?\s*v?\s*[0-9.]+)?", r"eclipse\s+public", r"epl-[0-9.]+", r"eclipse\.org/legal/epl"),
-    ("edl", "eclipse", r"eclipse\s+distribution\s+license", r"eclipse\s+distribution", r"edl-[0-9.]+", r"eclipse\.org/org/documents/edl"),
-    ("cddl", "cddl", r"common\s+development\s+and\s+distribution\s+license", r"cddl", r"cddl-[0-9.]+", r"opensource\.org/licenses/cddl"),
-    ("cpl", "cpl", r"common\s+public\s+license", r"cpl", r"cpl-[0-9.]+", r"opensource\.org/licenses/cpl"),
-    ("isc", "isc", r"isc\s+license", r"isc", r"isc", r"opensource\.org/licenses/isc"),
-    ("zlib", "zlib", r"zlib(?:/libpng)?\s+license", r"zlib", r"zlib", r"zlib\.net/zlib_license"),
-    ("libpng", "libpng", r"libpng\s+license", r"libpng", r"libpng(?:-2\.0)?", r"libpng\.org/pub/png/src/libpng-license"),
-    ("boost", "boost", r"boost\s+software\s+license", r"boost", r"bsl-[0-9.]+", r"boost\.org/license"),
-    ("unlicense", "unlicense", r"the\s+unlicense", r"unlicense", r"unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license", r"wtfpl", r"wtfpl", r"wtfpl\.net"),
-    ("cc0", "cc0", r"cc0\s+[0-9.]+\s+universal", r"cc0", r"cc0-[0-9.]+", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by", "creative", r"creative\s+commons\s+attribution(?:\s+[0-9.]+)?(?:\s+international)?\s+license", r"creative\s+commons\s+attribution", r"cc-by-[0-9.]+", r"creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", "creative", r"creative\s+commons\s+attribution-share\s?alike(?:\s+[0-9.]+)?(?:\s+international)?\s+license", r"creative\s+commons\s+attribution-share\s?alike", r"cc-by-sa-[0-9.]+", r"creativecommons\.org/licenses/by-sa/"),
-    ("cc-by-nc", "creative", r"creative\s+commons\s+attribution-noncommercial(?:\s+[0-9.]+)?(?:\s+international)?\s+license", r"creative\s+commons\s+attribution-noncommercial", r"cc-by-nc-[0-9.]+", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nd", "creative", r"creative\s+commons\s+attribution-noderiv(?:ative)?s(?:\s+[0-9.]+)?\s+license", r"creative\s+commons\s+attribution-noderiv(?:ative)?s", r"cc-by-nd-[0-9.]+", r"creativecommons\.org/licenses/by-nd/"),
-    ("artistic", "artistic", r"artistic\s+license(?:\s+[0-9.]+)?", r"artistic", r"artistic-[0-9.]+", r"opensource\.org/licenses/artistic"),
-    ("python", "psf", r"python\s+software\s+foundation\s+license", r"psf", r"psf-[0-9.]+", r"python\.org/psf/license"),
-    ("php", "php", r"php\s+license", r"php", r"php-[0-9.]+", r"php\.net/license"),
-    ("postgresql", "postgresql", r"postgresql\s+license", r"postgresql", r"postgresql", r"postgresql\.org/about/licen[cs]e"),
-    ("ruby", "ruby", r"ruby(?:'s)?\s+license", r"ruby", r"ruby", r"ruby-lang\.org/en/about/license"),
-    ("openssl", "openssl", r"openssl\s+license", r"openssl", r"openssl", r"openssl\.org/source/license"),
-    ("ofl", "ofl", r"sil\s+open\s+font\s+license", r"ofl", r"ofl-[0-9.]+", r"scripts\.sil\.org/ofl"),
-    ("eupl", "eupl", r"european\s+union\s+public\s+licen[cs]e", r"eupl", r"eupl-[0-9.]+", r"joinup\.ec\.europa\.eu"),
-    ("osl", "osl", r"open\s+software\s+license", r"osl", r"osl-[0-9.]+", r"opensource\.org/licenses/osl"),
-    ("afl", "afl", r"academic\s+free\s+license", r"afl", r"afl-[0-9.]+", r"opensource\.org/licenses/afl"),
-    ("ms-pl", "microsoft", r"microsoft\s+public\s+license", r"ms-pl", r"ms-pl", r"opensource\.org/licenses/ms-pl"),
-    ("ms-rl", "microsoft", r"microsoft\s+reciprocal\s+license", r"ms-rl", r"ms-rl", r"opensource\.org/licenses/ms-rl"),
-    ("upl", "universal", r"universal\s+permissive\s+license", r"upl", r"upl-[0-9.]+", r"opensource\.org/licenses/upl"),
-    ("ncsa", "ncsa", r"university\s+of\s+illinois/ncsa\s+open\s+source\s+license", r"ncsa", r"ncsa", r"opensource\.org/licenses/ncsa"),
-    ("odbl", "odbl", r"open\s+database\s+license", r"odbl", r"odbl-[0-9.]+", r"opendatacommons\.org/licenses/odbl"),
-    ("sspl", "sspl", r"server\s+side\s+public\s+license", r"sspl", r"sspl-[0-9.]+", r"mongodb\.com/licensing/server-side-public-license"),
-    ("busl", "business", r"business\s+source\s+license", r"busl", r"busl-[0-9.]+", r"mariadb\.com/bsl"),
-    ("elastic", "elastic", r"elastic\s+license(?:\s+[0-9.]+)?", r"elastic", r"elastic-[0-9.]+", r"elastic\.co/licensing"),
-    ("public-domain", "domain", r"(?:in|into|to)\s+the\s+public\s+domain", r"public\s+domain", r"public-domain", r"creativecommons\.org/publicdomain/mark"),
+    ("mit", ("license", "mit", "opensource"), r"mit\s+license", r"mit", r"mit(?:-0)?", r"opensource\.org/licenses/mit"),
+    ("apache", ("apache", "apache", "apache"), r"apache\s+(?:software\s+)?license(?:,?\s+version\s+[0-9.]+)?", r"apache(?:\s*|-)2(?:\.0)?", r"apache-[0-9.]+", r"apache\.org/licenses"),
+    ("gpl", ("general", "general", "gnu"), r"(?:gnu\s+)?general\s+public\s+license(?:,?\s+(?:version\s+|v)[0-9.]+)?", r"gnu\s+general\s+public", r"gpl-[0-9.]+(?:-only|-or-later)?", r"gnu\.org/licenses/gpl"),
+    ("gpl", ("gpl", "gpl", "gnu"), r"gnu\s+gpl(?:\s*v?[0-9.]+)?", r"gplv?[0-9.]*", r"gpl-[0-9.]+\+?", r"gnu\.org/copyleft/gpl"),
+    ("lgpl", ("lesser", "lesser", "gnu"), r"(?:gnu\s+)?lesser\s+general\s+public\s+license", r"gnu\s+lesser\s+general\s+public", r"lgpl-[0-9.]+(?:-only|-or-later)?", r"gnu\.org/licenses/lgpl"),
+    ("lgpl", ("lgpl", "lgpl", "gnu"), r"gnu\s+lgpl(?:\s*v?[0-9.]+)?", r"lgplv?[0-9.]*", r"lgpl-[0-9.]+\+?", r"gnu\.org/copyleft/lesser"),
+    ("agpl", ("affero", "affero", "gnu"), r"(?:gnu\s+)?affero\s+general\s+public\s+license", r"gnu\s+affero\s+general\s+public", r"agpl-[0-9.]+(?:-only|-or-later)?", r"gnu\.org/licenses/agpl"),
+    ("agpl", ("agpl", "agpl", "gnu"), r"gnu\s+agpl(?:\s*v?[0-9.]+)?", r"agplv?[0-9.]*", r"agpl-[0-9.]+\+?", r"gnu\.org/licenses/agpl"),
+    ("gfdl", ("documentation", "gfdl", "gnu"), r"gnu\s+free\s+documentation\s+license", r"gfdl", r"gfdl-[0-9.]+", r"gnu\.org/licenses/fdl"),
+    ("bsd", ("bsd", "bsd", "opensource"), r"(?:[234]-clause\s+|new\s+|simplified\s+|modified\s+)?bsd\s+license", r"bsd(?:-[234]-clause)?", r"bsd-[0-4]-clause", r"opensource\.org/licenses/bsd"),
+    ("0bsd", ("bsd", "0bsd", "0bsd"), r"zero-clause\s+bsd\s+license", r"0bsd", r"0bsd", r"opensource\.org/licenses/0bsd"),
+    ("mpl", ("mozilla", "mozilla", "mozilla"), r"mozilla\s+public\s+license(?:,?\s+(?:version\s+|v\.?\s*)[0-9.]+)?", r"mozilla\s+public", r"mpl-[0-9.]+", r"mozilla\.org/(?:en-us/)?mpl"),
+    ("mpl", ("mpl", "mpl", "opensource"), r"mpl\s*(?:version\s+)?[0-9.]+", r"mpl", r"mpl-[0-9.]+", r"opensource\.org/licenses/mpl"),
+    ("epl", ("eclipse", "eclipse", "eclipse"), r"eclipse\s+public\s+license(?:\s*-?\s*v?\s*[0-9.]+)?", r"eclipse\s+public", r"epl-[0-9.]+", r"eclipse\.org/legal/epl"),
+    ("edl", ("eclipse", "eclipse", "eclipse"), r"eclipse\s+distribution\s+license", r"eclipse\s+distribution", r"edl-[0-9.]+", r"eclipse\.org/org/documents/edl"),
+    ("cddl", ("distribution", "cddl", "cddl"), r"common\s+development\s+and\s+distribution\s+license", r"cddl", r"cddl-[0-9.]+", r"opensource\.org/licenses/cddl"),
+    ("cpl", ("common", "cpl", "opensource"), r"common\s+public\s+license", r"cpl", r"cpl-[0-9.]+", r"opensource\.org/licenses/cpl"),
+    ("isc", ("isc", "isc", "opensource"), r"isc\s+license", r"isc", r"isc", r"opensource\.org/licenses/isc"),
+    ("zlib", ("zlib", "zlib", "zlib"), r"zlib(?:/libpng)?\s+license", r"zlib", r"zlib", r"zlib\.net/zlib_license"),
+    ("libpng", ("libpng", "libpng", "libpng"), r"libpng\s+license", r"libpng", r"libpng(?:-2\.0)?", r"libpng\.org/pub/png/src/libpng-license"),
+    ("boost", ("boost", "boost", "boost"), r"boost\s+software\s+license", r"boost", r"bsl-[0-9.]+", r"boost\.org/license"),
+    ("unlicense", ("unlicense", "unlicense", "unlicense"), r"the\s+unlicense", r"unlicense", r"unlicense", r"unlicense\.org"),
+    ("wtfpl", ("fuck", "wtfpl", "wtfpl"), r"do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license", r"wtfpl", r"wtfpl", r"wtfpl\.net"),
+    ("cc0", ("cc0", "cc0", "creativecommons"), r"cc0\s+[0-9.]+\s+universal", r"cc0", r"cc0-[0-9.]+", r"creativecommons\.org/publicdomain/zero"),
+    ("cc-by", ("attribution", "attribution", "creativecommons"), r"creative\s+commons\s+attribution(?:\s+[0-9.]+)?(?:\s+international)?\s+license", r"creative\s+commons\s+attribution", r"cc-by-[0-9.]+", r"creativecommons\.org/licenses/by/"),
+    ("cc-by", ("cc", "cc", "creativecommons"), r"cc[\s-]+by[\s-]+[0-9.]+(?:\s+international)?(?:\s+licen[cs]e)?", r"cc[\s-]+by", r"cc-by-[0-9.]+", r"creativecommons\.org/licenses/by/"),
+    ("cc-by-sa", ("attribution", "attribution", "creativecommons"), r"creative\s+commons\s+attribution(?:-|\s+)share[\s-]?alike(?:\s+[0-9.]+)?(?:\s+international)?\s+license", r"creative\s+commons\s+attribution(?:-|\s+)share[\s-]?alike", r"cc-by-sa-[0-9.]+", r"creativecommons\.org/licenses/by-sa/"),
+    ("cc-by-sa", ("cc", "cc", "creativecommons"), r"cc[\s-]+by[\s-]+sa[\s-]+[0-9.]+(?:\s+international)?(?:\s+licen[cs]e)?", r"cc[\s-]+by[\s-]+sa", r"cc-by-sa-[0-9.]+", r"creativecommons\.org/licenses/by-sa/"),
+    ("cc-by-nc", ("attribution", "attribution", "creativecommons"), r"creative\s+commons\s+attribution(?:-|\s+)non-?commercial(?:\s+[0-9.]+)?(?:\s+international)?\s+license", r"creative\s+commons\s+attribution(?:-|\s+)non-?commercial", r"cc-by-nc-[0-9.]+", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nc", ("cc", "cc", "creativecommons"), r"cc[\s-]+by[\s-]+nc[\s-]+[0-9.]+(?:\s+international)?(?:\s+licen[cs]e)?", r"cc[\s-]+by[\s-]+nc", r"cc-by-nc-[0-9.]+", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nd", ("attribution", "attribution", "creativecommons"), r"creative\s+commons\s+attribution(?:-|\s+)no[\s-]?deriv(?:ative)?s(?:\s+[0-9.]+)?\s+license", r"creative\s+commons\s+attribution(?:-|\s+)no[\s-]?deriv(?:ative)?s", r"cc-by-nd-[0-9.]+", r"creativecommons\.org/licenses/by-nd/"),
+    ("cc-by-nd", ("cc", "cc", "creativecommons"), r"cc[\s-]+by[\s-]+nd[\s-]+[0-9.]+(?:\s+international)?(?:\s+licen[cs]e)?", r"cc[\s-]+by[\s-]+nd", r"cc-by-nd-[0-9.]+", r"creativecommons\.org/licenses/by-nd/"),
+    ("artistic", ("artistic", "artistic", "opensource"), r"artistic\s+license(?:\s+[0-9.]+)?", r"artistic", r"artistic-[0-9.]+", r"opensource\.org/licenses/artistic"),
+    ("python", ("python", "psf", "python"), r"python\s+software\s+foundation\s+license", r"psf", r"psf-[0-9.]+", r"python\.org/psf/license"),
+    ("php", ("php", "php", "php"), r"php\s+license", r"php", r"php-[0-9.]+", r"php\.net/license"),
+    ("postgresql", ("postgresql", "postgresql", "postgresql"), r"postgresql\s+license", r"postgresql", r"postgresql", r"postgresql\.org/about/licen[cs]e"),
+    ("ruby", ("ruby", "ruby", "ruby"), r"ruby(?:'s)?\s+license", r"ruby", r"ruby", r"ruby-lang\.org/en/about/license"),
+    ("openssl", ("openssl", "openssl", "openssl"), r"openssl\s+license", r"openssl", r"openssl", r"openssl\.org/source/license"),
+    ("ofl", ("font", "ofl", "scripts"), r"sil\s+open\s+font\s+license", r"ofl", r"ofl-[0-9.]+", r"scripts\.sil\.org/ofl"),
+    ("eupl", ("european", "eupl", "joinup"), r"european\s+union\s+public\s+licen[cs]e", r"eupl", r"eupl-[0-9.]+", r"joinup\.ec\.europa\.eu"),
+    ("osl", ("software", "osl", "opensource"), r"open\s+software\s+license", r"osl", r"osl-[0-9.]+", r"opensource\.org/licenses/osl"),
+    ("afl", ("academic", "afl", "opensource"), r"academic\s+free\s+license", r"afl", r"afl-[0-9.]+", r"opensource\.org/licenses/afl"),
+    ("ms-pl", ("microsoft", "ms-pl", "opensource"), r"microsoft\s+public\s+license", r"ms-pl", r"ms-pl", r"opensource\.org/licenses/ms-pl"),
+    ("ms-rl", ("microsoft", "ms-rl", "opensource"), r"microsoft\s+reciprocal\s+license", r"ms-rl", r"ms-rl", r"opensource\.org/licenses/ms-rl"),
+    ("upl", ("permissive", "upl", "opensource"), r"universal\s+permissive\s+license", r"upl", r"upl-[0-9.]+", r"opensource\.org/licenses/upl"),
+    ("ncsa", ("ncsa", "ncsa", "opensource"), r"university\s+of\s+illinois/ncsa\s+open\s+source\s+license", r"ncsa", r"ncsa", r"opensource\.org/licenses/ncsa"),
+    ("odbl", ("database", "odbl", "opendatacommons"), r"open\s+database\s+license", r"odbl", r"odbl-[0-9.]+", r"opendatacommons\.org/licenses/odbl"),
+    ("sspl", ("server", "sspl", "mongodb"), r"server\s+side\s+public\s+license", r"sspl", r"sspl-[0-9.]+", r"mongodb\.com/licensing/server-side-public-license"),
+    ("busl", ("business", "busl", "mariadb"), r"business\s+source\s+license", r"busl", r"busl-[0-9.]+", r"mariadb\.com/bsl"),
+    ("elastic", ("elastic", "elastic", "elastic"), r"elastic\s+license(?:\s+[0-9.]+)?", r"elastic", r"elastic-[0-9.]+", r"elastic\.co/licensing"),
+    ("public-domain", ("domain", "domain", "creativecommons"), r"(?:in|into|to)\s+the\s+public\s+domain", r"public\s+domain", r"public-domain", r"creativecommons\.org/publicdomain/mark"),
 ]
 
-#: Phrase forms as (name, priority, weight, pattern); {t} title, {s} short name, {x} SPDX name, {u} address.
+#: Phrase forms as (name, priority, weight, gate, what the mark is of, pattern); {t} title, {s} short name,
+#: {x} SPDX name, {u} address. The gate is a literal of the pattern, the mark ("") where the pattern has no other.
 FORMS = [
-    ("tag", 100, 1.0, r"spdx-license-identifier:\s*(?:{x})"),
-    ("grant", 90, 0.95, r"(?:licensed|released|distributed|available|provided|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{t})"),
-    ("address", 85, 0.9, r"https?://(?:www\.)?(?:{u})"),
-    ("title", 80, 0.85, r"(?<![0-9a-z])(?:{t})(?![0-9a-z])"),
-    ("reference", 70, 0.8, r"see\s+(?:the\s+)?(?:{t})\s+for\s+(?:more\s+)?details"),
-    ("short grant", 65, 0.7, r"under\s+(?:the\s+)?(?:{s})(?:\s+licen[cs]e)?(?![0-9a-z])"),
-    ("short", 60, 0.6, r"(?<![0-9a-z])(?:{s})[\s-]+licen[cs]ed?(?![0-9a-z])"),
+    ("tag", 100, 1.0, "spdx", "", r"spdx-license-identifier:\s*(?:{x})"),
+    ("grant", 90, 0.95, "under", "t", r"(?:licensed|released|distributed|available|provided|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{t})"),
+    ("address", 85, 0.9, "", "u", r"https?://(?:www\.)?(?:{u})"),
+    ("title", 80, 0.85, "", "t", r"(?<![0-9a-z])(?:{t})(?![0-9a-z])"),
+    ("reference", 70, 0.8, "details", "t", r"see\s+(?:the\s+)?(?:{t})\s+for\s+(?:more\s+)?details"),
+    ("short grant", 65, 0.7, "under", "s", r"under\s+(?:the\s+)?(?:{s})(?:\s+licen[cs]e)?(?![0-9a-z])"),
+    ("short license", 60, 0.6, "license", "s", r"(?<![0-9a-z])(?:{s})[\s-]+license(?![0-9a-z])"),
+    ("short licensed", 60, 0.6, "licensed", "s", r"(?<![0-9a-z])(?:{s})[\s-]+licensed(?![0-9a-z])"),
+    ("short licence", 60, 0.6, "licence", "s", r"(?<![0-9a-z])(?:{s})[\s-]+licence(?![0-9a-z])"),
+    ("short licenced", 60, 0.6, "licenced", "s", r"(?<![0-9a-z])(?:{s})[\s-]+licenced(?![0-9a-z])"),
 ]
 
 #: The base phrases, as their words, and their labels.
@@ -90,10 +99,11 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def rules() -> list[dict]:
     """The ordered rule table: one rule for each family and phrase form."""
     made = []
-    for label, gate, title, short, tag, address in FAMILIES:
-        for form, priority, weight, pattern in FORMS:
+    for label, marks, title, short, tag, address in FAMILIES:
+        for form, priority, weight, gate, part, pattern in FORMS:
             regex = pattern.format(t=title, s=short, x=tag, u=address)
-            made.append({"rule": len(made), "label": label, "gate": gate, "form": form, "priority": priority, "weight": weight, "regex": regex})
+            mark = {"t": marks[0], "s": marks[1], "u": marks[2]}.get(part, gate)
+            made.append({"rule": len(made), "label": label, "gate": gate or mark, "mark": mark, "form": form, "priority": priority, "weight": weight, "regex": regex})
     return made
 
 
@@ -170,16 +180,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     clear = docs.drop("n_words", "places", "detections", "license_score", "_lower", "_words", "_gates")
     table = rules()
-    gates = sorted({r["gate"] for r in table} | {w for words, _ in BASE for w in words})
-    rule_list = _literal([{k: r[k] for k in ("gate", "regex", "label", "priority", "rule", "weight")} for r in table], "gate:string,regex:string,label:string,priority:int,rule:int,weight:double")
+    gates = sorted({r[k] for r in table for k in ("gate", "mark")} | {"license"})
+    rule_list = _literal([{k: r[k] for k in ("gate", "mark", "regex", "label", "priority", "rule", "weight")} for r in table], "gate:string,mark:string,regex:string,label:string,priority:int,rule:int,weight:double")
 
     words = clear.withColumn("_lower", F.lower(whole_text())).withColumn("_words", F.array_remove(F.split("_lower", BETWEEN), ""))
-    gated = words.withColumn("_gates", F.array_intersect("_words", F.split(F.lit(" ".join(gates)), " ")))
+    gated = words.withColumn("_gates", F.filter(F.split(F.lit(" ".join(gates)), " "), lambda g: F.contains(F.col("_lower"), g)))
 
     none = F.array().cast("array<struct<word:int,label:string>>")
     spots = F.transform("_words", lambda w, i: _place(w, i))
     places = F.when(F.array_contains("_gates", "license"), F.array_compact(spots)).otherwise(none)
-    tried = F.filter(rule_list, lambda r: F.array_contains("_gates", r["gate"]))
+    tried = F.filter(rule_list, lambda r: F.array_contains("_gates", r["gate"]) & F.array_contains("_gates", r["mark"]))
     hits = F.flatten(F.transform(tried, lambda r: _matches(F.col("_lower"), r)))
     found = gated.select(
         *[F.col(f"`{c}`") for c in clear.columns],
