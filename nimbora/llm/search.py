@@ -193,13 +193,14 @@ def top_neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivot
     """
     schema = "query_id long, rank int, vec_id long, score long"
     bounded_batches(vectors.sparkSession)
-    taken = materialise(quantised(vectors))
+    # a copy in the sample would count as one more neighbour and raise the first bound
+    taken = materialise(quantised(vectors).distinct())
     index = fit_index(taken, pivots, sample)
     if index is None:
         return taken.sparkSession.createDataFrame([], schema)
     # of equal vectors only the first ids can be among the best, one more than asked for as a query skips itself
     among_equals = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    useful = taken.distinct().withColumn("_n", among_equals).where(F.col("_n") <= top + 1).drop("_n")
+    useful = taken.withColumn("_n", among_equals).where(F.col("_n") <= top + 1).drop("_n")
     keyed = materialise(useful.mapInArrow(_keys(index), "vec_id long, v array<bigint>, cell int, away double"))
     found = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()
     cells = {r["cell"]: (r["low"], r["high"]) for r in found}
