@@ -17,9 +17,6 @@ from nimbora.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: A text whose language's share of the corrected counts is lower is of no certain language.
-LEAST_SCORE = 0.25
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -30,8 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a certain language, learnt from those that are not held out."""
     training = docs.where(~languages.held_out(F.col("doc_id"))).select("text", "lang")
-    judged = languages.identify_languages(docs, training)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return languages.certain_languages(docs, training).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

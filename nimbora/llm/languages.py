@@ -32,6 +32,10 @@ SHARE = 2e-6
 #: ... whose share is at least this part of the largest share in any language.
 PART = 0.3
 
+#: Of a language's training rows one in LOWEST may score lower than what certainty is measured by, and the part of that
+#: which a certain text has to reach.
+LOWEST, LEAST_PART = 100, 0.6
+
 #: Bytes that are worked on at a time.
 CHUNK = 2_000_000
 
@@ -114,8 +118,8 @@ class Model:
             hits[:, k] = np.add.reduceat(bit, starts)
         return hits
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+        """Language and score of each text, the share of its n-grams known to that language, and the margin over the next."""
         hits, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         waiting: list[int] = []
         held: list[bytes] = []
@@ -146,9 +150,13 @@ class Model:
                 room += len(data)
             flush()
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         real = np.maximum(0.0, (hits - sizes[:, None] * self.false_rate) / (1.0 - self.false_rate))
         best, total = real.argmax(axis=1), real.sum(axis=1)
+        largest = real[np.arange(len(texts)), best]
+        second = np.sort(real, axis=1)[:, -2] if len(self.languages) > 1 else np.zeros(len(texts))
+        known = largest / np.maximum(sizes, 1)
+        margin = (largest - second) / np.where(largest > 0, largest, 1)
         names, scores = [], []
         for i, k in enumerate(best):
             if not sizes[i]:
@@ -160,7 +168,7 @@ class Model:
             else:
                 names.append(self.languages[k])
                 scores.append(float(real[i, k] / total[i]))
-        return names, scores
+        return names, scores, known, margin
 
 
 def fit_languages(docs: DataFrame) -> Model:
@@ -186,6 +194,22 @@ def fit_languages(docs: DataFrame) -> Model:
     return Model(languages, slot_table, filled**PROBES, usual)
 
 
+def _judged(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
+    """Adds those of lang_pred, score, known and margin that ``added`` names."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of slots and a bit for each language
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,known:double,margin:double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        names, scores, known, margin = shared.value.predict(texts.to_pylist())
+        columns = [pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in (scores, known, margin)]]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known", "margin"])
+
+    clear = docs.drop(*added, "_judged")
+    judged = clear.withColumn("_judged", judge("text"))
+    return judged.select(*[F.col(f"`{c}`") for c in clear.columns], *[f"_judged.{c}" for c in added])
+
+
 def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to each row of ``docs`` (text, ...), learnt from ``training`` (text, lang).
 
@@ -195,15 +219,32 @@ def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     alike, an empty table gives an empty result, and texts of any length are read whole. Columns that bear an added
     name are replaced, others stay.
     """
-    bounded_batches(docs.sparkSession)
-    model = fit_languages(training)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of slots and a bit for each language
+    return _judged(docs, fit_languages(training), ["lang_pred", "score"])
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def judge(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    clear = docs.drop("lang_pred", "score", "_judged")
-    judged = clear.withColumn("_judged", judge("text"))
-    return judged.select(*[F.col(f"`{c}`") for c in clear.columns], "_judged.lang_pred", "_judged.score")
+def certain_languages(docs: DataFrame, training: DataFrame, part: float = LEAST_PART) -> DataFrame:
+    """The rows of ``docs`` (text, ...) whose language is certain, learnt from ``training`` (text, lang).
+
+    Certain is what reaches, in the share of n-grams known to its language and in the margin over the next language
+    (as a part of the largest count), ``part`` of what all but one in LOWEST of that language's own training rows reach.
+    Both measures are near 0 by chance: false positives are taken off, and equal counts have no margin. All training
+    rows are scored; to the driver come their counts by language and thousandth. Texts without a letter, and languages
+    that no training row of theirs was given, are never certain.
+    """
+    model = fit_languages(training)
+    own = _judged(training, model, ["lang_pred", "known", "margin"]).where("lang = lang_pred").select("lang_pred", F.posexplode(F.array("known", "margin")))
+    counted: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in own.groupBy("lang_pred", "pos", F.floor(1000 * F.col("col")).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counted.setdefault((r["lang_pred"], r["pos"]), []).append((r["at"], r["n"]))
+    least = {}
+    for key, rows in counted.items():
+        below, room = 0, sum(n for _, n in rows) // LOWEST
+        for at, n in sorted(rows):
+            below += n
+            if below > room:
+                least[key] = part * at / 1000
+                break
+    limits = [(x, least[x, 0], least[x, 1]) for x in model.languages if (x, 0) in least]
+    bounds = docs.sparkSession.createDataFrame(limits, "lang_pred string, _known double, _margin double")  # a row for each language
+    judged = _judged(docs, model, ["lang_pred", "known", "margin"]).join(F.broadcast(bounds), "lang_pred")
+    return judged.where("known > _known AND margin > _margin").drop("lang_pred", "known", "margin", "_known", "_margin")
