@@ -13,13 +13,12 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import bounded_batches, materialise, numbered
+from nimbora.llm.common import bounded_batches, numbered, with_row_number
 
 #: Tokens of a sequence.
 CAPACITY = 1024
@@ -173,21 +172,24 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return rows
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, keys: Iterable[str] = ("doc_id", "piece")) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to each row of ``pieces`` (length and the columns ``keys``, ...)."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to each row of ``pieces`` (length, ...)."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = plan_sequences(counts, capacity)
-    # a few rows for each length at most, so the broadcast is bounded by the capacity
-    rows = spark.createDataFrame(plan or [(0, 0, -1, 1, 0, 0)], "length int, _first long, _last long, _each long, _sequence long, _offset long")
-    ranked = numbered(pieces.withColumn("length", F.col("length").cast("int")), ["length"], list(keys), counts)
-    local = F.col("rank_in_key") - F.col("_first")
+    numbers = with_row_number(pieces.withColumn("length", F.col("length").cast("int")))
+    counts = {r["length"]: r["n"] for r in numbers.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan: dict[int, list[tuple]] = {}
+    for length, *line in plan_sequences(counts, capacity):
+        plan.setdefault(length, []).append(tuple(line))
+    # a row for each length, with the few lines of its plan
+    lines = spark.createDataFrame(list(plan.items()), "length int, _lines array<struct<first:long,last:long,each:long,sequence:long,offset:long>>")
+    ranked = numbered(numbers, "length", counts).join(F.broadcast(lines), "length")
+    rank = F.col("rank_in_key")
+    placed = ranked.withColumn("_line", F.filter("_lines", lambda x: rank.between(x["first"], x["last"]))[0])
+    local = rank - F.col("_line.first")
     return (
-        ranked.join(F.broadcast(rows), "length")
-        .where(F.col("rank_in_key").between(F.col("_first"), F.col("_last")))
-        .withColumn("sequence_id", F.col("_sequence") + F.floor(local / F.col("_each")).cast("long"))
-        .withColumn("offset", F.col("_offset") + (local % F.col("_each")) * F.col("length"))
-        .drop("_first", "_last", "_each", "_sequence", "_offset", "rank_in_key")
+        placed.withColumn("sequence_id", F.col("_line.sequence") + F.floor(local / F.col("_line.each")).cast("long"))
+        .withColumn("offset", F.col("_line.offset") + (local % F.col("_line.each")) * F.col("length"))
+        .drop("_lines", "_line", "rank_in_key")
     )
 
 
@@ -202,6 +204,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     not read. Texts of any length are encoded whole.
     """
     bounded_batches(docs.sparkSession)
-    pieces = materialise(cut_pieces(docs.select("doc_id", "text"), tokenizer, capacity, end, keep_ids))
-    packed = pack_pieces(pieces, capacity)
+    packed = pack_pieces(cut_pieces(docs.select("doc_id", "text"), tokenizer, capacity, end, keep_ids), capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

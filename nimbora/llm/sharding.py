@@ -2,8 +2,9 @@
 
 The dimensions are metadata of a text (bytes, lines, bytes a character, each on a scale over the whole table), so equal
 texts lie at one point; a text's hash follows the coordinate as a tie break, and equal texts stay together. A weighted
-quantile is found without sorting: the bytes are summed by leading bits of the key, and the part that holds the
-quantile is looked at in finer bits, one aggregation for all nodes of a level at a time.
+quantile is found without sorting: the bytes are summed by leading bits of the key, running sums over these digits find
+the one that holds the quantile, and it is looked at in finer bits, one aggregation for all nodes of a level at a time.
+To the driver comes one row a node.
 
 Groups of equal texts too heavy for even splits are placed first, the heaviest where least lies, and the tree's splits
 make up for them. Only a group larger than a shard is dealt out over several.
@@ -11,10 +12,10 @@ make up for them. Only a group larger than a shard is dealt out over several.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import materialise, numbered, whole_text
+from nimbora.llm.common import materialise, numbered, whole_text, with_row_number
 
 #: Shards of the registered query.
 SHARDS = 8
@@ -77,21 +78,19 @@ def split_shards(points: DataFrame, room: list[float]) -> DataFrame:
             step = min(DIGIT, shift)
             shift -= step
             lead = _case(F.col("node"), {n: F.lit(at[n][0]).cast("long") for n in live}, F.lit(-1).cast("long"))
-            digit = F.shiftright("key", shift)
-            sums = keyed.where(F.shiftright("key", shift + step) == lead).groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("size")).collect()
-            for n in list(live):
-                prefix, before = at[n][0] << step, at[n][1]
-                for r in sorted((r for r in sums if r["node"] == n), key=lambda r: r["digit"]):
-                    if before + r["size"] > wanted[n]:
-                        prefix = r["digit"]
-                        break
-                    before += r["size"]
-                    prefix = r["digit"] + 1
-                else:
+            left = _case(F.col("node"), {n: F.lit(float(wanted[n] - at[n][1])) for n in live}, F.lit(0.0))
+            sums = keyed.where(F.shiftright("key", shift + step) == lead).groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("size"))
+            upto = F.sum("size").over(Window.partitionBy("node").orderBy("digit"))  # at most 2 ** DIGIT rows a node
+            past = F.col("upto") > left
+            # one row a node: the digit in which the wanted weight is passed, and the weight before it
+            found = sums.withColumn("upto", upto).groupBy("node").agg(F.min(F.when(past, F.struct("digit", (F.col("upto") - F.col("size")).alias("before")))).alias("cut"), F.max("digit").alias("last"), F.max("upto").alias("all"))
+            for r in found.collect():
+                n, before = r["node"], at[r["node"]][1]
+                if r["cut"] is None:
+                    at[n] = ((r["last"] + 1) << shift, before + r["all"])
                     live.discard(n)
-                at[n] = (prefix, before)
-                if n not in live:
-                    at[n] = (prefix << shift, before)
+                else:
+                    at[n] = (r["cut"]["digit"], before + r["cut"]["before"])
         cut = {n: at[n][0] for n in widest}
         after, later = {}, node
         for n, (a, b) in open_nodes.items():
@@ -133,9 +132,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     known = spark.createDataFrame([(h, c, s) for h, c, s in fixed] + [(h, c, None) for h, c in spread], "hash long, text_crc32 long, own int").withColumn("is_heavy", F.lit(True))
     scaled = _scaled(points).join(F.broadcast(known), ["hash", "text_crc32"], "left")
     dealt_out = F.col("is_heavy") & F.col("own").isNull()
-    bits = F.when(dealt_out, F.xxhash64("hash", "doc_id")).otherwise(F.col("hash"))
-    ready = materialise(scaled.withColumn("tie", bits.bitwiseAND((1 << TIE) - 1)).select("doc_id", "size", "text_crc32", "own", "tie", *DIMENSIONS))
+    bits = F.when(dealt_out, F.xxhash64("hash", F.monotonically_increasing_id())).otherwise(F.col("hash"))
+    ready = with_row_number(scaled.withColumn("tie", bits.bitwiseAND((1 << TIE) - 1)).select("doc_id", "size", "text_crc32", "own", "tie", *DIMENSIONS))
     grown = split_shards(ready.where("own IS NULL"), [max(share - p, 0.0) for p in placed])
-    put = grown.select("doc_id", "size", "text_crc32", "shard").unionByName(ready.where("own IS NOT NULL").select("doc_id", "size", "text_crc32", F.col("own").alias("shard")))
+    put = grown.select("doc_id", "size", "text_crc32", "_row", "shard").unionByName(ready.where("own IS NOT NULL").select("doc_id", "size", "text_crc32", "_row", F.col("own").alias("shard")))
     sizes = {r["shard"]: r["n"] for r in put.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return numbered(put, ["shard"], ["doc_id", "text_crc32"], sizes).withColumnRenamed("rank_in_key", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(put, "shard", sizes).withColumnRenamed("rank_in_key", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -30,6 +30,40 @@ def check(spark, rows, shards, slack):
     assert all(abs(held[s] - share) <= slack * share for s in range(shards)), held
 
 
+def brute_split(points, room):
+    """Shard of each point, by sorting: the first key past the wanted weight is the cut of the widest dimension."""
+    out = {}
+
+    def split(rows, a, b):
+        if b - a == 1 or not rows:
+            out.update({r["id"]: a for r in rows})
+            return
+        c = max(sharding.DIMENSIONS, key=lambda c: (max(r[c] for r in rows) - min(r[c] for r in rows), -sharding.DIMENSIONS.index(c)))
+        middle = (a + b) // 2
+        wanted = sum(r["size"] for r in rows) * sum(room[a:middle]) / max(sum(room[a:b]), 1e-9)
+        weight, cut = 0, None
+        for key in sorted({(r[c], r["tie"]) for r in rows}):
+            weight += sum(r["size"] for r in rows if (r[c], r["tie"]) == key)
+            if weight > wanted:
+                cut = key
+                break
+        left = [r for r in rows if cut is None or (r[c], r["tie"]) < cut]
+        split(left, a, middle)
+        split([r for r in rows if r not in left], middle, b)
+
+    split(points, 0, len(room))
+    return out
+
+
+@pytest.mark.parametrize("room", [[1.0] * 8, [0.2, 1.0, 0.0, 0.7, 1.0], [1.0, 1.0]])
+def test_tree_matches_brute_force(spark, room):
+    rng = random.Random(6)
+    points = [{"id": i, "d_bytes": rng.choice([0, 5, rng.randint(0, 2**20 - 1)]), "d_lines": rng.randint(0, 900), "d_width": rng.choice([3, 2**19]), "tie": rng.randint(0, 2**42 - 1), "size": rng.randint(1, 500)} for i in range(250)]
+    points += [dict(points[0], id=300 + i) for i in range(20)]
+    rows = spark.createDataFrame([tuple(p.values()) for p in points], "id long, d_bytes long, d_lines long, d_width long, tie long, size long")
+    assert {r["id"]: r["shard"] for r in sharding.split_shards(rows, room).collect()} == brute_split(points, room)
+
+
 def words(rng, n):
     return " ".join(rng.choice(["alpha", "b", "gämma\n", "dd"]) for _ in range(n))
 
@@ -50,6 +84,10 @@ def test_group_larger_than_a_shard(spark):
     check(spark, rows, 8, 0.05)
 
 
+def test_rows_alike_in_everything(spark):
+    check(spark, [(None, "one text")] * 300 + [(5, "one text")] * 300 + [(i, "x" * (i % 50)) for i in range(600)], 8, 0.05)
+
+
 def test_few_and_no_rows(spark):
     check(spark, [(1, "a"), (1, "a"), (2, "x" * 50000)], 8, 10)
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
