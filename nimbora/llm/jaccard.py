@@ -8,7 +8,9 @@ the one before; a set near the upper end of its band is sketched for the next ba
 
 Joining all documents that share a part would make pairs of everything that quotes the same passage. Parts are ordered
 by how many documents have them, and each document leaves out its most frequent ones, as many as the pigeonhole
-principle leaves to spare: the first part in that order that two similar documents share is always among those kept.
+principle leaves to spare: the first part in that order that two similar documents share is always among those kept. A document leaves
+a part, too, if no document of that part is near enough in this order (a position filter), so texts that share a
+template but have more words of their own than similar texts may have are not compared at all.
 
 Documents of a part are compared with the part's first and last one; what links is contracted to components, and only
 documents of different components that share a part are compared with each other. So copies make links in proportion
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from nimbora.llm.common import bounded_batches, materialise
+from nimbora.llm.common import bounded_batches, joined_with_hot, materialise
 from nimbora.llm.graphs import components
 
 #: Words of a shingle.
@@ -52,6 +54,9 @@ WORDS = 8
 #: Documents of a block that is compared with another.
 BLOCK = 512
 
+#: Digests that a sketching task remembers, to sketch copies once.
+REMEMBERED = 100_000
+
 #: Ids are sent to all executors up to this number, else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -88,8 +93,11 @@ def difference_bound(n: int, other: int) -> int:
     return (n + other) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def band_sketch(elements: np.ndarray, band: int) -> tuple[int, np.ndarray]:
-    """How many of the most frequent parts may be left out, and the filled parts, as one number each."""
+def band_sketch(elements: np.ndarray, band: int, most_parts: int | None = PARTS) -> tuple[int, np.ndarray]:
+    """How many of the most frequent parts may be left out, and the filled parts, as one number each.
+
+    Without ``most_parts`` all parts are kept, and the pigeonhole principle holds for sets of every size.
+    """
     n = len(elements)
     bound = difference_bound(n, largest_partner(n))
     tag = np.uint64((band + 1) * 0xA24BAED4963EE407 & MASK)
@@ -97,9 +105,9 @@ def band_sketch(elements: np.ndarray, band: int) -> tuple[int, np.ndarray]:
         return max(n - bound - 1, 0), _mixed(elements ^ tag)
     total = int(FIRST * 2**band * PER_ELEMENT)
     part = _mixed(elements + np.uint64(0x632BE59BD9B4E019)) % np.uint64(total)
-    capped = total > PARTS
+    capped = most_parts is not None and total > most_parts
     if capped:
-        inside = part < PARTS
+        inside = part < most_parts
         elements, part = elements[inside], part[inside]
     order = np.argsort(part, kind="stable")
     part, elements = part[order], elements[order]
@@ -111,7 +119,7 @@ def band_sketch(elements: np.ndarray, band: int) -> tuple[int, np.ndarray]:
     return max(spare, 0), _mixed(_mixed(parity) + part[starts] * np.uint64(0xC2B2AE3D27D4EB4F) ^ tag)
 
 
-def sketches(elements: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def sketches(elements: np.ndarray, most_parts: int | None = PARTS) -> list[tuple[int, np.ndarray]]:
     """The sketches of a set in its own band and, where a partner may lie there, in the next."""
     n = len(elements)
     if not n:
@@ -120,7 +128,7 @@ def sketches(elements: np.ndarray) -> list[tuple[int, np.ndarray]]:
     while n > FIRST * 2**band:
         band += 1
     bands = [band] + [band + 1] * (largest_partner(n) > FIRST * 2**band)
-    return [band_sketch(elements, b) for b in bands]
+    return [band_sketch(elements, b, most_parts) for b in bands]
 
 
 def bit_sketch(elements: np.ndarray) -> np.ndarray:
@@ -129,30 +137,35 @@ def bit_sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met: set[bytes] = set()  # copies within a task are sketched once
-    for batch in batches:
-        n, high, low, ends, spare, inner, parts = [], [], [], [0], [], [0], []
-        for text in batch.column("text"):
-            elements = shingle_set(text.as_py())
-            digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-            n.append(len(elements))
-            high.append(int.from_bytes(digest[:8], "little", signed=True))
-            low.append(int.from_bytes(digest[8:], "little", signed=True))
-            if digest not in met:
-                met.add(digest)
-                for s, p in sketches(elements):
-                    spare.append(s)
-                    parts.append(p)
-                    inner.append(inner[-1] + len(p))
-            ends.append(len(spare))
-        flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat))
-        structs = pa.StructArray.from_arrays([pa.array(spare, pa.int32()), lists], ["spare", "parts"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)],
-            names=["doc_id", "n_shingles", "high", "low", "bands"],
-        )
+def _sketch_rows(most_parts: int | None):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()  # copies within a task are sketched once, as far as they are remembered
+        for batch in batches:
+            n, high, low, ends, spare, inner, parts = [], [], [], [0], [], [0], []
+            for text in batch.column("text"):
+                elements = shingle_set(text.as_py())
+                digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+                n.append(len(elements))
+                high.append(int.from_bytes(digest[:8], "little", signed=True))
+                low.append(int.from_bytes(digest[8:], "little", signed=True))
+                if digest not in met:
+                    if len(met) == REMEMBERED:
+                        met.clear()
+                    met.add(digest)
+                    for s, p in sketches(elements, most_parts):
+                        spare.append(s)
+                        parts.append(p)
+                        inner.append(inner[-1] + len(p))
+                ends.append(len(spare))
+            flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat))
+            structs = pa.StructArray.from_arrays([pa.array(spare, pa.int32()), lists], ["spare", "parts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)],
+                names=["doc_id", "n_shingles", "high", "low", "bands"],
+            )
+
+    return rows
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,18 +251,24 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a part and may link.
 
-    ``placed`` has part, rep and component. A part's documents are cut into blocks of bounded size; blocks meet blocks,
-    and only pairs that pass the bounds leave a task.
+    ``placed`` has part, rep and component. A part's documents are cut into blocks of bounded size, and the pairs of
+    blocks are named before any block is joined to them, so that the pairs of one part go to many tasks. Only pairs that
+    pass the bounds leave a task.
     """
-    mixed = placed.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
-    blocks_of = mixed.select("part", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    mixed = F.min("component") < F.max("component")
+    blocks_of = placed.groupBy("part").agg(mixed.alias("mixed"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).where("mixed").drop("mixed")
+    blocks_of = materialise(blocks_of)
+    total = blocks_of.agg(F.sum("members")).first()[0] or 0
     lean = sets.select(F.col("id").alias("rep"), "n", "bits").dropDuplicates(["rep"])
-    members = placed.join(blocks_of, "part").join(lean, "rep")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    members = joined_with_hot(placed.select("part", "rep", "component"), blocks_of, "part", "members", total).drop("members").join(lean, "rep")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     blocks = materialise(dealt.groupBy("part", "block").agg(F.collect_list(F.struct("rep", "component", "n", "bits")).alias("items")))
+    each = blocks_of.select("part", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = each.select("part", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     left = blocks.select("part", "block", F.col("items").alias("left"))
-    right = blocks.select("part", F.col("block").alias("block_2"), F.col("items").alias("right"))
-    return left.join(right, "part").where("block <= block_2").select("left", "right").mapInArrow(_block_pairs, "a long, b long").distinct()
+    right = blocks.select("part", F.col("block").alias("other"), F.col("items").alias("right"))
+    met = pairs.join(left, ["part", "block"]).join(right, ["part", "other"]).select("left", "right")
+    return met.mapInArrow(_block_pairs, "a long, b long").distinct()
 
 
 def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -259,11 +278,12 @@ def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(named) if small else named, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFrame:
     """n_shingles and component_id of each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more; component_id is the smallest
-    doc_id that links reach. Sets are compared by 64-bit hashes of shingles.
+    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. ``most_parts`` bounds the parts kept of a
+    sketch (see PARTS); with None all are kept, and no pair of any size rests on chance but for hash collisions.
 
     Null, empty and blank texts have no shingles and link with nothing, not even each other. Rows that repeat a doc_id
     count as linked with each other if they have words. A similarity of exactly 0.8 links. Rows with a null doc_id are
@@ -272,19 +292,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, high long, low long, bands array<struct<spare:int,parts:array<bigint>>>"
-    sketched = materialise(texts.mapInArrow(_sketch_rows, schema))
+    sketched = materialise(texts.mapInArrow(_sketch_rows(most_parts), schema))
     lean = sketched.select("doc_id", "n_shingles", "high", "low")
     copies = materialise(lean.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
     members = materialise(lean.join(copies, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")))
 
     banded = sketched.select("doc_id", F.posexplode("bands").alias("band", "sketch")).select("doc_id", "band", "sketch.spare", F.explode("sketch.parts").alias("part"))
     frequent = materialise(banded.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = banded.join(frequent, "part")
-    own = met.join(members.select("doc_id", "rep").distinct(), "doc_id").groupBy("rep", "band", "part").agg(F.max("n").alias("n"), F.min("spare").alias("spare"))
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    met = joined_with_hot(banded, frequent, "part", "n", total)
+    own = met.join(members.distinct(), "doc_id").groupBy("rep", "band", "part").agg(F.max("n").alias("n"), F.min("spare").alias("spare"), F.max("n_shingles").alias("size"))
     by_frequency = Window.partitionBy("rep", "band").orderBy(F.desc("n"), F.desc("part"))
-    kept = materialise(own.withColumn("place", F.row_number().over(by_frequency)).where("place > spare").select("rep", "part"))
-    ends = materialise(kept.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"))
-    shared = materialise(kept.join(ends, "part").select("part", "rep", "low", "high"))
+    # of two documents whose first shared part is this one, none has any of the other's rarer elements; in the first
+    # band parts are elements, so the rarer ones of both count towards their difference
+    before = F.when((F.col("band") == 0) & (F.col("size") <= FIRST), F.col("size") - F.col("place")).otherwise(0)
+    room = F.floor((F.col("size") + F.floor(100 * F.col("size") / PERCENT)) * (100 - PERCENT) / (100 + PERCENT))
+    kept = materialise(own.withColumn("place", F.row_number().over(by_frequency)).where("place > spare").select("rep", "part", before.alias("before"), room.alias("room")))
+    ends = materialise(kept.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members"), F.min("before").alias("least")).where("low < high"))
+    total = ends.agg(F.sum("members")).first()[0] or 0
+    shared = materialise(joined_with_hot(kept, ends, "part", "members", total).where("before + least <= room").select("part", "rep", "low", "high"))
 
     sets = materialise(_restricted(texts, shared.select(F.col("rep").alias("id")).distinct()).mapInArrow(_set_rows, "id long, n long, bits array<bigint>, elements array<bigint>"))
     stars = materialise(shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a < b").distinct())

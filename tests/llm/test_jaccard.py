@@ -94,6 +94,54 @@ def test_sketches_bound_the_difference():
                 assert len(np.intersect1d(x, y)) > spare
 
 
+def test_all_parts_when_asked_for():
+    """Without a bound on parts, similar sets of any size share more parts than may be left out."""
+    rng = np.random.default_rng(3)
+    for n in (600, 1500, 6000):
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            swap = (n + n) * 20 // 180 // 2
+            b = np.unique(np.concatenate([a[swap:], rng.integers(0, 1 << 63, swap, dtype=np.uint64)]))
+            for (spare, x), (_, y) in zip(jaccard.sketches(a, None), jaccard.sketches(b, None)):
+                assert len(x) > 100 and len(np.intersect1d(x, y)) > spare
+
+
+def test_sampled_parts_have_a_wide_margin():
+    """Pairs at the very threshold share far more of the sampled parts than may be left out."""
+    rng = np.random.default_rng(4)
+    margins = []
+    for n in (520, 700, 1100, 2500, 9000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            swap = (n + n) * 20 // 180 // 2
+            b = np.unique(np.concatenate([a[swap:], rng.integers(0, 1 << 63, swap, dtype=np.uint64)]))
+            margins += [len(np.intersect1d(x, y)) - spare for (spare, x), (_, y) in zip(jaccard.sketches(a), jaccard.sketches(b))]
+    assert len(margins) >= 200 and min(margins) >= 25
+
+
+def test_a_shared_template_is_not_compared(spark, monkeypatch):
+    """2,000 texts with 20 words in common and 5 of their own: none link, and none are compared with each other."""
+    compared = []
+    across, near = jaccard._across, jaccard._near
+    monkeypatch.setattr(jaccard, "_across", lambda placed, sets: compared.append(placed.count()) or across(placed, sets))
+    monkeypatch.setattr(jaccard, "_near", lambda pairs, sets: compared.append(pairs.count()) or near(pairs, sets))
+    template = " ".join(f"t{k}" for k in range(20))
+    rows = [(i, f"{template} " + " ".join(f"own{i}_{k}" for k in range(5))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == [(i, 21, i) for i in range(2000)]
+    assert compared == [0, 0]
+
+
+def test_a_hot_part_is_many_block_pairs(spark, monkeypatch):
+    """One part's documents are cut into blocks whose pairs are rows of their own, and every link is found."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(i, " ".join(edited(rng, base, 0.045))) for i in range(150)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
