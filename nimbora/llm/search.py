@@ -5,11 +5,13 @@ inner products with a query are the smallest distances from it. Vectors are keye
 of equal width, by their distance from it; each ring is cut into blocks of bounded size, sorted by that distance. A
 query that knows k vectors within distance R needs, of a pivot at distance d, only the annulus from d - R to d + R: by
 the triangle inequality nothing outside it is nearer than R. R comes first from the sample that the pivots were chosen
-from, then from the annuli of the query's own pivot, and then the annuli of all other pivots are opened.
+from, then from the annuli of the query's own pivot, and then the annuli of all other pivots are opened. Pivots grow
+with the square root of the vectors, up to a bound; queries meet blocks, not rings, so a full ring is many tasks' work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from nimbora.llm.common import bounded_batches, materialise
 
-#: Neighbours of a query, pivots, and vectors that the pivots are chosen from (a documented bound).
-TOP, PIVOTS, SAMPLE = 10, 16, 2_048
+#: Neighbours of a query, pivots at least and at most, and vectors that they are chosen from (a documented bound).
+TOP, PIVOTS, MOST_PIVOTS, SAMPLE = 10, 16, 256, 2_048
 
 #: Rings of a pivot, vectors of a block and queries of a block.
 RINGS, BLOCK, QUERIES = 8, 2_048, 64
@@ -89,12 +91,16 @@ def choose_pivots(points: np.ndarray, n: int) -> np.ndarray:
     return points[chosen]
 
 
-def fit_index(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> Index | None:
-    """Pivots and rings from the vectors of the smallest hashed ids, and the largest norm over all vectors."""
-    whole = vectors.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+def fit_index(vectors: DataFrame, pivots: int | None = None, sample: int = SAMPLE) -> Index | None:
+    """Pivots and rings from the vectors of the smallest hashed ids, and the largest norm over all vectors.
+
+    Without ``pivots``, their number is the square root of the number of full blocks, within the bounds above.
+    """
+    whole = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
     if whole["width"] is None:
         return None
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    pivots = pivots or max(PIVOTS, min(MOST_PIVOTS, math.isqrt(whole["n"] // BLOCK)))
     width = max(whole["width"], 1)
     rows = matrix(picked.column("v").combine_chunks(), width)
     top = np.sqrt(np.maximum(whole["square"] - (rows.astype(float) ** 2).sum(axis=1), 0.0))
@@ -115,7 +121,7 @@ def _keys(index: Index):
                 # what lies farther out than the sample reached is in the last ring
                 ring = np.minimum(near // index.ring, RINGS).astype(np.int32)
                 cell = pivot.astype(np.int32) * (RINGS + 1) + ring
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell), pa.array(near)], names=["vec_id", "v", "cell", "away"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "copies")), pa.array(cell), pa.array(near)], names=["vec_id", "v", "copies", "cell", "away"])
 
     return rows
 
@@ -156,11 +162,11 @@ def _compare(index: Index, top: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            out_q, out_v, out_s, out_c = ([np.empty(0, np.int64)] for _ in range(4))
             for i in range(batch.num_rows):
                 items, asked = batch.column("items")[i].values, batch.column("asked")[i].values
                 away = items.field("away").to_numpy()
-                ids, v = items.field("vec_id").to_numpy(), matrix(items.field("v"), index.width)
+                ids, copies, v = items.field("vec_id").to_numpy(), items.field("copies").to_numpy(), matrix(items.field("v"), index.width)
                 query, q = asked.field("query_id").to_numpy(), matrix(asked.field("v"), index.width)
                 known = asked.field("known").to_numpy()
                 pivot = batch.column("cell")[i].as_py() // (RINGS + 1)
@@ -176,54 +182,59 @@ def _compare(index: Index, top: int):
                     out_q.append(np.full(len(good), query[j]))
                     out_v.append(ids[a:b][good])
                     out_s.append(score[good])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+                    out_c.append(copies[a:b][good])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s, out_c)], names=["query_id", "vec_id", "score", "copies"])
 
     return rows
 
 
-def top_neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def top_neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """The ``top`` vectors of ``vectors`` with the largest inner products for each of ``queries`` (both vec_id, embedding).
 
     Returns query_id, rank (from 1), vec_id, score; fewer rows where there are fewer vectors. Components become
     floor(1024 * x). A vector is no neighbour of the query with its own id. Ties go to the smaller vec_id.
 
     Vectors that are null or hold a null or non-finite component take no part, as queries or neighbours; shorter
-    vectors count as filled up with zeros. Rows that repeat an id and vector count once. Empty tables give an empty
-    result. Other columns are not read. Products must stay below 2**63.
+    vectors count as filled up with zeros. Every row of ``vectors`` is a neighbour by itself: rows that repeat an id and
+    vector take a rank each, and so do different vectors of one id. A query id is asked once; if its rows have several
+    vectors, with the least of them, component by component. Empty tables give an empty result. Other columns are not
+    read. Products must stay below 2**63.
     """
     schema = "query_id long, rank int, vec_id long, score long"
     bounded_batches(vectors.sparkSession)
-    # a copy in the sample would count as one more neighbour and raise the first bound
-    taken = materialise(quantised(vectors).distinct())
+    # rows alike are one entry with a number of copies; in the sample each would raise the first bound
+    taken = materialise(quantised(vectors).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")))
     index = fit_index(taken, pivots, sample)
     if index is None:
         return taken.sparkSession.createDataFrame([], schema)
     # of equal vectors only the first ids can be among the best, one more than asked for as a query skips itself
     among_equals = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     useful = taken.withColumn("_n", among_equals).where(F.col("_n") <= top + 1).drop("_n")
-    keyed = materialise(useful.mapInArrow(_keys(index), "vec_id long, v array<bigint>, cell int, away double"))
+    keyed = materialise(useful.mapInArrow(_keys(index), "vec_id long, v array<bigint>, copies long, cell int, away double"))
     found = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()
     cells = {r["cell"]: (r["low"], r["high"]) for r in found}
     spark = taken.sparkSession
-    shares = spark.createDataFrame([(r["cell"], -(-r["n"] // BLOCK)) for r in found], "cell int, _blocks long")  # a row for each ring
-    dealt = keyed.join(F.broadcast(shares), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")))
-    blocks = materialise(dealt.groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("away", "vec_id", "v"))).alias("items")))
+    shares = F.broadcast(spark.createDataFrame([(r["cell"], -(-r["n"] // BLOCK)) for r in found], "cell int, _blocks int"))  # a row for each ring
+    dealt = keyed.join(shares, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int"))
+    blocks = materialise(dealt.groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("away", "vec_id", "v", "copies"))).alias("items")))
 
-    asked = materialise(quantised(queries).select(F.col("vec_id").alias("query_id"), "v").distinct())
+    asked = materialise(quantised(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")))
     parts = max(1, -(-asked.count() // QUERIES))
 
     def search(wanted: DataFrame, own_pivot: bool) -> DataFrame:
         visits = wanted.mapInArrow(_visits(index, cells, top, own_pivot), "query_id long, v array<bigint>, known long, cells array<bigint>")
         each = visits.select("query_id", "v", "known", F.explode(F.col("cells").cast("array<int>")).alias("cell")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
         grouped = each.groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "v", "known")).alias("asked"))
-        met = grouped.join(blocks, "cell").select("cell", "items", "asked")
-        return met.mapInArrow(_compare(index, top), "query_id long, vec_id long, score long")
+        spread = grouped.join(shares, "cell").select("cell", "asked", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+        met = spread.join(blocks, ["cell", "block"]).select("cell", "items", "asked")
+        return met.mapInArrow(_compare(index, top), "query_id long, vec_id long, score long, copies long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = materialise(search(asked, True))
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == top)
     kth = ranked.select("query_id", F.col("score").alias("kth"))
     bounded = materialise(asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-(2**62)))))
-    rest = search(bounded, False)
-    both = near.unionByName(rest).distinct()
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    both = near.unionByName(search(bounded, False))
+    first = both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= top)
+    rows = first.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(top)))).alias("_copy"))
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -14,13 +14,14 @@ def brute(rows, queries, top):
             return None
         return [math.floor(1024 * x) for x in v]
 
-    known = {i: w for i, v in rows if i is not None and (w := whole(v)) is not None}
-    out = set()
+    known = [(i, w) for i, v in rows if i is not None and (w := whole(v)) is not None]
+    asked = {}
     for i, v in queries:
-        w = whole(v)
-        if w is None:
-            continue
-        scored = sorted((-sum(a * b for a, b in zip(w, x)), j) for j, x in known.items() if j != i)[:top]
+        if (w := whole(v)) is not None:
+            asked[i] = min(w, asked.get(i, w))
+    out = set()
+    for i, w in asked.items():
+        scored = sorted((-sum(a * b for a, b in zip(w, x)), j) for j, x in known if j != i)[:top]
         out |= {(i, k, j, -s) for k, (s, j) in enumerate(scored, 1)}
     return out
 
@@ -42,6 +43,22 @@ def test_matches_brute_force(spark):
     assert run(spark, rows, queries, pivots=3, sample=40) == want
 
 
+def test_rings_of_many_blocks(spark, monkeypatch):
+    """One pivot and one ring hold nearly all vectors; queries meet their blocks one by one."""
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "QUERIES", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in 1 + 0.01 * rng.normal(size=6)]) for i in range(700)]
+    queries = [r for r in rows if r[0] % 20 == 0]
+    assert run(spark, rows, queries, sample=64) == sorted(brute(rows, queries, 10))
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(3, [9.0, 9.0]), (3, [-1.0, 2.0]), (3, [9.0, 9.0])]
+    queries = [(3, [9.0, 9.0]), (3, [-1.0, 2.0]), (20, [6.0, 0.0])]
+    assert run(spark, rows, queries) == sorted(brute(rows, queries, 10))
+
+
 def test_few_and_none(spark):
     rows = [(i, [float(i), 1.0]) for i in range(4)]
     assert run(spark, rows, rows) == sorted(brute(rows, rows, 10))
