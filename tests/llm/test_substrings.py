@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from nimbora.llm import substrings
 
 
+def cut(text):
+    """Sentences with the white space after them: a new one starts after a line's end or closing punctuation and space."""
+    sentences, start, closed = [], None, False
+    for k, c in enumerate(text):
+        if c.isspace():
+            if start is not None and (c == "\n" or text[k - 1] in ".!?"):
+                closed = True
+        elif start is None or closed:
+            if start is not None:
+                sentences.append(text[start:k])
+            start, closed = k, False
+    return sentences + ([text[start:]] if start is not None else [])
+
+
 def brute(rows, words):
     split = {}
     for i, t in rows:
-        starts = substrings.sentence_starts(t or "")
-        split[i] = [(t or "")[a:b] for a, b in zip(starts, [*starts[1:], len(t or "")])]
+        split[i] = cut(t or "")
     where = defaultdict(set)
     for i, sentences in split.items():
         plain = [tuple(s.lower().split()) for s in sentences]
         for a in range(len(plain)):
             for b in range(a, len(plain)):
-                if sum(map(len, plain[a : b + 1])) < words:
-                    continue
-                # the shortest run from a forward or from b backward
-                if sum(map(len, plain[a:b])) < words or sum(map(len, plain[a + 1 : b + 1])) < words:
-                    where[tuple(plain[a : b + 1])].add((i, a, b))
-                if sum(map(len, plain[a + 1 : b + 1])) >= words:
-                    break
+                if b - a + 1 >= substrings.SENTENCES and sum(map(len, plain[a : b + 1])) >= words:
+                    where[tuple(plain[a : b + 1])].add((i, a, b))  # every run, of any length
     gone = defaultdict(set)
     for places in where.values():
         for i, a, b in sorted(places)[1:]:
@@ -32,7 +40,7 @@ def brute(rows, words):
     out = {}
     for i, t in rows:
         kept = [s for k, s in enumerate(split[i]) if k not in gone[i]]
-        head = (t or "")[: substrings.sentence_starts(t or "")[0]] if split[i] else ""
+        head = (t or "")[: len(t or "") - len((t or "").lstrip())]
         out[i] = (sorted(gone[i]), (head + "".join(kept)).rstrip() if gone[i] else t)
     return out
 
@@ -52,8 +60,9 @@ def test_matches_brute_force(spark):
                 at = rng.randint(0, len(own))
                 own = own[:at] + p + own[at:]
         rows.append((i, rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n", "  \n"]).join(own)))
-    one = sentence(rng, 40)
-    rows += [(70, None), (71, ""), (72, " \n "), (73, one), (74, "Short. " + one.upper()), (75, one + " " + one), (76, "no end " * 30)]
+    one = sentence(rng, 40)  # a sentence by itself is no run
+    two = sentence(rng, 9) + " " + sentence(rng, 17)
+    rows += [(70, None), (71, ""), (72, " \n "), (73, one), (74, "Short. " + one.upper()), (75, one + " " + one), (76, "no end " * 30), (77, two), (78, "Short. " + two.upper()), (79, two + "\n" + two)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit(1)).withColumn("removed", F.lit("clash"))
     out = substrings.drop_repeated_spans(docs).collect()
     assert len(out) == len(rows)
@@ -62,6 +71,7 @@ def test_matches_brute_force(spark):
         assert (r["removed"], r["text"]) == want[r["doc_id"]], r["doc_id"]
         assert r["first"] == 1
     assert sum(bool(w[0]) for w in want.values()) > 10
+    assert not want[74][0] and want[78][0] == [1, 2] and want[79][0] == [0, 1, 2, 3]
 
 
 def test_hot_passage_and_repeated_rows(spark):
