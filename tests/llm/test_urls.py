@@ -33,15 +33,34 @@ def test_rules_match_brute_force(spark):
         assert r["verdict"] == verdict or verdict is None and r["verdict"] in ("allow", "block") and 0 <= r["block_probability"] <= 1
 
 
-def test_held_out_accuracy(spark):
-    """Trees that see rules for two path forms judge URLs whose hosts they never saw."""
-    known = [f"http://site{i}.{t}/{p}{'/7' * (i % 3)}" for i in range(60) for t, p in (("good", "a/b"), ("bad", "x9?u=1&v=2"))]
-    fresh = [f"http://other{i}.{t}/{p}" for i in range(50) for t, p in (("good", "a/b"), ("bad", "x9?u=1&v=2"))]
-    rules = [(f"site{i}.good", "/", "allow") for i in range(60)] + [(f"site{i}.bad", "/", "block") for i in range(60)]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(known + fresh)], "page_id long, url string")
+def lexical(names, i):
+    """Two URLs alike in suffix: a plain one and one that looks made by a machine."""
+    return [(f"http://{names}{i}.org/{'ab'[i % 2]}/page", "allow"), (f"http://{names}{i}-7x9-q2.org/x9/{i}/77?u=1&v=2&w={i}", "block")]
+
+
+def test_unseen_hosts_are_judged_by_their_form(spark):
+    """Trees that see rules for some hosts judge hosts they never saw; both verdicts share one suffix."""
+    known = [x for i in range(60) for x in lexical("site", i)]
+    fresh = [x for i in range(50) for x in lexical("other", i)]
+    rules = [(brute(u)[0], "/", v) for u, v in known]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(known + fresh)], "page_id long, url string")
+    want = dict(fresh)
     out = urls.judge_urls(pages, rules, trees=5).where("rule is null").collect()
     assert len(out) == len(fresh)
-    assert sum(r["verdict"] == ("block" if ".bad/" in r["url"] else "allow") for r in out) >= 0.95 * len(fresh)
+    assert sum(r["verdict"] == want[r["url"]] for r in out) >= 0.95 * len(fresh)
+    held = {r["verdict"]: r for r in urls.held_out_accuracy(pages, rules, trees=5).collect()}
+    assert set(held) == {"allow", "block"} and all(r["share"] >= 0.9 and r["n"] >= 5 for r in held.values())
+
+
+def test_a_suffix_alone_teaches_nothing_of_its_own_fold(spark):
+    """Each suffix is met in one host alone, so out-of-fold shares are all at the prior and cannot tell the labels."""
+    rows = [(i, f"http://h.s{i}/", "block" if i % 2 else "allow") for i in range(40)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    featured, counts = urls._labelled(pages, [(f"s{i}", "/", v) for i, _, v in rows], 100)
+    assert {r["_suffix"]: r["_count"] for r in counts.collect()} == {f"s{i}": 1 for i in range(40)}
+    model = urls._fitted(featured, 3, 2)
+    shared = urls.FEATURES.index("suffix_blocked")
+    assert model.featureImportances.toArray()[shared] == 0.0
 
 
 def test_empty_and_one_class(spark):
