@@ -68,10 +68,30 @@ def slots(gram: np.ndarray) -> list[np.ndarray]:
     return [(h + np.uint32(i) * step) & np.uint32((1 << SLOT_BITS) - 1) for i in range(PROBES)]
 
 
-def blocks(data: bytes) -> Iterator[bytes]:
-    """Parts of ``data`` that overlap so that each window lies in one of them."""
-    for i in range(0, len(data) - GRAM + 1, CHUNK):
-        yield data[i : i + CHUNK + GRAM - 1]
+def bundles(texts: list[bytes]) -> Iterator[tuple[list[int], bytes, np.ndarray]]:
+    """The padded texts joined to at most CHUNK bytes: numbers of the texts, the bytes, and where each text starts.
+
+    A longer text comes by itself, in parts that overlap so that each of its windows lies in one of them.
+    """
+    numbers: list[int] = []
+    room = 0
+    for i, data in enumerate(texts):
+        if len(data) > CHUNK:
+            for k in range(0, len(data) - GRAM + 1, CHUNK):
+                yield [i], data[k : k + CHUNK + GRAM - 1], np.zeros(1, np.int64)
+            continue
+        if numbers and room + len(data) > CHUNK:
+            yield numbers, b"".join(texts[n] for n in numbers), np.cumsum([0, *(len(texts[n]) for n in numbers)])[:-1]
+            numbers, room = [], 0
+        numbers.append(i)
+        room += len(data)
+    if numbers:
+        yield numbers, b"".join(texts[n] for n in numbers), np.cumsum([0, *(len(texts[n]) for n in numbers)])[:-1]
+
+
+def across(starts: np.ndarray) -> np.ndarray:
+    """The windows that lie over the border of two joined texts; they belong to none."""
+    return (starts[1:, None] - np.arange(1, GRAM)).ravel()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +101,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             by_lang.setdefault(lang, []).append(padded(text.as_py()))
         for lang, texts in by_lang.items():
-            # the pads keep windows over the border of two texts apart from those within a text
-            for block in blocks(b"".join(texts)):
-                values, n = np.unique(grams(block), return_counts=True)
+            for _, data, starts in bundles(texts):
+                values, n = np.unique(np.delete(grams(data), across(starts)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
 
@@ -112,6 +131,7 @@ class Model:
         for slot in slots(grams(data)):
             hit = self.table[slot]
             found = hit if found is None else found & hit
+        found[across(starts)] = 0
         hits = np.empty((len(starts), len(self.languages)))
         for k in range(len(self.languages)):
             bit = (found[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
@@ -121,36 +141,13 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
         """Language and score of each text, the share of its n-grams known to that language, and the margin over the next."""
         hits, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        waiting: list[int] = []
-        held: list[bytes] = []
-
-        def flush() -> None:
-            if waiting:
-                starts = np.cumsum([0, *map(len, held)])[:-1]
-                hits[waiting] += self.counts(b"".join(held), starts)
-                waiting.clear()
-                held.clear()
-
-        if self.languages:
-            room = 0
-            for i, text in enumerate(texts):
-                if text is None or not LETTER.search(text):
-                    continue
-                data = padded(text)
-                sizes[i] = len(data) - GRAM + 1
-                if len(data) > CHUNK:
-                    for block in blocks(data):
-                        hits[i] += self.counts(block, np.array([0]))[0]
-                    continue
-                if room + len(data) > CHUNK:
-                    flush()
-                    room = 0
-                waiting.append(i)
-                held.append(data)
-                room += len(data)
-            flush()
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        lettered = [i for i, text in enumerate(texts) if text is not None and LETTER.search(text)]
+        data = [padded(texts[i]) for i in lettered]
+        sizes[lettered] = [len(d) - GRAM + 1 for d in data]
+        for numbers, joined, starts in bundles(data):
+            hits[[lettered[n] for n in numbers]] += self.counts(joined, starts)
         real = np.maximum(0.0, (hits - sizes[:, None] * self.false_rate) / (1.0 - self.false_rate))
         best, total = real.argmax(axis=1), real.sum(axis=1)
         largest = real[np.arange(len(texts)), best]
@@ -215,8 +212,8 @@ def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     ``score`` is the language's share of all corrected counts. Texts that are null, empty or without a letter are
     ``und`` with score 0, as is everything if nothing could be learnt. A text none of whose n-grams is known gets the
-    language with most training n-grams and score 0. Ties go to the language first in order. Repeated rows are judged
-    alike, an empty table gives an empty result, and texts of any length are read whole. Columns that bear an added
+    language with most training n-grams and score 0. Ties go to the language first in order. A text's neighbours in a
+    batch have no part in its counts, so repeated rows are judged alike. An empty table gives an empty result, and texts of any length are read whole. Columns that bear an added
     name are replaced, others stay.
     """
     return _judged(docs, fit_languages(training), ["lang_pred", "score"])
