@@ -1,7 +1,7 @@
 """License scans: ordered signature rules, gated by keywords, with overlaps resolved.
 
 A table of rules is made from license families (below) and phrase forms: each rule is a regular expression over the
-lower-cased text, with a gate, a mark, a priority and a weight. Gate and mark are literals that every match of the rule
+text with A-Z lower-cased, with a gate, a mark, a priority and a weight. Gate and mark are literals that every match of the rule
 contains, so a rule is tried only where the text contains both, as words or within them. All matches, as character
 intervals, are resolved in two ordered passes: an interval that lies inside another one is suppressed (of equal intervals the one of higher priority
 stays), then of two that overlap in part the one of higher priority stays, the earlier one on ties.
@@ -16,7 +16,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import whole_text
+from nimbora.llm.common import LOWER, UPPER, whole_text
 
 #: License families as (label, marks, title pattern, short name pattern, SPDX pattern, address pattern); the
 #: marks are literals without which the title, the short name and the address cannot match.
@@ -183,7 +183,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     gates = sorted({r[k] for r in table for k in ("gate", "mark")} | {"license"})
     rule_list = _literal([{k: r[k] for k in ("gate", "mark", "regex", "label", "priority", "rule", "weight")} for r in table], "gate:string,mark:string,regex:string,label:string,priority:int,rule:int,weight:double")
 
-    words = clear.withColumn("_lower", F.lower(whole_text())).withColumn("_words", F.array_remove(F.split("_lower", BETWEEN), ""))
+    words = clear.withColumn("_lower", F.translate(whole_text(), UPPER, LOWER)).withColumn("_words", F.array_remove(F.split("_lower", BETWEEN), ""))
     gated = words.withColumn("_gates", F.filter(F.split(F.lit(" ".join(gates)), " "), lambda g: F.contains(F.col("_lower"), g)))
 
     none = F.array().cast("array<struct<word:int,label:string>>")

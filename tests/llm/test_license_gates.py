@@ -31,7 +31,7 @@ def some(tree, rng):
 
 
 def brute(text):
-    low = text.lower()
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     hits = [(m.start(), m.end(), r["priority"], r["rule"], r["label"], r["weight"]) for r, c in zip(RULES, COMPILED, strict=True) for m in c.finditer(low)]
     hits.sort(key=lambda h: (h[0], -h[1], -h[2], h[3]))
     reach, kept = -1, []

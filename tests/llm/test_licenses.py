@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from nimbora.llm import licenses
 
-RULES = [(r, re.compile(r["regex"])) for r in licenses.rules()]
+RULES = [(r, re.compile(r["regex"], re.ASCII)) for r in licenses.rules()]
 
 
 def brute(text):
-    low = (text or "").lower()
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     places = []
     for i in range(len(words)):
         places += [(i, label) for phrase, label in licenses.BASE if words[i : i + len(phrase)] == phrase]
-    hits = [(m.start(), m.end(), r["priority"], r["rule"], r["label"], r["weight"]) for r, c in RULES if r["gate"] in words for m in c.finditer(low)]
+    hits = [(m.start(), m.end(), r["priority"], r["rule"], r["label"], r["weight"]) for r, c in RULES for m in c.finditer(low)]
     hits.sort(key=lambda h: (h[0], -h[1], -h[2], h[3]))
     reach, maximal = -1, []
     for h in hits:
