@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -99,6 +100,30 @@ def test_stages(spark, folder, monkeypatch, tmp_path):
     assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in outputs[4].collect()) == pieces
 
 
+def test_odd_rows_pass_the_stages(spark, folder):
+    """Null and repeated ids, a very long text and columns with clashing names, stage by stage."""
+    base, _ = folder
+    good = spark.read.parquet(f"{base}/documents.parquet").where("doc_id < 40")
+    rng = random.Random(12)
+    pool = good.where("lang = 'aa'").first()["text"].split()
+    long = " ".join(rng.choice(pool) + "." * (k % 9 == 8) for k in range(20_000))
+    one = good.where("lang = 'aa'").first()
+    extra = [(None, one["text"], "aa", None, None), (None, None, None, None, None), (one["doc_id"], one["text"], "aa", "s9", 5), (900, long, "aa", "s9", 7), (901, long, "aa", "s9", 7)]
+    docs = good.unionByName(spark.createDataFrame(extra, good.schema))
+    for k, clash in enumerate(["kept", "lang_pred", "component_id", "removed", "piece"]):
+        out = corpus_pipeline.STAGES[k][1](spark, docs.withColumn(clash, F.lit("clash")), base)
+        assert k == 4 or out.columns == corpus_pipeline.COLUMNS
+        ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        if k == 0:
+            assert ids[one["doc_id"]] in (0, 2) and ids[900] == ids[901] and ids[None] <= 1
+        elif k == 1:
+            assert ids[one["doc_id"]] == 2 and ids[None] == 1 and ids[900] == ids[901] == 1
+        elif k < 4:
+            assert ids[one["doc_id"]] == 2 and ids[None] == 2 and ids[900] == 1 and ids[901] == 0
+        else:
+            assert ids[None] >= 2 and ids[900] == ids[901] > 10 and ids[one["doc_id"]] >= 2
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
