@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nimbora.functions.normal import erf
+from nimbora.operators.ordered import written
 
 
 def climatology(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -41,16 +45,68 @@ def emos_probability(rows: DataFrame, fit: DataFrame, cuts: DataFrame, keys: lis
     return met.groupBy(*keys).agg((1 - F.exp(gamma * F.sum(F.ln(inside)))).alias("p"))
 
 
-def analog_votes(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Share of label 1 .. n among the k nearest rows by squared distance: query_id, label, share.
+#: Vectors of a block, and queries that are compared with it at a time.
+VECTORS, ASKED = 2_048, 64
 
-    ``queries`` is a stated, small set that is compared with all rows; rows (id, v, label).
+
+def _nearest(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                items, asked = batch.column("items")[i].values, batch.column("asked")[i].values
+                ids, labels = items.field("id").to_numpy(), items.field("label").to_numpy()
+                known = np.stack(items.field("v").to_numpy(zero_copy_only=False))
+                for query, q in zip(asked.field("id").to_numpy(), asked.field("v").to_numpy(zero_copy_only=False), strict=True):
+                    far = ((known - q) ** 2).sum(axis=1)
+                    far[ids == query] = np.inf
+                    near = np.lexsort((ids, far))[:k]
+                    near = near[np.isfinite(far[near])]
+                    found.append((np.full(len(near), query), ids[near], labels[near], far[near]))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "label", "d"])
+
+    return rows
+
+
+def standardised(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (v, ...) with each component less its mean over all rows, divided by its deviation (by 1 where that is 0)."""
+    parts = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    found = sorted(parts.collect())  # a row for each component
+    mean, deviation = (F.array(*[F.lit(float(x)) for x in c]) for c in ([r["m"] for r in found], [r["s"] or 1.0 for r in found]))
+    scaled = F.zip_with(F.zip_with("v", mean, lambda x, m: x - m), deviation, lambda x, s: x / s)
+    return vectors.withColumn("v", scaled)
+
+
+def analog_votes(vectors: DataFrame, queries: Column, k: int = 50) -> DataFrame:
+    """Share of each label among the ``k`` nearest other rows (all, if fewer): query_id, label, share.
+
+    ``vectors`` has id, v (doubles, all of one length) and label (whole numbers); the rows where ``queries`` holds are
+    asked about. Components are standardised over all rows; ties go to the smaller id. Vectors and queries are cut into
+    blocks of bounded size, and every pair of blocks is a row of its own, so no side is sent to all.
     """
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    apart = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    met = vectors.join(q, F.col("query_id") != F.col("id")).select("query_id", "id", "label", apart.alias("d"))
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") <= k)
-    return near.groupBy("query_id", "label").agg((F.count(F.lit(1)) / k).alias("share"))
+    spark = vectors.sparkSession
+    scaled = written(standardised(vectors).select(F.col("id").cast("long").alias("id"), "v", F.col("label").cast("long").alias("label")))
+    n = scaled.count()
+    if n < 2:
+        return spark.createDataFrame([], "query_id long, label long, share double")
+    asked = scaled.where(queries)
+    n_blocks, n_asked = -(-n // VECTORS), max(1, -(-asked.count() // ASKED))
+
+    def blocks(rows: DataFrame, parts: int, name: str, columns: list[str]) -> DataFrame:
+        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(f"{name}_block")).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+    pairs = spark.range(n_blocks * n_asked).select((F.col("id") % n_blocks).alias("items_block"), F.floor(F.col("id") / n_blocks).alias("asked_block"))
+    met = pairs.join(blocks(scaled, n_blocks, "items", ["id", "v", "label"]), "items_block").join(blocks(asked, n_asked, "asked", ["id", "v"]), "asked_block")
+    near = met.select("items", "asked").mapInArrow(_nearest(k), "query_id long, id long, label long, d double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") <= k)
+    return best.groupBy("query_id", "label").agg((F.count(F.lit(1)) / min(k, n - 1)).alias("share"))
+
+
+def best_rung(scores: DataFrame, least: float = 0.01) -> DataFrame:
+    """The rung (name, skill) of the highest skill, by name on ties, and whether that skill is negligible."""
+    top = scores.where("skill IS NOT NULL").orderBy(F.desc("skill"), "name").limit(1)
+    return top.select("name", "skill", (F.col("skill") < least).alias("negligible"))
 
 
 def skill_by(rows: DataFrame, by: list[str], least: int = 20) -> DataFrame:

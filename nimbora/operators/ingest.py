@@ -50,15 +50,21 @@ def converted(value: Column, unit: Column) -> Column:
 
 
 def dates(init: Column, valid: Column, lead: Column) -> tuple[Column, Column, Column]:
-    """Fills in the one of initial date, valid date and lead that is missing; lead 1 is the initial day."""
+    """Fills in the one of initial date, valid date and lead that is missing. An upload's lead is the days between them."""
     return (
-        F.coalesce(init, F.date_sub(valid, (lead - 1).cast("int"))),
-        F.coalesce(valid, F.date_add(init, (lead - 1).cast("int"))),
-        F.coalesce(lead, (F.datediff(valid, init) + 1).cast("int")),
+        F.coalesce(init, F.date_sub(valid, lead.cast("int"))),
+        F.coalesce(valid, F.date_add(init, lead.cast("int"))),
+        F.coalesce(lead.cast("int"), F.datediff(valid, init)),
     )
 
 
+#: A table of names is sent to all executors up to this number of rows, else joined by a shuffle.
+BROADCAST_NAMES = 100_000
+
+
 def resolve(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    """Adds region_id by the plain form of a name; null where none fits. ``names`` (name, region_id) is a small table."""
-    known = F.broadcast(names.select(plain_header(F.col("name")).alias("_plain"), "region_id"))
-    return rows.withColumn("_plain", plain_header(F.col(column))).join(known, "_plain", "left").drop("_plain")
+    """Adds region_id by the plain form of a name (``names``: name, region_id); null where none or more than one fits."""
+    plain = names.select(plain_header(F.col("name")).alias("_plain"), "region_id").where(F.col("_plain").isNotNull()).distinct()
+    known = plain.groupBy("_plain").agg(F.min("region_id").alias("region_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    small = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    return rows.withColumn("_plain", plain_header(F.col(column))).join(F.broadcast(known) if small else known, "_plain", "left").drop("_plain")

@@ -43,7 +43,10 @@ def drop_beyond_lead(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
 
 
 def ensemble(forecasts: DataFrame, angle: str, keys: list[str]) -> DataFrame:
-    """Mean, spread and number of members; circular where the variable is an angle, spread null below two members."""
+    """Mean, spread and number of members; circular where the variable is an angle, spread null below two members.
+
+    ``east`` and ``north`` are the mean sine and cosine, from which angles are pooled further.
+    """
     turn = F.radians("forecast_value")
     east, north = F.avg(F.sin(turn)), F.avg(F.cos(turn))
     is_angle, n = F.col("variable") == angle, F.count("forecast_value")
@@ -51,4 +54,6 @@ def ensemble(forecasts: DataFrame, angle: str, keys: list[str]) -> DataFrame:
         n.alias("n_members"),
         F.when(is_angle, heading(east, north)).otherwise(F.avg("forecast_value")).alias("fc_mean"),
         F.when(n < 2, None).when(is_angle, deviation(F.sqrt(east * east + north * north))).otherwise(F.stddev_samp("forecast_value")).alias("spread"),
+        east.alias("east"),
+        north.alias("north"),
     )

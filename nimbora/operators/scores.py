@@ -1,6 +1,7 @@
 """Verification of probabilities (p) against outcomes (y, 0 or 1), from counts for each distinct p.
 
-Scores are first counted by distinct probability, so what is ordered afterwards grows with the distinct values only.
+Scores are first counted by distinct probability. What is ordered afterwards is dealt by ranges of it, so that as many
+distinct values as there are rows are no one task's work.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nimbora.functions.normal import cdf, quantile
+from nimbora.operators.ordered import by_ranges, running_sums
 
 CLIP = 1e-6
 
@@ -22,8 +24,7 @@ def histogram(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def roc_auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null with one class."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = histogram(rows, by).withColumn("below", F.coalesce(F.sum("nn").over(w), F.lit(0)))
+    below = running_sums(histogram(rows, by), [F.col("p")], {"below": "nn"}, by, inclusive=False)
     return below.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("np") * (F.col("below") + F.col("nn") / 2)), F.sum("np").cast("double") * F.sum("nn")).alias("auc"),
         F.sum("np").alias("n_pos"),
@@ -33,9 +34,8 @@ def roc_auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Area under the precision-recall steps."""
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    h = histogram(rows)
-    run = h.select("np", F.sum("np").over(w).alias("tp"), F.sum(F.col("np") + F.col("nn")).over(w).alias("called"))
+    h = histogram(rows).withColumn("both", F.col("np") + F.col("nn"))
+    run = running_sums(h, [F.desc("p")], {"tp": "np", "called": "both"})
     return run.agg(F.try_divide(F.sum(F.col("np") * F.col("tp") / F.col("called")), F.sum("np")).alias("average_precision"))
 
 
@@ -90,10 +90,8 @@ def sedi(rows: DataFrame, cut: float = 0.5) -> DataFrame:
 def economic_value(rows: DataFrame, steps: int = 99) -> DataFrame:
     """Relative economic value for cost-loss ratios 1/(steps+1), ...: the best over all thresholds and never acting."""
     spark = rows.sparkSession
-    h = histogram(rows)
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    totals = h.agg(F.sum("np").alias("pos"), F.sum("nn").alias("neg"))
-    called = h.select(F.sum("np").over(w).alias("tp"), F.sum("nn").over(w).alias("fp"))
+    called = running_sums(histogram(rows), [F.desc("p")], {"tp": "np", "fp": "nn"})
+    totals = called.agg(F.sum("np").alias("pos"), F.sum("nn").alias("neg"))
     rates = called.crossJoin(F.broadcast(totals)).where("pos > 0 AND neg > 0").select((F.col("tp") / F.col("pos")).alias("hit"), (F.col("fp") / F.col("neg")).alias("fa"), (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("s"))
     alphas = spark.range(1, steps + 1).select((F.col("id") / (steps + 1)).alias("alpha"))
     a, s = F.col("alpha"), F.col("s")
@@ -107,14 +105,22 @@ def economic_value(rows: DataFrame, steps: int = 99) -> DataFrame:
 def conformal_threshold(rows: DataFrame, alpha: float) -> DataFrame:
     """The one row (q, n): the k-th smallest nonconformity, k = min(ceil((n + 1)(1 - alpha)), n)."""
     scores = rows.select(F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p")).alias("score"))
-    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("score", F.sum("c").over(w).alias("upto"))
-    n = scores.agg(F.count(F.lit(1)).alias("n"))
+    run = running_sums(scores.groupBy("score").agg(F.count(F.lit(1)).alias("c")), [F.col("score")], {"upto": "c"})
+    n = run.agg(F.sum("c").alias("n"))
     k = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n"))
     return run.crossJoin(F.broadcast(n)).where(F.col("upto") >= k).agg(F.min("score").alias("q"), F.max("n").alias("n"))
 
 
+def economic_value_at(curve: DataFrame, alpha: float) -> DataFrame:
+    """The row of ``curve`` (alpha, value) whose cost-loss ratio is nearest to ``alpha``, the smaller one of two."""
+    return curve.orderBy(F.abs(F.col("alpha") - alpha), "alpha").limit(1)
+
+
+def economic_value_peak(curve: DataFrame) -> DataFrame:
+    """The row of ``curve`` (alpha, value) of the highest value, the smallest ratio of several."""
+    return curve.where("value IS NOT NULL").orderBy(F.desc("value"), "alpha").limit(1)
+
+
 def conformal_sets(rows: DataFrame, threshold: DataFrame) -> DataFrame:
     """Counts of prediction sets: both, only 1, only 0 or none, and how many hold the outcome."""
     inside = rows.crossJoin(F.broadcast(threshold.select("q"))).select("y", (F.col("p") <= F.col("q")).alias("zero"), ((1 - F.col("p")) <= F.col("q")).alias("one"))
@@ -131,25 +137,42 @@ def binormal(rows: DataFrame) -> DataFrame:
     return m.withColumn("binormal_auc", F.when((F.col("n0") >= 2) & (F.col("n1") >= 2), cdf(distance)))
 
 
+def _pool(rows, pos: str, n: str):
+    """Which block each row of a frame, in order, falls in when neighbours out of order are pooled."""
+    blocks: list[list[float]] = []
+    for a, b in zip(rows[pos], rows[n], strict=True):
+        blocks.append([a, b, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last, strict=True)]
+    return [k for k, block in enumerate(blocks) for _ in range(int(block[2]))], [block[0] / block[1] for block in blocks]
+
+
 def pooled_adjacent(rows: DataFrame) -> DataFrame:
-    """Isotonic fit of the outcome on p: p, fitted, n, one row a distinct p.
+    """Isotonic fit of the outcome on p: p, fitted, np, nn, one row a distinct p.
 
-    The violators are pooled over the distinct probabilities; where there are more than a task should hold, round p first.
+    Violators may be pooled in any order, so ranges of p are pooled side by side, and then the blocks that are left over.
+    Their observed shares rise strictly within a range, and m such shares need about m ** 1.5 outcomes at the least, so
+    the second step holds a small part of the rows whatever the data.
     """
     import pandas as pd
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        blocks: list[list[float]] = []
-        for pos, n in zip(pdf["np"], pdf["np"] + pdf["nn"], strict=True):
-            blocks.append([pos, n, 1])
-            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-                last = blocks.pop()
-                blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-        fitted = [b[0] / b[1] for b in blocks for _ in range(int(b[2]))]
-        return pd.DataFrame({"p": pdf["p"].to_numpy(), "fitted": fitted, "np": pdf["np"].to_numpy(), "nn": pdf["nn"].to_numpy()})
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ignore_index=True)
+        pdf["_block"], _ = _pool(pdf.assign(n=pdf["np"] + pdf["nn"]), "np", "n")
+        return pdf[["p", "np", "nn", "_range", "_block"]]
+
+    def over(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ignore_index=True)
+        block, fitted = _pool(pdf, "np", "n")
+        pdf["fitted"] = [fitted[k] for k in block]
+        return pdf[["_range", "_block", "fitted"]]
 
-    return histogram(rows).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "p double, fitted double, np long, nn long")
+    dealt = by_ranges(histogram(rows), [F.col("p")])
+    local = dealt.groupBy("_range").applyInPandas(within, "p double, np long, nn long, _range int, _block int")
+    left = local.groupBy("_range", "_block").agg(F.min("p").alias("p"), F.sum("np").alias("np"), F.sum(F.col("np") + F.col("nn")).alias("n"))
+    fitted = left.groupBy(F.lit(0).alias("_one")).applyInPandas(over, "_range int, _block int, fitted double")
+    return local.join(fitted, ["_range", "_block"]).select("p", "fitted", "np", "nn")
 
 
 def brier_decomposition(rows: DataFrame) -> DataFrame:
@@ -165,7 +188,7 @@ def brier_decomposition(rows: DataFrame) -> DataFrame:
     return made.select("brier", (F.col("brier") - F.col("fit")).alias("mcb"), (unc - F.col("fit")).alias("dsc"), unc.alias("unc"))
 
 
-def block_bootstrap(rows: DataFrame, draws: int = 200, block: int = 3, level: float = 0.95, seed: int = 7) -> DataFrame:
+def block_bootstrap(rows: DataFrame, draws: int = 1000, block: int = 3, level: float = 0.95, seed: int = 7) -> DataFrame:
     """Percentile interval of the ROC area over draws of runs of consecutive cycles (init_date), wrapped at the end.
 
     Draws and starts come from hashes, so they are the same each time. The counts of a (cycle, p) are what is redrawn.

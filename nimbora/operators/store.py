@@ -34,6 +34,12 @@ def summary(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.groupBy("variable").agg(*counts, F.countDistinct("region_id").alias("regions"), F.min("valid_date").alias("first_day"), F.max("valid_date").alias("last_day"))
 
 
+def stratified_sample(rows: DataFrame, by: list[str], keys: list[str], n: int) -> DataFrame:
+    """``n`` rows of each stratum (all, if fewer), those whose keys have the least hashes: the same rows each time."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", *keys)), *keys))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 def missing_keys(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``wanted`` without a row in ``present``."""
     return wanted.select(*keys).distinct().join(present.select(*keys), keys, "left_anti")

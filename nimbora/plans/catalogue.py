@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from nimbora.plans import forecast_queries
 
 #: Modules that register queries.
-MODULES = ["forecast_queries", "score_queries", "serving_queries", "store_queries", "model_queries", "stream_queries"]
+MODULES = ["forecast_queries", "score_queries", "serving_queries", "store_queries", "model_queries", "stream_queries", "source_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of badly wrong forecasts by region and lead."""
     made = forecast_queries.labelled(spark, sf_dir)
-    return made.groupBy("region_id", "lead_time_days").agg(F.avg("y_bust").alias("bust_rate"), F.count(F.lit(1)).alias("n_events"))
+    return made.groupBy("region_id", "lead_time_days").agg(F.round(F.avg("y_bust"), 8).alias("bust_rate"), F.count(F.lit(1)).alias("n_events"))
 
 
 def _registries() -> list:
@@ -34,7 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    found: dict[str, str] = {}
+    found: dict[str, str] = {"bust_rate_by_lead": forecast_queries.with_sql(*forecast_queries.ALL) + "SELECT region_id, lead_time_days, round(avg(y_bust), 8) AS bust_rate, count(*) AS n_events FROM labelled GROUP BY ALL"}
     for r in _registries():
         found.update(r.sql)
     return found

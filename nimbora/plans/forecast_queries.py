@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.operators import bias, events, pairing, trajectories
+from nimbora.operators import bias, events, frames, pairing, trajectories
+from nimbora.operators.ordered import written
 from nimbora.plans.registry import Registry
 from nimbora.plans.views import ANGLE, EVENT, EVENTS, FC, LABELLED, MEMBERS, OB, PAIRED, THRESHOLDS, VARIABLES, forecasts, observations, table, with_sql
 
@@ -32,7 +33,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, d: str) -> DataFrame:
     """Event rows by variable."""
-    return events.event_rows(paired(spark, d))
+    return events.event_rows(paired(spark, d), ANGLE)
 
 
 def cuts(rows: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ R.add(
     lambda s, d: pairing.drop_beyond_lead(forecasts(s, d), CAPS).groupBy("variable", "lead_time_days").agg(F.count(F.lit(1)).alias("n")),
     with_sql(FC) + "SELECT variable, lead_time_days, count(*) AS n FROM fc WHERE NOT (variable = 'view' AND lead_time_days > 5 OR variable = 'signup' AND lead_time_days > 3) GROUP BY ALL",
 )
-R.add("ensemble_mean_spread", members, with_sql(FC, MEMBERS) + "SELECT region_id, init_date, valid_date, lead_time_days, variable, n_members, fc_mean, spread FROM members", ("fc_mean", "spread"))
+R.add("ensemble_mean_spread", lambda s, d: members(s, d).drop("east", "north"), with_sql(FC, MEMBERS) + "SELECT region_id, init_date, valid_date, lead_time_days, variable, n_members, fc_mean, spread FROM members", ("fc_mean", "spread"))
 R.add("circular_mean", lambda s, d: members(s, d).where(F.col("variable") == ANGLE).select(*EVENT, "fc_mean"), with_sql(FC, MEMBERS) + "SELECT region_id, init_date, valid_date, lead_time_days, fc_mean FROM members WHERE variable = 'error'", ("fc_mean",))
-R.add("trajectories", runs, with_sql(FC, RUNS) + "SELECT region_id, variable, valid_date, init_date, n_members, fc_mean, spread FROM members", ("fc_mean", "spread"))
+R.add("trajectories", lambda s, d: runs(s, d).drop("east", "north"), with_sql(FC, RUNS) + "SELECT region_id, variable, valid_date, init_date, n_members, fc_mean, spread FROM members", ("fc_mean", "spread"))
 
 JUMPS = """steps AS (
   SELECT *, fc_mean - lag(fc_mean) OVER w AS e0, lag(fc_mean, 1) OVER w - lag(fc_mean, 2) OVER w AS e1,
@@ -97,8 +98,8 @@ jumps AS (
 KEYS4 = ["region_id", "variable", "valid_date", "init_date"]
 R.add(
     "jumpiness",
-    lambda s, d: trajectories.jumpiness(runs(s, d).where(F.col("variable") != ANGLE), ANGLE).select(*KEYS4, "jump_abs", "jump_std", "jump_flips"),
-    with_sql(FC, RUNS, JUMPS) + "SELECT region_id, variable, valid_date, init_date, jump_abs, jump_std, jump_flips FROM jumps WHERE variable <> 'error'",
+    lambda s, d: trajectories.jumpiness(runs(s, d), ANGLE).select(*KEYS4, "jump_abs", "jump_std", "jump_flips"),
+    with_sql(FC, RUNS, JUMPS) + "SELECT region_id, variable, valid_date, init_date, jump_abs, jump_std, jump_flips FROM jumps",
     ("jump_abs", "jump_std"),
 )
 R.add("jump_circular", lambda s, d: trajectories.jumpiness(runs(s, d), ANGLE).where(F.col("variable") == ANGLE).select(*KEYS4, "jump_abs"), with_sql(FC, RUNS, JUMPS) + "SELECT region_id, variable, valid_date, init_date, jump_abs FROM jumps WHERE variable = 'error'", ("jump_abs",))
@@ -119,13 +120,16 @@ R.add("jump_climatology", _jump_climatology, with_sql(FC, RUNS, JUMPS) + "SELECT
 R.add("jump_relative", _jump_relative, with_sql(FC, RUNS, JUMPS) + "SELECT region_id, variable, valid_date, init_date, CASE WHEN usual > 0 THEN jump_abs / usual END AS relative FROM (SELECT *, avg(jump_abs) OVER (PARTITION BY region_id, variable) AS usual FROM jumps)", ("relative",))
 LAF = """prior AS (
   SELECT *, coalesce(list(fc_mean) OVER (PARTITION BY region_id, variable, valid_date ORDER BY init_date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS p FROM members),
-pool AS (SELECT *, n_members + len(p) AS laf_size, (n_members * fc_mean + coalesce(list_sum(p), 0)) / (n_members + len(p)) AS laf_mean FROM prior),
-dev AS (SELECT *, CASE WHEN laf_size >= 2 THEN sqrt((CASE WHEN n_members > 1 THEN (n_members - 1) * spread * spread ELSE 0 END
+vec AS (SELECT *, n_members + len(p) AS laf_size, n_members * east + coalesce(list_sum(list_transform(p, lambda x: sin(radians(x)))), 0) AS pe,
+    n_members * north + coalesce(list_sum(list_transform(p, lambda x: cos(radians(x)))), 0) AS pn FROM prior),
+pool AS (SELECT *, CASE WHEN variable = 'error' THEN ((degrees(atan2(pe, pn)) % 360) + 360) % 360
+    ELSE (n_members * fc_mean + coalesce(list_sum(p), 0)) / laf_size END AS laf_mean FROM vec),
+dev AS (SELECT *, CASE WHEN laf_size < 2 THEN NULL WHEN variable = 'error' THEN degrees(sqrt(-2 * ln(greatest(1e-12, least(1.0, sqrt(pe * pe + pn * pn) / laf_size))))) ELSE sqrt((CASE WHEN n_members > 1 THEN (n_members - 1) * spread * spread ELSE 0 END
     + n_members * (fc_mean - laf_mean) ** 2 + coalesce(list_sum(list_transform(p, lambda x: (x - laf_mean) ** 2)), 0)) / (laf_size - 1)) END AS laf_std FROM pool)"""
 R.add(
     "laf_pool",
-    lambda s, d: trajectories.lagged_pool(runs(s, d).where(F.col("variable") != ANGLE)).select(*KEYS4, "laf_size", "laf_mean", "laf_std", "laf_ratio"),
-    with_sql(FC, RUNS, LAF) + "SELECT region_id, variable, valid_date, init_date, laf_size, laf_mean, laf_std, CASE WHEN n_members < 2 THEN NULL WHEN len(p) = 0 THEN 1.0 WHEN spread = 0 THEN NULL ELSE laf_std / spread END AS laf_ratio FROM dev WHERE variable <> 'error'",
+    lambda s, d: trajectories.lagged_pool(runs(s, d), ANGLE).select(*KEYS4, "laf_size", "laf_mean", "laf_std", "laf_ratio"),
+    with_sql(FC, RUNS, LAF) + "SELECT region_id, variable, valid_date, init_date, laf_size, laf_mean, laf_std, CASE WHEN n_members < 2 THEN NULL WHEN len(p) = 0 THEN 1.0 WHEN spread = 0 THEN NULL ELSE laf_std / spread END AS laf_ratio FROM dev",
     ("laf_mean", "laf_std", "laf_ratio"),
 )
 
@@ -158,16 +162,16 @@ R.add(
 
 
 def _as_of(s: SparkSession, d: str) -> DataFrame:
-    readings = table(s, d, "orders").where("o_orderkey % 40 = 0").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("value"))
-    dates = table(s, d, "lineitem").where("l_linenumber = 1").select(F.to_date("l_shipdate").alias("date")).distinct()
+    readings = table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("value"))
+    dates = table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
     return trajectories.as_of(dates, readings, 5)
 
 
 R.add(
     "asof_index",
     _as_of,
-    """WITH readings AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS value FROM orders WHERE o_orderkey % 40 = 0 GROUP BY 1),
-dates AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_linenumber = 1)
+    """WITH readings AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS value FROM orders GROUP BY 1),
+dates AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT date, CASE WHEN datediff('day', r.day, date) <= 5 THEN value END AS value FROM dates ASOF LEFT JOIN readings r ON date >= r.day""",
     ("value",),
 )
@@ -244,15 +248,94 @@ def _frequency(s: SparkSession, d: str) -> DataFrame:
 R.add(
     "hist_bust_frequency",
     _frequency,
-    with_sql(FC, OB, PAIRED) + "SELECT region_id, CASE WHEN month(valid_date) IN (12, 1, 2) THEN 'DJF' WHEN month(valid_date) IN (3, 4, 5) THEN 'MAM' WHEN month(valid_date) IN (6, 7, 8, 9) THEN 'JJAS' ELSE 'ON' END AS season, avg(CASE WHEN abs_error > cut THEN 1.0 ELSE 0.0 END) AS frequency, count(*) AS n_rows FROM paired JOIN (SELECT variable, quantile_cont(abs_error, 0.75) AS cut FROM paired GROUP BY 1) USING (variable) GROUP BY ALL",
+    with_sql(FC, OB, PAIRED) + "SELECT region_id, CASE WHEN month(valid_date) IN (12, 1, 2) THEN 'DJF' WHEN month(valid_date) IN (3, 4, 5) THEN 'MAM' WHEN month(valid_date) IN (6, 7, 8, 9) THEN 'JJAS' ELSE 'ON' END AS season, avg(CASE WHEN round(abs_error, 9) > cut THEN 1.0 ELSE 0.0 END) AS frequency, count(*) AS n_rows FROM paired JOIN (SELECT variable, round(quantile_cont(abs_error, 0.75), 9) AS cut FROM paired GROUP BY 1) USING (variable) GROUP BY ALL",
     ("frequency",),
 )
+CYCLES = ", c AS (SELECT init_date, row_number() OVER (ORDER BY init_date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT init_date FROM fc))"
+YEARS = "c AS (SELECT init_date, early, row_number() OVER (PARTITION BY early ORDER BY init_date) - 1 AS k, count(*) OVER (PARTITION BY early) AS n FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS init_date, year(o_orderdate) < 1996 AS early FROM orders WHERE year(o_orderdate) <= 1996))"
+SPLIT = """,
+named AS (SELECT init_date, {named} AS split FROM {cycles}),
+t AS (SELECT min(init_date) FILTER (split = 'test') AS t FROM named),
+kept AS (SELECT init_date, split FROM named, t WHERE NOT (split = 'val' AND coalesce(init_date > t - 10, false))),
+v AS (SELECT min(init_date) FILTER (split = 'val') AS v FROM kept)
+SELECT init_date, split FROM kept, t, v WHERE NOT (split = 'train' AND coalesce(init_date > coalesce(v, t) - 10, false))"""
+
+
+def _days(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select(F.to_date("o_orderdate").alias("init_date"))
+
+
 R.add(
     "cycle_split_embargo",
     lambda s, d: events.split_cycles(forecasts(s, d)),
-    with_sql(FC)
-    + """, c AS (SELECT init_date, row_number() OVER (ORDER BY init_date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT init_date FROM fc)),
-s AS (SELECT init_date, CASE WHEN n < 3 OR k < round_even(n * 0.7, 0) THEN 'train' WHEN k < round_even(n * 0.85, 0) THEN 'val' ELSE 'test' END AS split FROM c),
-e AS (SELECT min(CASE WHEN split = 'val' THEN init_date END) AS v, min(CASE WHEN split = 'test' THEN init_date END) AS t FROM s)
-SELECT init_date, split FROM s, e WHERE NOT coalesce(init_date > CASE split WHEN 'train' THEN coalesce(v, t) WHEN 'val' THEN t END - 10, false)""".replace("\n, c AS", ", c AS"),
+    with_sql(FC).rstrip()
+    + CYCLES
+    + SPLIT.format(cycles="c", named="CASE WHEN n < 3 OR k < greatest(1, round_even(n * 0.7, 0)) THEN 'train' WHEN k < greatest(greatest(1, round_even(n * 0.7, 0)) + 1, round_even(n * 0.85, 0)) THEN 'val' ELSE 'test' END"),
+)
+R.add(
+    "year_split_embargo",
+    lambda s, d: events.split_year(_days(s, d), 1996),
+    "WITH "
+    + YEARS
+    + SPLIT.format(cycles="c", named="CASE WHEN NOT early THEN 'test' WHEN n < 2 OR k < least(greatest(1, round_even(n * 0.70::DOUBLE / 0.85, 0)), n - 1) THEN 'train' ELSE 'val' END"),
+)
+
+
+def _event_frame(s: SparkSession, d: str) -> DataFrame:
+    """Every event with its trajectories, spreads, season, frequency, index, descriptors and label."""
+    pairs = written(paired(s, d))
+    rows = written(events.event_rows(pairs, ANGLE))
+    means = written(runs(s, d))
+    p90 = events.thresholds(pairs, "abs_error", 0.9, "member_p90")
+    full = frames.with_trajectories(rows, trajectories.jumpiness(means, ANGLE), trajectories.lagged_pool(means, ANGLE))
+    frequency = events.bust_frequency(pairs, events.thresholds(pairs, "abs_error", 0.75, "cut"), events.season_of(F.col("valid_date")))
+    readings = table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("value"))
+    # the test tables' orders are years older than their events, so readings are moved next to them
+    shifted = readings.select(F.date_add("date", OFFSET).alias("date"), "value")
+    frame = frames.with_index(frames.with_frequency(frames.with_season(frames.wide(full, p90, VARIABLES)), frequency), shifted)
+    named = frame.join(F.broadcast(table(s, d, "nation").select(F.col("n_nationkey").alias("region_id"), "n_name")), "region_id", "left")
+    return named.join(events.label(rows, cuts(rows)), EVENT).select(*EVENT, *FRAMED, "month", "season", "n_name", "y_bust")
+
+
+#: Days from the orders to the events, so that some runs have a fresh reading and some have none.
+OFFSET = 9300
+FRAMED = [*[f"{c}_{v}" for v in VARIABLES for c in ("pred_err", "conf", "spread", "jump_abs", "laf_ratio")], "spread_mean", "spread_max", "bust_frequency", "index_value", "bust_ratio"]
+SEASON = "CASE WHEN month(valid_date) IN (12, 1, 2) THEN 'DJF' WHEN month(valid_date) IN (3, 4, 5) THEN 'MAM' WHEN month(valid_date) IN (6, 7, 8, 9) THEN 'JJAS' ELSE 'ON' END"
+R.add(
+    "event_frame",
+    _event_frame,
+    with_sql(
+        *ALL,
+        RUNS,
+        JUMPS,
+        LAF,
+        "ratios AS (SELECT *, CASE WHEN n_members < 2 THEN NULL WHEN len(p) = 0 THEN 1.0 WHEN spread = 0 THEN NULL ELSE laf_std / spread END AS laf_ratio FROM dev)",
+        "full_rows AS (SELECT e.*, greatest(0.0, least(1.0, 1.0 - pred_err / member_p90)) AS conf, j.jump_abs, r.laf_ratio FROM evt e JOIN p90 USING (variable) LEFT JOIN jumps j USING (region_id, variable, valid_date, init_date) LEFT JOIN ratios r USING (region_id, variable, valid_date, init_date))",
+        f"freq AS (SELECT region_id, {SEASON} AS season, avg(CASE WHEN round(abs_error, 9) > cut THEN 1.0 ELSE 0.0 END) AS bust_frequency FROM paired JOIN (SELECT variable, round(quantile_cont(abs_error, 0.75), 9) AS cut FROM paired GROUP BY 1) USING (variable) GROUP BY ALL)",
+        f"readings AS (SELECT CAST(o_orderdate AS DATE) + {OFFSET} AS day, avg(o_totalprice) AS value FROM orders GROUP BY 1)",
+        "wide AS (SELECT region_id, init_date, valid_date, lead_time_days, " + ", ".join(f"avg(CASE WHEN variable = '{v}' THEN {c} END) AS {c}_{v}" for v in VARIABLES for c in ("pred_err", "conf", "spread", "jump_abs", "laf_ratio")) + ", avg(spread) AS spread_mean, max(spread) AS spread_max FROM full_rows GROUP BY ALL)",
+        "dated AS (SELECT i.init_date, CASE WHEN datediff('day', r.day, i.init_date) <= 5 THEN value END AS index_value FROM (SELECT DISTINCT init_date FROM wide) i ASOF LEFT JOIN readings r ON i.init_date >= r.day)",
+    )
+    + f"SELECT w.*, CAST(month(valid_date) AS INTEGER) AS month, {SEASON} AS season, bust_frequency, index_value, n_name, bust_ratio, y_bust FROM wide w JOIN labelled USING (region_id, init_date, valid_date, lead_time_days) LEFT JOIN freq ON freq.region_id = w.region_id AND freq.season = {SEASON} LEFT JOIN dated USING (init_date) LEFT JOIN nation ON n_nationkey = w.region_id",
+    tuple(FRAMED),
+)
+MEMBER = ["region_id", "init_date", "member"]
+R.add(
+    "rates_to_all_variables",
+    lambda s, d: trajectories.rates_to_all(_one_member(s, d), MEMBER, ["click", "view"]).select(*MEMBER, "variable", "valid_date", "lead_time_days", "rate_click", "rate_view"),
+    with_sql(FC, ONE, "r AS (SELECT *, CASE WHEN datediff('day', lag(valid_date) OVER w, valid_date) > 0 THEN (forecast_value - lag(forecast_value) OVER w) / datediff('day', lag(valid_date) OVER w, valid_date) END AS rate FROM one WHERE variable IN ('click', 'view') WINDOW w AS (PARTITION BY region_id, init_date, member, variable ORDER BY valid_date))", "x AS (SELECT region_id, init_date, member, valid_date, avg(CASE WHEN variable = 'click' THEN rate END) AS rate_click, avg(CASE WHEN variable = 'view' THEN rate END) AS rate_view FROM r GROUP BY ALL)")
+    + "SELECT region_id, init_date, member, variable, valid_date, lead_time_days, rate_click, rate_view FROM one LEFT JOIN x USING (region_id, init_date, member, valid_date)",
+    ("rate_click", "rate_view"),
+)
+R.add(
+    "concurrent_columns",
+    lambda s, d: trajectories.concurrent_columns(_one_member(s, d), [*EVENT, "member"], VARIABLES).select(*EVENT, "member", "variable", *[f"concurrent_{v}" for v in VARIABLES]),
+    with_sql(FC, ONE) + "SELECT region_id, init_date, valid_date, lead_time_days, member, variable, " + ", ".join(f"CASE WHEN variable <> '{v}' THEN avg(CASE WHEN variable = '{v}' THEN forecast_value END) OVER w END AS concurrent_{v}" for v in VARIABLES) + " FROM one WINDOW w AS (PARTITION BY region_id, init_date, valid_date, lead_time_days, member)",
+    tuple(f"concurrent_{v}" for v in VARIABLES),
+)
+R.add(
+    "saturated_and_excluded",
+    lambda s, d: frames.drop_excluded(frames.drop_saturated(forecasts(s, d), "view", 300.0), "view", table(s, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("region_id"))).groupBy("region_id", "variable").agg(F.count(F.lit(1)).alias("n"), F.max("forecast_value").alias("most")),
+    with_sql(FC) + "SELECT region_id, variable, count(*) AS n, max(forecast_value) AS most FROM fc WHERE NOT (variable = 'view' AND (forecast_value >= 300 OR region_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))) GROUP BY ALL",
+    ("most",),
 )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.operators import events, models
+from nimbora.operators.ordered import written
 from nimbora.plans.forecast_queries import event_rows
 from nimbora.plans.registry import Registry
 from nimbora.plans.score_queries import scored
@@ -28,10 +31,14 @@ def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _regressor(s: SparkSession, d: str) -> DataFrame:
-    rows = event_rows(s, d).where("variable = 'view'").select(*EVENT, F.col("lead_time_days").cast("double").alias("lead"), "spread", "actual_err")
-    made = models.out_of_fold(rows, ["lead", "spread"], "actual_err")
+    """Out-of-fold error of each variable's own regressor."""
+    rows = written(event_rows(s, d).select(*EVENT, "variable", F.col("lead_time_days").cast("double").alias("lead"), "spread", "actual_err"))
     e = F.col("actual_err") - F.col("predicted")
-    return made.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    parts = []
+    for v in VARIABLES:
+        made = models.out_of_fold(rows.where(F.col("variable") == v).drop("variable"), ["lead", "spread"], "actual_err", trees=5)
+        parts.append(made.agg(F.lit(v).alias("variable"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _classifier(s: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.operators import baselines, events, scores
-from nimbora.plans.forecast_queries import ALL, EVT, cuts, event_rows, labelled, paired
+from nimbora.functions import normal
+from nimbora.operators.ordered import written
+from nimbora.plans.forecast_queries import ALL, EVT, cuts, event_rows, paired
 from nimbora.plans.registry import Registry
-from nimbora.plans.views import EVENT, FC, THRESHOLDS, table, with_sql
+from nimbora.plans.views import ANGLE, EVENT, table, with_sql
 
 R = Registry()
 
@@ -23,11 +25,12 @@ LINES = "lines AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_discount *
 
 def scored(s: SparkSession, d: str) -> DataFrame:
     """Events with their label (y), a probability from their members' errors (p), and its band."""
-    rows = event_rows(s, d)
-    usual = F.broadcast(events.thresholds(paired(s, d), "abs_error", 0.9, "member_p90"))
+    pairs = written(paired(s, d).select(*EVENT, "variable", "forecast_value", "observed_value", "abs_error"))
+    rows = written(events.event_rows(pairs, ANGLE).select(*EVENT, "variable", "actual_err", "pred_err"))
+    usual = cuts(rows).join(events.thresholds(pairs, "abs_error", 0.9, "member_p90"), "variable")  # a row for each variable
     x = F.max(F.col("pred_err") / F.col("member_p90"))
-    p = rows.join(usual, "variable").groupBy(*EVENT).agg(F.round(x / (1 + x), 4).alias("p"))
-    made = labelled(s, d).join(p, EVENT).select(*EVENT, F.col("y_bust").alias("y"), "p")
+    both = rows.join(F.broadcast(usual), "variable").groupBy(*EVENT).agg(F.max(events.bust_ratio()).alias("ratio"), F.round(x / (1 + x), 4).alias("p"))
+    made = written(both.where("ratio IS NOT NULL").select(*EVENT, (F.col("ratio") >= 1).cast("int").alias("y"), "p"))
     return made.withColumn("band", events.band(F.col("p"), F.lit(0.3), F.lit(0.5)))
 
 
@@ -70,18 +73,26 @@ R.add(
     ("pod", "far", "pofd", "csi", "bias", "f1"),
 )
 R.add("sedi", lambda s, d: scores.sedi(lines(s, d)), with_sql(LINES, CONF, "r AS (SELECT greatest(1e-6, least(1 - 1e-6, tp / (tp + fn))) AS h, greatest(1e-6, least(1 - 1e-6, fp / (fp + tn))) AS f FROM c)") + "SELECT h, f, (ln(f) - ln(h) - ln(1 - f) + ln(1 - h)) / (ln(f) + ln(h) + ln(1 - f) + ln(1 - h)) AS sedi FROM r", ("h", "f", "sedi"))
-R.add(
-    "rev_curve",
-    lambda s, d: scores.economic_value(scored(s, d)),
-    with_sql(*S, "h AS (SELECT p, CAST(sum(y) AS DOUBLE) AS np, CAST(sum(1 - y) AS DOUBLE) AS nn FROM scored GROUP BY p)", "t AS (SELECT sum(np) AS pos, sum(nn) AS neg FROM h)", "r AS (SELECT sum(np) OVER (ORDER BY p DESC) / pos AS hit, sum(nn) OVER (ORDER BY p DESC) / neg AS fa, pos / (pos + neg) AS s FROM h, t)", "a AS (SELECT i / 100.0::DOUBLE AS alpha FROM range(1, 100) x(i))")
-    + "SELECT alpha, max(greatest((least(alpha, s) - (alpha * (s * hit + (1 - s) * fa) + s * (1 - hit))) / (least(alpha, s) - alpha * s), (least(alpha, s) - s) / (least(alpha, s) - alpha * s))) AS value FROM r, a GROUP BY alpha",
-    ("alpha", "value"),
+REV = (
+    "h AS (SELECT p, CAST(sum(y) AS DOUBLE) AS np, CAST(sum(1 - y) AS DOUBLE) AS nn FROM scored GROUP BY p)",
+    "t AS (SELECT sum(np) AS pos, sum(nn) AS neg FROM h)",
+    "r AS (SELECT sum(np) OVER (ORDER BY p DESC) / pos AS hit, sum(nn) OVER (ORDER BY p DESC) / neg AS fa, pos / (pos + neg) AS s FROM h, t)",
+    "a AS (SELECT i / 100.0::DOUBLE AS alpha FROM range(1, 100) x(i))",
 )
+CURVE = "SELECT alpha, max(greatest((least(alpha, s) - (alpha * (s * hit + (1 - s) * fa) + s * (1 - hit))) / (least(alpha, s) - alpha * s), (least(alpha, s) - s) / (least(alpha, s) - alpha * s))) AS value FROM r, a GROUP BY alpha"
+R.add("rev_curve", lambda s, d: scores.economic_value(scored(s, d)), with_sql(*S, *REV) + CURVE, ("alpha", "value"))
+
+
+def _conformal_sets(s: SparkSession, d: str) -> DataFrame:
+    rows = scored(s, d)
+    return scores.conformal_sets(rows, scores.conformal_threshold(rows, 0.1))
+
+
 Q = "n AS (SELECT CASE WHEN y = 1 THEN 1 - p ELSE p END AS score FROM scored)", "k AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM n)", "q AS (SELECT min(score) AS q, max(n) AS n FROM k WHERE r >= least(ceil((n + 1) * (1 - 0.1::DOUBLE)), n))"
 R.add("conformal_threshold", lambda s, d: scores.conformal_threshold(scored(s, d), 0.1), with_sql(*S, *Q) + "SELECT q, n FROM q", ("q",))
 R.add(
     "conformal_sets",
-    lambda s, d: scores.conformal_sets(scored(s, d), scores.conformal_threshold(scored(s, d), 0.1)),
+    _conformal_sets,
     with_sql(*S, *Q, "i AS (SELECT y, p <= q AS zero, 1 - p <= q AS one FROM scored, q)") + "SELECT CASE WHEN zero AND one THEN 'both' WHEN one THEN 'one' WHEN zero THEN 'zero' ELSE 'none' END AS \"set\", count(*) AS n, count(*) FILTER (CASE WHEN y = 1 THEN one ELSE zero END) AS covered FROM i GROUP BY 1",
 )
 R.add(
@@ -91,7 +102,7 @@ R.add(
     ("medium", "high"),
 )
 R.add("band_assign", lambda s, d: scored(s, d).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")), with_sql(*S) + "SELECT band, count(*) AS n, avg(y) AS rate FROM scored GROUP BY 1", ("rate",))
-R.add("regression_metrics", lambda s, d: event_rows(s, d).groupBy("variable").agg(F.avg("actual_err").alias("mae"), F.sqrt(F.avg(F.col("actual_err") ** 2)).alias("rmse"), (1 - F.sum(F.col("actual_err") ** 2) / F.sum((F.col("obs_mean") - F.lit(0.0)) ** 2)).alias("share"), F.count(F.lit(1)).alias("n")), with_sql(*EVT) + "SELECT variable, avg(actual_err) AS mae, sqrt(avg(actual_err ** 2)) AS rmse, 1 - sum(actual_err ** 2) / sum(obs_mean ** 2) AS share, count(*) AS n FROM evt GROUP BY 1", ("mae", "rmse", "share"))
+R.add("regression_metrics", lambda s, d: event_rows(s, d).groupBy("variable").agg(F.avg("actual_err").alias("mae"), F.sqrt(F.avg(F.col("actual_err") ** 2)).alias("rmse"), F.try_divide(F.var_pop("obs_mean") - F.avg(F.col("actual_err") ** 2), F.var_pop("obs_mean")).alias("r2"), F.count(F.lit(1)).alias("n")), with_sql(*EVT) + "SELECT variable, avg(actual_err) AS mae, sqrt(avg(actual_err ** 2)) AS rmse, 1 - avg(actual_err ** 2) / nullif(var_pop(obs_mean), 0) AS r2, count(*) AS n FROM evt GROUP BY 1", ("mae", "rmse", "r2"))
 
 
 def _split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -127,29 +138,93 @@ def _emos(s: SparkSession, d: str) -> DataFrame:
     return baselines.emos_probability(rows, baselines.emos_fit(rows), cuts(rows), EVENT)
 
 
-R.add("baseline_emos_probability", _emos)
+
+
+def _poly(x: str, parts: list[float]) -> str:
+    made = f"{parts[0]!r}::DOUBLE"
+    for p in parts[1:]:
+        made = f"({made} * {x} + ({p!r}::DOUBLE))"
+    return made
+
+
+def _erf(x: str) -> str:
+    """The error function in SQL, by the same fixed values."""
+    t = f"(1.0 / (1.0 + {normal.ERF_P!r}::DOUBLE * abs({x})))"
+    return f"(sign({x}) * (1.0 - {_poly(t, normal.ERF[::-1])} * {t} * exp(-({x}) * ({x}))))"
+
+
+def _quantile(p: str) -> str:
+    tail, q = f"sqrt(-2.0 * ln(least({p}, 1.0 - {p})))", f"({p} - 0.5)"
+    outer = f"({_poly(tail, normal.C)} / ({_poly(tail, normal.D)} * {tail} + 1.0))"
+    inner = f"({_poly(f'({q} * {q})', normal.A)} * {q} / ({_poly(f'({q} * {q})', normal.B)} * {q} * {q} + 1.0))"
+    return f"CASE WHEN {p} < {normal.LOW} THEN {outer} WHEN {p} > 1 - {normal.LOW} THEN -{outer} ELSE {inner} END"
+
+
+EMOS_FIT = "f AS (SELECT variable, regr_slope(actual_err * sqrt(pi() / 2), spread) AS slope, regr_intercept(actual_err * sqrt(pi() / 2), spread) AS cut, avg(actual_err) AS mean, count(*) AS n FROM evt WHERE spread IS NOT NULL GROUP BY 1)"
+R.add(
+    "baseline_emos_probability",
+    _emos,
+    with_sql(*ALL, EMOS_FIT, "fit AS (SELECT variable, greatest(cut, mean * sqrt(pi() / 2) * 1e-3, 1e-6) AS a, greatest(slope, 0.0) AS b FROM f WHERE n >= 50)", "mid AS (SELECT variable, median(spread) AS mid FROM evt GROUP BY 1)", "sig AS (SELECT evt.*, bust_threshold / (greatest(a + b * coalesce(spread, mid), 1e-6) * sqrt(2)) AS x FROM evt JOIN fit USING (variable) JOIN thr USING (variable) JOIN mid USING (variable))")
+    + f"SELECT region_id, init_date, valid_date, lead_time_days, 1 - exp(sum(ln(greatest({_erf('x')}, 1e-300)))) AS p FROM sig GROUP BY ALL",
+    ("p",),
+)
 
 
 def _analog(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
-    return baselines.analog_votes(v, v.where("id % 50 = 0"), 10)
+    return baselines.analog_votes(v, F.col("id") % 20 == 0, 50)
 
 
 R.add(
     "baseline_analog_knn",
     _analog,
-    """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
-m AS (SELECT q.id AS query_id, e.id, e.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, e.v), e.id) AS r FROM e JOIN e q ON q.id <> e.id WHERE q.id % 50 = 0)
-SELECT query_id, label, count(*) / 10.0::DOUBLE AS share FROM m WHERE r <= 10 GROUP BY ALL""",
+    """WITH e AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY i),
+z AS (SELECT id, any_value(label) AS label, list((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END ORDER BY i) AS v FROM e JOIN st USING (i) GROUP BY id),
+m AS (SELECT q.id AS query_id, z.id, z.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, z.v), z.id) AS r FROM z JOIN z q ON q.id <> z.id WHERE q.id % 20 = 0)
+SELECT query_id, CAST(label AS BIGINT) AS label, count(*) / (SELECT CAST(least(50, count(*) - 1) AS DOUBLE) FROM z) AS share FROM m WHERE r <= 50 GROUP BY ALL""",
     ("share",),
 )
-PROBIT = "z AS (SELECT y, p FROM scored)"
-R.add("binormal_auc", lambda s, d: scores.binormal(scored(s, d)))
-R.add("pav_reliability", lambda s, d: scores.pooled_adjacent(scored(s, d)))
-R.add("brier_decomposition", lambda s, d: scores.brier_decomposition(scored(s, d)))
+CLIPPED = "greatest(1e-6, least(1 - 1e-6, p))"
+R.add(
+    "binormal_auc",
+    lambda s, d: scores.binormal(scored(s, d)),
+    with_sql(*S, f"clipped AS (SELECT y, {CLIPPED} AS p FROM scored)", f"z AS (SELECT y, {_quantile('p')} AS z FROM clipped)", "m AS (SELECT avg(z) FILTER (y = 0) AS mu0, var_samp(z) FILTER (y = 0) AS var0, count(z) FILTER (y = 0) AS n0, avg(z) FILTER (y = 1) AS mu1, var_samp(z) FILTER (y = 1) AS var1, count(z) FILTER (y = 1) AS n1 FROM z)", "x AS (SELECT *, (mu1 - mu0) / nullif(sqrt(var1 + var0), 0) / sqrt(2) AS x FROM m)")
+    + f"SELECT mu0, var0, n0, mu1, var1, n1, CASE WHEN n0 >= 2 AND n1 >= 2 THEN 0.5 * (1.0 + {_erf('x')}) END AS binormal_auc FROM x",
+    ("mu0", "var0", "mu1", "var1", "binormal_auc"),
+)
+#: The isotonic fit by its max-min formula.
+FIT = (
+    "h AS (SELECT p, sum(y) AS np, sum(1 - y) AS nn FROM scored GROUP BY p)",
+    "c AS (SELECT *, row_number() OVER (ORDER BY p) AS k, sum(np) OVER (ORDER BY p) AS cp, sum(np + nn) OVER (ORDER BY p) AS cn FROM h)",
+    "means AS (SELECT a.k AS i, b.k AS j, CAST(b.cp - a.cp + a.np AS DOUBLE) / CAST(b.cn - a.cn + a.np + a.nn AS DOUBLE) AS mean FROM c a JOIN c b ON a.k <= b.k)",
+    "low AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS low FROM means)",
+    "fit AS (SELECT p, fitted, np, nn FROM c JOIN (SELECT j AS k, max(low) AS fitted FROM low GROUP BY j) USING (k))",
+)
+R.add("pav_reliability", lambda s, d: scores.pooled_adjacent(scored(s, d)), with_sql(*S, *FIT) + "SELECT p, fitted, CAST(np AS BIGINT) AS np, CAST(nn AS BIGINT) AS nn FROM fit", ("fitted",))
+R.add(
+    "brier_decomposition",
+    lambda s, d: scores.brier_decomposition(scored(s, d)),
+    with_sql(*S, *FIT, "b AS (SELECT sum(np * (1 - p) * (1 - p) + nn * p * p) / sum(np + nn) AS brier, sum(np * (1 - fitted) * (1 - fitted) + nn * fitted * fitted) / sum(np + nn) AS fit, sum(np) / sum(np + nn) AS rate FROM fit)")
+    + "SELECT brier, brier - fit AS mcb, rate * (1 - rate) - fit AS dsc, rate * (1 - rate) AS unc FROM b",
+    ("brier", "mcb", "dsc", "unc"),
+)
 R.add("block_bootstrap", lambda s, d: scores.block_bootstrap(scored(s, d)))
 
 
+def _curve(s: SparkSession, d: str) -> DataFrame:
+    curve = written(scores.economic_value(scored(s, d)))
+    near, top = scores.economic_value_at(curve, 0.2), scores.economic_value_peak(curve)
+    return near.withColumn("kind", F.lit("at 0.2")).unionByName(top.withColumn("kind", F.lit("peak"))).select("kind", "alpha", F.round("value", 6).alias("value"))
+
+
+R.add(
+    "rev_lookup",
+    _curve,
+    with_sql(*S, *REV, f"curve AS ({CURVE})") + "(SELECT 'at 0.2' AS kind, alpha, round(value, 6) AS value FROM curve ORDER BY abs(alpha - 0.2), alpha LIMIT 1) UNION ALL (SELECT 'peak' AS kind, alpha, round(value, 6) AS value FROM curve ORDER BY value DESC, alpha LIMIT 1)",
+)
+
+
 def _loo(s: SparkSession, d: str) -> DataFrame:
     """Error of each cell's mean signed error, leaving the row's own week out."""
     from pyspark.sql import Window

@@ -71,7 +71,12 @@ def _dates(s: SparkSession, d: str) -> DataFrame:
     return holes.select("region_id", init.alias("init_date"), valid.alias("valid_date"), lead.alias("lead_time_days"))
 
 
-R.add("time_reconcile", _dates, with_sql(FC) + "SELECT region_id, init_date, valid_date, lead_time_days FROM fc")
+R.add(
+    "time_reconcile",
+    _dates,
+    with_sql(FC, "holes AS (SELECT region_id, CASE WHEN member <> 0 THEN init_date END AS i, CASE WHEN member <> 1 THEN valid_date END AS v, CASE WHEN member <> 2 THEN lead_time_days END AS l FROM fc)")
+    + "SELECT region_id, CAST(coalesce(i, v - l) AS DATE) AS init_date, CAST(coalesce(v, i + l) AS DATE) AS valid_date, CAST(coalesce(l, datediff('day', i, v)) AS INTEGER) AS lead_time_days FROM holes",
+)
 R.add("region_resolve_exact", lambda s, d: ingest.resolve(table(s, d, "nation").select(F.upper(F.concat(F.lit(" "), "n_name")).alias("label")), table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("region_id")), "label"), "SELECT upper(' ' || n_name) AS label, n_nationkey AS region_id FROM nation")
 CELLS = "SELECT l_suppkey, l_quantity AS w, nullif(l_discount, 0.05) AS x, l_tax * 4000 AS a FROM lineitem"
 
@@ -157,7 +162,11 @@ def _site_bias(s: SparkSession, d: str) -> DataFrame:
 
 
 R.add("site_bias_pairs", _site_bias, "WITH s AS (SELECT l_suppkey, median(l_extendedprice) AS m FROM lineitem GROUP BY 1) SELECT l_suppkey, m FROM s WHERE m > 1.05 * (SELECT median(m) FROM s)", ("m",), 4)
-R.add("stratified_sample_hash", lambda s, d: store.latest(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey").distinct(), ["l_returnflag"], [F.asc("l_partkey"), F.asc("l_orderkey"), F.asc("l_linenumber")]).select("l_returnflag", "l_partkey", "l_orderkey"), "SELECT l_returnflag, l_partkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey, l_orderkey, l_linenumber) AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_partkey FROM lineitem)) WHERE k = 1")
+R.add(
+    "stratified_sample_hash",
+    lambda s, d: store.stratified_sample(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"], 25).select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber"),
+    "SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber)), l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 25",
+)
 
 
 def _rings(s: SparkSession, d: str) -> DataFrame:

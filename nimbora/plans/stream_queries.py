@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbora.operators.ordered import shared_folder
 from nimbora.plans.registry import Registry
 from nimbora.plans.views import FC, forecasts, with_sql
 from nimbora.streaming import tiers
@@ -17,22 +17,16 @@ R = Registry()
 KEYS = ["region_id", "variable", "valid_date"]
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/nimbora-{uuid.uuid4().hex}"
-
-
 def _upsert(s: SparkSession, d: str) -> DataFrame:
-    """Provisional means of some members come first, final means of all members replace them for two regions in three."""
-    base = _folder(s)
-    rows = forecasts(s, d).where("region_id < 6")
+    """Provisional means of some members come first; final means of all members replace them for two days in three."""
+    base = f"{shared_folder(s)}/nimbora-{uuid.uuid4().hex}"
+    rows = forecasts(s, d)
     early = rows.where("member < 2").groupBy(*KEYS).agg(F.avg("forecast_value").alias("value")).withColumns({"status": F.lit("provisional"), "ingested_at": F.lit(1).cast("long")})
-    late = rows.where("region_id % 3 <> 0").groupBy(*KEYS).agg(F.avg("forecast_value").alias("value")).withColumns({"status": F.lit("final"), "ingested_at": F.lit(2).cast("long")})
-    for batch in (early, late):
-        batch.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    late = rows.where("dayofmonth(valid_date) % 3 <> 0").groupBy(*KEYS).agg(F.avg("forecast_value").alias("value")).withColumns({"status": F.lit("final"), "ingested_at": F.lit(2).cast("long")})
     schema = "region_id long, variable string, valid_date date, value double, status string, ingested_at long"
-    tiers.run(s, f"{base}/in", schema, f"{base}/store", f"{base}/state", KEYS, "valid_date").awaitTermination()
+    for batch in (early, late):
+        batch.write.mode("append").parquet(f"{base}/in")
+        tiers.run(s, f"{base}/in", schema, f"{base}/store", f"{base}/state", KEYS, "valid_date").awaitTermination()
     return s.read.schema(schema).parquet(f"{base}/store").select(*KEYS, "value", "status")
 
 
@@ -40,8 +34,8 @@ R.add(
     "streaming_tier_upsert",
     _upsert,
     with_sql(FC)
-    + """, p AS (SELECT region_id, variable, valid_date, avg(forecast_value) AS v FROM fc WHERE region_id < 6 AND member < 2 GROUP BY ALL),
-f AS (SELECT region_id, variable, valid_date, avg(forecast_value) AS v FROM fc WHERE region_id < 6 AND region_id % 3 <> 0 GROUP BY ALL)
+    + """, p AS (SELECT region_id, variable, valid_date, avg(forecast_value) AS v FROM fc WHERE member < 2 GROUP BY ALL),
+f AS (SELECT region_id, variable, valid_date, avg(forecast_value) AS v FROM fc WHERE day(valid_date) % 3 <> 0 GROUP BY ALL)
 SELECT region_id, variable, valid_date, coalesce(f.v, p.v) AS value, CASE WHEN f.v IS NULL THEN 'provisional' ELSE 'final' END AS status FROM p FULL JOIN f USING (region_id, variable, valid_date)""",
     ("value",),
 )

@@ -67,16 +67,19 @@ MEMBERS = """members AS (
     CASE WHEN variable = 'error' THEN ((degrees(atan2(avg(sin(radians(forecast_value))), avg(cos(radians(forecast_value))))) % 360) + 360) % 360 ELSE avg(forecast_value) END AS fc_mean,
     CASE WHEN count(forecast_value) < 2 THEN NULL WHEN variable = 'error' THEN
       degrees(sqrt(-2 * ln(greatest(1e-12, least(1.0, sqrt(avg(sin(radians(forecast_value))) ** 2 + avg(cos(radians(forecast_value))) ** 2))))))
-      ELSE stddev_samp(forecast_value) END AS spread
+      ELSE stddev_samp(forecast_value) END AS spread, avg(sin(radians(forecast_value))) AS east, avg(cos(radians(forecast_value))) AS north
   FROM fc GROUP BY region_id, init_date, valid_date, lead_time_days, variable)"""
 
 EVENTS = """evt AS (
   SELECT region_id, init_date, valid_date, lead_time_days, variable, avg(forecast_value) AS fc_mean, avg(observed_value) AS obs_mean,
-    abs(avg(forecast_value) - avg(observed_value)) AS actual_err, avg(abs_error) AS pred_err, stddev_samp(forecast_value) AS spread, count(*) AS n_rows
-  FROM paired GROUP BY ALL)"""
+    round(abs(avg(forecast_value) - avg(observed_value)), 9) AS actual_err, avg(abs_error) AS pred_err,
+    CASE WHEN count(forecast_value) < 2 THEN NULL WHEN variable = 'error' THEN
+      degrees(sqrt(-2 * ln(greatest(1e-12, least(1.0, sqrt(avg(sin(radians(forecast_value))) ** 2 + avg(cos(radians(forecast_value))) ** 2))))))
+      ELSE stddev_samp(forecast_value) END AS spread, count(*) AS n_rows
+  FROM paired GROUP BY region_id, init_date, valid_date, lead_time_days, variable)"""
 
-THRESHOLDS = """thr AS (SELECT variable, quantile_cont(actual_err, 0.9) AS bust_threshold FROM evt GROUP BY 1),
-p90 AS (SELECT variable, quantile_cont(abs_error, 0.9) AS member_p90 FROM paired GROUP BY 1)"""
+THRESHOLDS = """thr AS (SELECT variable, round(quantile_cont(actual_err, 0.9), 9) AS bust_threshold FROM evt GROUP BY 1),
+p90 AS (SELECT variable, round(quantile_cont(abs_error, 0.9), 9) AS member_p90 FROM paired GROUP BY 1)"""
 
 LABELLED = """labelled AS (
   SELECT region_id, init_date, valid_date, lead_time_days, max(actual_err / bust_threshold) AS bust_ratio,
