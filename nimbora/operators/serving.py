@@ -70,3 +70,25 @@ def agreement(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Bias, mean absolute and root mean square difference and correlation of two products."""
     d = F.col(a) - F.col(b)
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.corr(a, b).alias("pearson"))
+
+
+def per_variable(rows: DataFrame, member_p90: DataFrame, cuts: DataFrame) -> DataFrame:
+    """For each region, lead, variable and day: means over runs, confidence and threshold."""
+    made = rows.groupBy("region_id", "lead_time_days", "variable", "valid_date").agg(
+        F.avg("fc_mean").alias("predicted_value"), F.avg("obs_mean").alias("observed_value"), F.avg("pred_err").alias("predicted_error"), F.avg("spread").alias("spread"), F.max("n_rows").alias("members")
+    )
+    known = made.join(F.broadcast(member_p90), "variable", "left").join(F.broadcast(cuts), "variable", "left")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.try_divide(F.col("predicted_error"), F.col("member_p90"))))
+    return known.withColumn("confidence", share).select("region_id", "lead_time_days", "variable", "valid_date", "predicted_value", "observed_value", "predicted_error", "spread", "members", "confidence", "bust_threshold")
+
+
+def top_factors(rows: DataFrame, cuts: DataFrame, keys: list[str], k: int, fallback: DataFrame | None = None) -> DataFrame:
+    """The names of the ``k`` variables whose predicted error is largest against its threshold (to 6 places), by name on ties.
+
+    Events without any go to ``fallback`` (keys, factors), if it is given.
+    """
+    ratio = F.round(F.col("pred_err") / F.col("bust_threshold"), 6)
+    known = rows.join(F.broadcast(cuts), "variable").where("bust_threshold > 0").withColumn("ratio", ratio).where("ratio IS NOT NULL")
+    listed = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("least"), "variable"))).alias("f"))
+    made = listed.select(*keys, F.array_join(F.transform(F.slice("f", 1, k), lambda x: x["variable"]), ",").alias("factors"))
+    return made if fallback is None else made.unionByName(fallback.join(made, keys, "left_anti").select(*keys, "factors"))
