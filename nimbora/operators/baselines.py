@@ -45,6 +45,21 @@ def emos_probability(rows: DataFrame, fit: DataFrame, cuts: DataFrame, keys: lis
     return met.groupBy(*keys).agg((1 - F.exp(gamma * F.sum(F.ln(inside)))).alias("p"))
 
 
+#: Exponents that the joint probability of no bust is tried with, as variables do not miss independently.
+EXPONENTS = [0.05 + 0.95 * k / 39 for k in range(40)]
+
+
+def emos_exponent(probabilities: DataFrame) -> DataFrame:
+    """The one row (gamma, brier): the exponent of 1 - p whose forecasts have the least Brier score, the smaller on ties.
+
+    ``probabilities`` has p, with exponent 1, and the outcome y.
+    """
+    tried = probabilities.where("p IS NOT NULL AND y IS NOT NULL").select("y", (1 - F.col("p")).alias("none"), F.explode(F.array(*map(F.lit, EXPONENTS))).alias("gamma"))
+    miss = 1 - F.pow("none", F.col("gamma")) - F.col("y")
+    scored = tried.groupBy("gamma").agg(F.avg(miss * miss).alias("brier"))
+    return scored.orderBy(F.round("brier", 9), "gamma").limit(1)
+
+
 #: Vectors of a block, and queries that are compared with it at a time.
 VECTORS, ASKED = 2_048, 64
 

@@ -28,10 +28,10 @@ def fit_bias(events: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
 
 
 def apply_bias(events: DataFrame, table: DataFrame) -> DataFrame:
-    """Adds bias, of the finest cell that has one, and corrected (null where no cell has one)."""
+    """Adds bias, of the finest cell that has one, corrected and corrected_err, its distance from obs_mean (null where no cell has one)."""
     keyed = events.withColumn("_month", F.month("valid_date"))
     for k, (lead, month) in enumerate([(F.col("lead_time_days"), F.col("_month")), (F.lit(-1), F.col("_month")), (F.lit(-1), F.lit(-1))]):
         level = table.select(F.col("region_id").alias(f"_r{k}"), F.col("variable").alias(f"_v{k}"), F.col("lead_time_days").alias(f"_l{k}"), F.col("month").alias(f"_m{k}"), F.col("bias").alias(f"_b{k}"))
         keyed = keyed.join(level, (F.col("region_id") == F.col(f"_r{k}")) & (F.col("variable") == F.col(f"_v{k}")) & (lead == F.col(f"_l{k}")) & (month == F.col(f"_m{k}")), "left")
     made = keyed.withColumn("bias", F.coalesce("_b0", "_b1", "_b2"))
-    return made.select(*events.columns, "bias", (F.col("fc_mean") - F.col("bias")).alias("corrected"))
+    return made.select(*events.columns, "bias", (F.col("fc_mean") - F.col("bias")).alias("corrected"), F.abs(F.col("fc_mean") - F.col("bias") - F.col("obs_mean")).alias("corrected_err"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nimbora.functions.circular import heading, wrapped
 from nimbora.operators import events
 from nimbora.operators.trajectories import as_of
 
@@ -59,6 +60,29 @@ def drop_excluded(rows: DataFrame, variable: str, excluded: DataFrame) -> DataFr
     return rows.join(marked, ["region_id", "variable"], "left_anti").select(*rows.columns)
 
 
+def refreshed(rows: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with observed_value and abs_error anew from ``observations`` (keys, observed_value); null where there is none.
+
+    Raises ValueError if ``observations`` repeats a key, which would multiply rows.
+    """
+    if not observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("the observations repeat a key")
+    met = rows.drop("observed_value", "abs_error").join(observations.select(*keys, "observed_value"), keys, "left")
+    return met.withColumn("abs_error", F.abs(F.col("forecast_value") - F.col("observed_value")))
+
+
+def signed_errors(paired: DataFrame, angle: str, variables: list[str]) -> DataFrame:
+    """One row an event with the signed error of each variable's means (error_<variable>); angles by their mean vectors, the short way round."""
+
+    def middle(value: str) -> Column:
+        turn = F.radians(value)
+        return F.when(F.col("variable") == angle, heading(F.avg(F.sin(turn)), F.avg(F.cos(turn)))).otherwise(F.avg(value))
+
+    each = paired.groupBy(*events.KEYS, "variable").agg(middle("forecast_value").alias("f"), middle("observed_value").alias("o"))
+    signed = F.when(F.col("variable") == angle, wrapped(F.col("f") - F.col("o"))).otherwise(F.col("f") - F.col("o"))
+    return each.withColumn("e", signed).groupBy(*events.KEYS).agg(*[F.avg(F.when(F.col("variable") == v, F.col("e"))).alias(f"error_{v}") for v in variables])
+
+
 def shared_events(rows: DataFrame, others: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``rows`` with the value of ``others`` for the same keys (other_<value>).
 

@@ -23,12 +23,18 @@ def fold_of(date: Column, k: int, block: int = 3) -> Column:
     return F.pmod(F.floor(F.datediff(date, F.lit("2000-01-01").cast("date")) / block), F.lit(k)).cast("int")
 
 
-def out_of_fold(rows: DataFrame, columns: list[str], target: str, k: int = 3, trees: int = 10) -> DataFrame:
-    """Adds predicted: each row's target from boosted trees that never saw its fold of runs."""
+def apart_from_fold(folded: DataFrame, fold: int, days: int) -> DataFrame:
+    """The rows of other folds (_fold) whose init_date is more than ``days`` days from every one of the fold's."""
+    near = folded.where(F.col("_fold") == fold).select(F.explode(F.sequence(F.date_sub("init_date", days), F.date_add("init_date", days))).alias("init_date")).distinct()
+    return folded.where(F.col("_fold") != fold).join(near, "init_date", "left_anti")
+
+
+def out_of_fold(rows: DataFrame, columns: list[str], target: str, k: int = 3, trees: int = 10, embargo: int = 0) -> DataFrame:
+    """Adds predicted: each row's target from boosted trees that never saw its fold of runs, nor runs ``embargo`` days near it."""
     folded = rows.withColumn("_fold", fold_of(F.col("init_date"), k))
     made = None
     for fold in range(k):
-        model = Pipeline(stages=[*_assembled(columns), GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(folded.where(F.col("_fold") != fold))
+        model = Pipeline(stages=[*_assembled(columns), GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(apart_from_fold(folded, fold, embargo))
         part = model.transform(folded.where(F.col("_fold") == fold)).select(*rows.columns, F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted"))
         made = part if made is None else made.unionByName(part)
     return made
@@ -41,12 +47,36 @@ def importances(rows: DataFrame, columns: list[str], target: str, trees: int = 1
     return rows.sparkSession.createDataFrame([(c, float(s)) for c, s in zip(columns, shares, strict=True)], "feature string, importance double")
 
 
-def classified(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 10) -> DataFrame:
-    """Adds raw_p: the probability of y by boosted trees."""
-    model = Pipeline(stages=[*_assembled(columns), GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(train)
+def classified(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 10, held: DataFrame | None = None) -> DataFrame:
+    """Adds raw_p: the probability of y by boosted trees; with ``held``, no more trees than help on those rows."""
+    learner = GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7)
+    if held is not None:
+        train = train.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
+        learner = learner.setValidationIndicatorCol("_held")
+    model = Pipeline(stages=[*_assembled(columns), learner]).fit(train)
     return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("raw_p"))
 
 
+def attributions(train: DataFrame, rows: DataFrame, columns: list[str], groups: list[str], trees: int = 10) -> DataFrame:
+    """How far each column moves the probability of boosted trees: the mean distance from that with the column at its median.
+
+    One row a column over all rows (the groups null, ``of_all``), and one for each column and group.
+    """
+    model = Pipeline(stages=[*_assembled(columns), GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(train)
+    middle = train.agg(*[F.median(c).alias(c) for c in columns]).first()
+
+    def p(frame: DataFrame, name: str) -> DataFrame:
+        found = model.transform(frame).withColumn(name, vector_to_array("probability")[1])
+        return found.drop(*[f"{c}__filled" for c in columns], "features", "rawPrediction", "probability", "prediction")
+
+    made = p(rows, "_p")
+    for k, c in enumerate(columns):
+        made = p(made.withColumnsRenamed({c: "_kept"}).withColumn(c, F.lit(float(middle[c] or 0.0))), f"_p{k}").drop(c).withColumnRenamed("_kept", c)
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.col("_p") - F.col(f"_p{k}")).alias("moved")) for k, c in enumerate(columns)])
+    each = made.select(*groups, F.explode(parts).alias("c")).select(*groups, "c.*")
+    return each.groupingSets([["feature"], ["feature", *groups]], "feature", *groups).agg(F.avg("moved").alias("moved"), F.count(F.lit(1)).alias("n"), (F.grouping(groups[0]) == 1).alias("of_all"))
+
+
 def _logit(p: Column) -> Column:
     bounded = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), p))
     return F.ln(bounded / (1 - bounded))

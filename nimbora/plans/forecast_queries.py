@@ -199,9 +199,9 @@ R.add(
     "bias_backoff_apply",
     _backoff,
     with_sql(*EVT, "diffs AS (SELECT *, month(valid_date) AS month, fc_mean - obs_mean AS diff FROM evt)", "a AS (SELECT region_id, variable, lead_time_days, month, avg(diff) AS b FROM diffs GROUP BY ALL HAVING count(*) >= 8)", "b AS (SELECT region_id, variable, month, avg(diff) AS b FROM diffs GROUP BY ALL HAVING count(*) >= 8)", "c AS (SELECT region_id, variable, avg(diff) AS b FROM diffs GROUP BY ALL HAVING count(*) >= 8)")
-    + """SELECT region_id, init_date, valid_date, lead_time_days, variable, fc_mean, coalesce(a.b, b.b, c.b) AS bias, fc_mean - coalesce(a.b, b.b, c.b) AS corrected
+    + """SELECT region_id, init_date, valid_date, lead_time_days, variable, fc_mean, coalesce(a.b, b.b, c.b) AS bias, fc_mean - coalesce(a.b, b.b, c.b) AS corrected, abs(fc_mean - coalesce(a.b, b.b, c.b) - obs_mean) AS corrected_err
 FROM diffs LEFT JOIN a USING (region_id, variable, lead_time_days, month) LEFT JOIN b USING (region_id, variable, month) LEFT JOIN c USING (region_id, variable)""",
-    ("fc_mean", "bias", "corrected"),
+    ("fc_mean", "bias", "corrected", "corrected_err"),
     10,
 )
 R.add("event_rows", lambda s, d: event_rows(s, d).select(*EVENT, "variable", "fc_mean", "obs_mean", "pred_err", "spread", "n_rows", "actual_err"), with_sql(*EVT) + "SELECT region_id, init_date, valid_date, lead_time_days, variable, fc_mean, obs_mean, pred_err, spread, n_rows, actual_err FROM evt", ("fc_mean", "obs_mean", "pred_err", "spread", "actual_err"))

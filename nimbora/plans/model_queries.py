@@ -7,12 +7,12 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.operators import events, models
+from nimbora.operators import baselines, events, models, scores
 from nimbora.operators.ordered import written
 from nimbora.plans.forecast_queries import event_rows
 from nimbora.plans.registry import Registry
-from nimbora.plans.score_queries import scored
-from nimbora.plans.views import EVENT, VARIABLES
+from nimbora.plans.score_queries import S, scored
+from nimbora.plans.views import EVENT, VARIABLES, with_sql
 
 R = Registry()
 COLUMNS = ["lead_time_days", *[f"spread_{v}" for v in VARIABLES]]
@@ -54,3 +54,43 @@ R.add("feature_importance", lambda s, d: models.importances(framed(s, d).withCol
 R.add("baseline_logistic", lambda s, d: models.logistic(*_halves(s, d), ["lead_time_days"]).select(*EVENT, "y", "p"))
 R.add("baseline_idr", lambda s, d: models.isotonic(*_halves(s, d), "spread_view").select(*EVENT, "y", "p"))
 R.add("score_cycle", lambda s, d: _classifier(s, d).withColumn("band", events.band(F.col("p"), F.lit(0.1), F.lit(0.3))).groupBy("init_date", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))
+
+
+def _folds(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each fold of runs, and rows that may train its regressors."""
+    rows = scored(s, d).select("init_date").withColumn("_fold", models.fold_of(F.col("init_date"), 3, 9))
+    parts = [models.apart_from_fold(rows, k, 2).agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n_train")) for k in range(3)]
+    held = rows.groupBy(F.col("_fold").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    return held.join(functools.reduce(DataFrame.unionByName, parts), "fold")
+
+
+R.add(
+    "embargoed_folds",
+    _folds,
+    with_sql(*S, "f AS (SELECT init_date, CAST((floor(datediff('day', DATE '2000-01-01', init_date) / 9) % 3 + 3) % 3 AS INTEGER) AS fold FROM scored)", "days AS (SELECT DISTINCT fold, init_date FROM f)", "t AS (SELECT h.fold, count(*) AS n_train FROM f JOIN (SELECT DISTINCT fold FROM f) h ON f.fold <> h.fold WHERE NOT EXISTS (SELECT 1 FROM days WHERE days.fold = h.fold AND abs(datediff('day', days.init_date, f.init_date)) <= 2) GROUP BY 1)")
+    + "SELECT fold, n, n_train FROM (SELECT fold, count(*) AS n FROM f GROUP BY 1) JOIN t USING (fold)",
+)
+
+
+def _spread_frame(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test events with lead, mean and largest spread and a column for each season."""
+    rows = event_rows(s, d).groupBy(*EVENT).agg(F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"))
+    season = events.season_of(F.col("valid_date"))
+    made = scored(s, d).select(*EVENT, "y").join(rows, EVENT).withColumns({"lead": F.col("lead_time_days").cast("double"), **{f"is_{x}": (season == x).cast("double") for x in ("DJF", "MAM", "JJAS", "ON")}})
+    made = written(made)
+    return made.where("dayofmonth(init_date) <= 15"), made.where("dayofmonth(init_date) > 15")
+
+
+RUNGS = {"lead": ["lead"], "spread": ["spread_mean", "spread_max"], "lead, spread and season": ["lead", "spread_mean", "spread_max", "is_DJF", "is_MAM", "is_JJAS", "is_ON"]}
+
+
+def _ladder(s: SparkSession, d: str) -> DataFrame:
+    """Brier score and skill of each logistic rung on the same test events, and which is best."""
+    train, rows = _spread_frame(s, d)
+    parts = [scores.brier(models.logistic(train, rows, columns)).select(F.lit(name).alias("name"), "brier", "skill", "n") for name, columns in RUNGS.items()]
+    made = written(functools.reduce(DataFrame.unionByName, parts))
+    return made.join(baselines.best_rung(made).select("name", F.lit(True).alias("best"), "negligible"), "name", "left")
+
+
+R.add("baseline_ladder", _ladder)
+R.add("feature_attributions", lambda s, d: models.attributions(*_halves(s, d), COLUMNS, ["lead_time_days"]))

@@ -9,7 +9,7 @@ from nimbora.operators import areas, frames, reductions, serving
 from nimbora.plans.forecast_queries import EVT, cuts, event_rows, paired
 from nimbora.plans.registry import Registry
 from nimbora.plans.score_queries import S, scored
-from nimbora.plans.views import EVENT, FC, OB, PAIRED, THRESHOLDS, forecasts, table, with_sql
+from nimbora.plans.views import ANGLE, EVENT, FC, OB, PAIRED, THRESHOLDS, VARIABLES, forecasts, table, with_sql
 
 R = Registry()
 
@@ -209,3 +209,27 @@ R.add(
     with_sql(FC, OB, PAIRED) + "SELECT variable, avg(abs(f - o)) AS mae, count(*) AS n FROM (SELECT variable, region_id, init_date, valid_date, avg(forecast_value) AS f, avg(observed_value) AS o FROM paired GROUP BY ALL) GROUP BY 1",
     ("mae",),
 )
+
+
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """Forecasts whose observations are replaced by those of the first twenty days of each month."""
+    rows = paired(s, d).select("region_id", "variable", "valid_date", "init_date", "member", "forecast_value", "observed_value", "abs_error")
+    again = rows.where("dayofmonth(valid_date) <= 20").groupBy("region_id", "variable", "valid_date").agg(F.max("forecast_value").alias("observed_value"))
+    return frames.refreshed(rows, again, ["region_id", "variable", "valid_date"]).select("region_id", "variable", "valid_date", "init_date", "member", "observed_value", "abs_error")
+
+
+R.add(
+    "observation_refresh",
+    _refreshed,
+    with_sql(FC) + "SELECT fc.region_id, fc.variable, fc.valid_date, init_date, member, o.v AS observed_value, abs(forecast_value - o.v) AS abs_error FROM fc LEFT JOIN (SELECT region_id, variable, valid_date, max(forecast_value) AS v FROM fc WHERE day(valid_date) <= 20 GROUP BY ALL) o ON o.region_id = fc.region_id AND o.variable = fc.variable AND o.valid_date = fc.valid_date",
+    ("observed_value", "abs_error"),
+)
+ERRORS = [f"error_{v}" for v in VARIABLES]
+R.add(
+    "event_signed_errors",
+    lambda s, d: frames.signed_errors(paired(s, d), ANGLE, VARIABLES),
+    with_sql(FC, OB, PAIRED, "m AS (SELECT region_id, init_date, valid_date, lead_time_days, variable, avg(forecast_value) - avg(observed_value) AS plain, degrees(atan2(avg(sin(radians(forecast_value))), avg(cos(radians(forecast_value))))) - degrees(atan2(avg(sin(radians(observed_value))), avg(cos(radians(observed_value))))) AS turn FROM paired GROUP BY ALL)", "e AS (SELECT *, CASE WHEN variable = 'error' THEN ((turn + 180) % 360 + 360) % 360 - 180 ELSE plain END AS e FROM m)")
+    + "SELECT region_id, init_date, valid_date, lead_time_days, " + ", ".join(f"avg(CASE WHEN variable = '{v}' THEN e END) AS error_{v}" for v in VARIABLES) + " FROM e GROUP BY ALL",
+    tuple(ERRORS),
+    6,
+)

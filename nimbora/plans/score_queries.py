@@ -170,6 +170,34 @@ R.add(
 )
 
 
+def _exponent(s: SparkSession, d: str) -> DataFrame:
+    return baselines.emos_exponent(_emos(s, d).join(scored(s, d).select(*EVENT, "y"), EVENT)).select(F.round("gamma", 6).alias("gamma"), "brier")
+
+
+R.add(
+    "baseline_emos_exponent",
+    _exponent,
+    with_sql(*S, EMOS_FIT, "fit AS (SELECT variable, greatest(cut, mean * sqrt(pi() / 2) * 1e-3, 1e-6) AS a, greatest(slope, 0.0) AS b FROM f WHERE n >= 50)", "mid AS (SELECT variable, median(spread) AS mid FROM evt GROUP BY 1)", "sig AS (SELECT evt.*, bust_threshold / (greatest(a + b * coalesce(spread, mid), 1e-6) * sqrt(2)) AS x FROM evt JOIN fit USING (variable) JOIN thr USING (variable) JOIN mid USING (variable))", f"em AS (SELECT region_id, init_date, valid_date, lead_time_days, exp(sum(ln(greatest({_erf('x')}, 1e-300)))) AS none FROM sig GROUP BY ALL)", "g AS (SELECT 0.05::DOUBLE + 0.95::DOUBLE * k / 39 AS gamma FROM range(40) r(k))", "b AS (SELECT gamma, avg((1 - none ** gamma - y) ** 2) AS brier FROM em JOIN scored USING (region_id, init_date, valid_date, lead_time_days), g GROUP BY 1)")
+    + "SELECT round(gamma, 6) AS gamma, brier FROM b ORDER BY round(brier, 9), gamma LIMIT 1",
+    ("brier",),
+)
+
+
+def _season_cells(s: SparkSession, d: str) -> DataFrame:
+    train, rows = _split(s, d)
+    season = events.season_of(F.col("valid_date"))
+    return baselines.cell_frequency(train.withColumn("season", season), rows.withColumn("season", season), ["region_id", "season"], ["season"], 30).select(*EVENT, "y", "p")
+
+
+SEASONED = "seasoned AS (SELECT *, CASE WHEN month(valid_date) IN (12, 1, 2) THEN 'DJF' WHEN month(valid_date) IN (3, 4, 5) THEN 'MAM' WHEN month(valid_date) IN (6, 7, 8, 9) THEN 'JJAS' ELSE 'ON' END AS season FROM scored)"
+R.add(
+    "baseline_season_backoff",
+    _season_cells,
+    with_sql(*S, SEASONED, "train AS (SELECT * FROM seasoned WHERE day(init_date) <= 15)", "f AS (SELECT region_id, season, avg(y) AS a FROM train GROUP BY ALL HAVING count(*) >= 30)", "w AS (SELECT season, avg(y) AS b FROM train GROUP BY 1)") + "SELECT region_id, init_date, valid_date, lead_time_days, y, coalesce(a, b, (SELECT avg(y) FROM train)) AS p FROM seasoned LEFT JOIN f USING (region_id, season) LEFT JOIN w USING (season) WHERE day(init_date) > 15",
+    ("p",),
+)
+
+
 def _analog(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
     return baselines.analog_votes(v, F.col("id") % 20 == 0, 50)
