@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -12,10 +14,31 @@ from pyspark.sql import functions as F
 
 CLIP = 1e-6
 
+#: Rows that a regressor needs.
+LEAST_ROWS = 30
+
+
+def _with_features(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
+    known = {f"{c}__filled": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m)) for c, m in medians.items()}
+    return VectorAssembler(inputCols=list(known), outputCol="features").transform(rows.withColumns(known)).drop(*known)
+
+
+@dataclass
+class Fitted:
+    """A fitted learner with the medians that stand for missing values (0 where a column has none)."""
 
-def _assembled(columns: list[str]) -> list:
-    filled = [f"{c}__filled" for c in columns]
-    return [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]
+    model: Any
+    medians: dict[str, float]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the learner's columns."""
+        return self.model.transform(_with_features(rows, self.medians))
+
+
+def _fitted(learner, train: DataFrame, columns: list[str]) -> Fitted:
+    found = train.agg(*[F.median(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in columns]).first()
+    medians = {c: float(found[c] or 0.0) for c in columns}
+    return Fitted(learner.fit(_with_features(train, medians)), medians)
 
 
 def fold_of(date: Column, k: int, block: int = 3) -> Column:
@@ -30,20 +53,27 @@ def apart_from_fold(folded: DataFrame, fold: int, days: int) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, columns: list[str], target: str, k: int = 3, trees: int = 10, embargo: int = 0) -> DataFrame:
-    """Adds predicted: each row's target from boosted trees that never saw its fold of runs, nor runs ``embargo`` days near it."""
+    """Adds predicted: each row's target from boosted trees that never saw its fold of runs, nor runs ``embargo`` days near it.
+
+    It is null for a fold that leaves fewer than LEAST_ROWS rows to learn from.
+    """
     folded = rows.withColumn("_fold", fold_of(F.col("init_date"), k))
     made = None
     for fold in range(k):
-        model = Pipeline(stages=[*_assembled(columns), GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(apart_from_fold(folded, fold, embargo))
-        part = model.transform(folded.where(F.col("_fold") == fold)).select(*rows.columns, F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted"))
+        train, held = apart_from_fold(folded, fold, embargo).where(F.col(target).isNotNull()), folded.where(F.col("_fold") == fold)
+        if train.limit(LEAST_ROWS).count() < LEAST_ROWS:
+            part = held.select(*rows.columns, F.lit(None).cast("double").alias("predicted"))
+        else:
+            model = _fitted(GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7), train, columns)
+            part = model.transform(held).select(*rows.columns, F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted"))
         made = part if made is None else made.unionByName(part)
     return made
 
 
 def importances(rows: DataFrame, columns: list[str], target: str, trees: int = 10) -> DataFrame:
     """Each column's share in the trees' gains."""
-    model = Pipeline(stages=[*_assembled(columns), GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(rows)
-    shares = model.stages[-1].featureImportances.toArray()
+    model = _fitted(GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7), rows, columns)
+    shares = model.model.featureImportances.toArray()
     return rows.sparkSession.createDataFrame([(c, float(s)) for c, s in zip(columns, shares, strict=True)], "feature string, importance double")
 
 
@@ -53,7 +83,7 @@ def classified(train: DataFrame, rows: DataFrame, columns: list[str], trees: int
     if held is not None:
         train = train.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
         learner = learner.setValidationIndicatorCol("_held")
-    model = Pipeline(stages=[*_assembled(columns), learner]).fit(train)
+    model = _fitted(learner, train, columns)
     return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("raw_p"))
 
 
@@ -62,16 +92,15 @@ def attributions(train: DataFrame, rows: DataFrame, columns: list[str], groups:
 
     One row a column over all rows (the groups null, ``of_all``), and one for each column and group.
     """
-    model = Pipeline(stages=[*_assembled(columns), GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7)]).fit(train)
-    middle = train.agg(*[F.median(c).alias(c) for c in columns]).first()
+    model = _fitted(GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7), train, columns)
 
     def p(frame: DataFrame, name: str) -> DataFrame:
         found = model.transform(frame).withColumn(name, vector_to_array("probability")[1])
-        return found.drop(*[f"{c}__filled" for c in columns], "features", "rawPrediction", "probability", "prediction")
+        return found.drop("features", "rawPrediction", "probability", "prediction")
 
     made = p(rows, "_p")
     for k, c in enumerate(columns):
-        made = p(made.withColumnsRenamed({c: "_kept"}).withColumn(c, F.lit(float(middle[c] or 0.0))), f"_p{k}").drop(c).withColumnRenamed("_kept", c)
+        made = p(made.withColumnsRenamed({c: "_kept"}).withColumn(c, F.lit(model.medians[c])), f"_p{k}").drop(c).withColumnRenamed("_kept", c)
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.col("_p") - F.col(f"_p{k}")).alias("moved")) for k, c in enumerate(columns)])
     each = made.select(*groups, F.explode(parts).alias("c")).select(*groups, "c.*")
     return each.groupingSets([["feature"], ["feature", *groups]], "feature", *groups).agg(F.avg("moved").alias("moved"), F.count(F.lit(1)).alias("n"), (F.grouping(groups[0]) == 1).alias("of_all"))
@@ -94,7 +123,7 @@ def platt(held: DataFrame, rows: DataFrame) -> DataFrame:
 
 def logistic(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Adds p: a logistic regression on columns filled with their medians."""
-    model = Pipeline(stages=[*_assembled(columns), LogisticRegression(labelCol="y", featuresCol="features")]).fit(train)
+    model = _fitted(LogisticRegression(labelCol="y", featuresCol="features"), train, columns)
     return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("p"))
 
 
