@@ -170,13 +170,13 @@ R.add(
 
 
 def _rings(s: SparkSession, d: str) -> DataFrame:
-    """Squares of the nations' numbers, as polygons, and which customers' points lie in which."""
-    n = table(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 400.0 - 1000).alias("x0"))
-    ring = F.array(*[F.struct((F.col("x0") + dx).alias("x"), F.lit(y).alias("y")) for dx, y in ((0.0, 0.0), (380.0, 0.0), (380.0, 20.0), (0.0, 20.0))])
-    rings = n.select("n_nationkey", "x0", ring.alias("ring"))
+    """Lozenges by the nations' numbers, and which customers' points lie in which; bounds first, then the even-odd rule."""
+    n = table(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 400.0 - 800).alias("cx"))
+    ring = F.array(*[F.struct((F.col("cx") + dx).alias("x"), F.lit(y).alias("y")) for dx, y in ((191.37, 10.0), (0.0, 20.0), (-191.37, 10.0), (0.0, 0.0))])
+    rings = n.select("n_nationkey", "cx", ring.alias("ring"))
     points = table(s, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 30 + 0.5).alias("y"))
-    near = points.join(F.broadcast(rings), (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x0") + 380))
+    near = points.join(F.broadcast(rings), (F.col("x") >= F.col("cx") - 191.37) & (F.col("x") <= F.col("cx") + 191.37))  # a row for each of 25 nations
     return near.where(grids.inside(F.col("x"), F.col("y"), F.col("ring"))).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max(grids.ring_area(F.col("ring"))).alias("area"))
 
 
-R.add("point_in_polygon", _rings, "SELECT n_nationkey, count(*) AS n, max(7600.0::DOUBLE) AS area FROM customer JOIN nation ON c_acctbal >= n_nationkey * 400.0 - 1000 AND c_acctbal < n_nationkey * 400.0 - 620 AND c_custkey % 30 + 0.5 < 20 GROUP BY 1")
+R.add("point_in_polygon", _rings, "SELECT n_nationkey, count(*) AS n, max(3827.4::DOUBLE) AS area FROM customer JOIN nation ON abs(c_acctbal - (n_nationkey * 400.0 - 800)) / 191.37 + abs(c_custkey % 30 + 0.5 - 10) / 10 < 1 GROUP BY 1", ("area",), 6)
