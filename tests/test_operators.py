@@ -30,11 +30,21 @@ def test_jumps(spark):
 
 
 def test_lagged_pool(spark):
-    rows = spark.createDataFrame([("r", "t", NOV[3], NOV[0], 2, 32.0, 1.0), ("r", "t", NOV[3], NOV[1], 2, 30.0, 1.0), ("r", "t", NOV[3], NOV[2], 2, 30.0, math.sqrt(2))], "region_id string, variable string, valid_date date, init_date date, n_members long, fc_mean double, spread double")
-    last = trajectories.lagged_pool(rows).where(F.col("init_date") == NOV[2]).first()
+    rows = spark.createDataFrame([("r", "t", NOV[3], NOV[0], 2, 32.0, 1.0), ("r", "t", NOV[3], NOV[1], 2, 30.0, 1.0), ("r", "t", NOV[3], NOV[2], 2, 30.0, math.sqrt(2))], "region_id string, variable string, valid_date date, init_date date, n_members long, fc_mean double, spread double").withColumns({"east": F.lit(0.0), "north": F.lit(1.0)})
+    last = trajectories.lagged_pool(rows, "angle").where(F.col("init_date") == NOV[2]).first()
     assert last["laf_size"] == 4 and last["laf_mean"] == pytest.approx(30.5) and last["laf_std"] == pytest.approx(math.sqrt(5 / 3))
 
 
+def test_lagged_pool_of_angles(spark):
+    """Members at 350 and 10 degrees pooled with an earlier mean of 90: a vector of (1, 2 cos 10) over 3."""
+    north = math.cos(math.radians(10))
+    own = math.degrees(math.sqrt(-2 * math.log(north)))
+    rows = spark.createDataFrame([("r", "angle", NOV[3], NOV[0], 1, 90.0, None, 1.0, 0.0), ("r", "angle", NOV[3], NOV[1], 2, 0.0, own, 0.0, north)], "region_id string, variable string, valid_date date, init_date date, n_members long, fc_mean double, spread double, east double, north double")
+    last = trajectories.lagged_pool(rows, "angle").where(F.col("init_date") == NOV[1]).first()
+    std = math.degrees(math.sqrt(-2 * math.log(math.hypot(1, 2 * north) / 3)))
+    assert last["laf_mean"] == pytest.approx(math.degrees(math.atan2(1, 2 * north))) and last["laf_std"] == pytest.approx(std) and last["laf_ratio"] == pytest.approx(std / own)
+
+
 def test_bias_levels_and_thin_cells(spark):
     rows = [("a", "t", 1, dt.date(2024, 7, 1), 30.0, 28.0)] * 150 + [("b", "t", 1, dt.date(2024, 7, 1), 20.0, 21.5)] * 40 + [("c", "t", 1, dt.date(2024, 7, 1), 5.0, 0.0)] * 29
     df = spark.createDataFrame(rows, "region_id string, variable string, lead_time_days int, valid_date date, fc_mean double, obs_mean double")
