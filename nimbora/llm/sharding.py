@@ -21,7 +21,7 @@ from nimbora.llm.common import materialise, numbered, whole_text, with_row_numbe
 SHARDS = 8
 
 #: Bits of a coordinate, bits of the tie break, and bits looked at in one pass.
-COORDINATE, TIE, DIGIT = 20, 42, 16
+COORDINATE, TIE, DIGIT = 20, 42, 11
 
 DIMENSIONS = ["d_bytes", "d_lines", "d_width"]
 
