@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nimbora.operators.ordered import shared_folder
 from nimbora.plans.registry import Registry
-from nimbora.plans.views import FC, forecasts, with_sql
+from nimbora.plans.views import FC, forecasts, table, with_sql
 from nimbora.streaming import tiers
 
 R = Registry()
@@ -39,3 +39,9 @@ f AS (SELECT region_id, variable, valid_date, avg(forecast_value) AS v FROM fc W
 SELECT region_id, variable, valid_date, coalesce(f.v, p.v) AS value, CASE WHEN f.v IS NULL THEN 'provisional' ELSE 'final' END AS status FROM p FULL JOIN f USING (region_id, variable, valid_date)""",
     ("value",),
 )
+R.add("cycles_to_do", lambda s, d: tiers.unfinished(forecasts(s, d), forecasts(s, d).where("dayofmonth(init_date) % 2 = 0")), with_sql(FC) + "SELECT DISTINCT init_date FROM fc WHERE day(init_date) % 2 <> 0")
+R.add(
+    "latency_windows",
+    lambda s, d: tiers.tier_windows(table(s, d, "orders").select(F.to_date("o_orderdate").alias("today")).distinct()),
+    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS today, CAST(CAST(o_orderdate AS DATE) - 5 AS DATE) AS final_until, CAST(CAST(o_orderdate AS DATE) - 1 AS DATE) AS provisional_until FROM orders",
+)
