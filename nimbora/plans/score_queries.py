@@ -30,7 +30,7 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     usual = cuts(rows).join(events.thresholds(pairs, "abs_error", 0.9, "member_p90"), "variable")  # a row for each variable
     x = F.max(F.col("pred_err") / F.col("member_p90"))
     both = rows.join(F.broadcast(usual), "variable").groupBy(*EVENT).agg(F.max(events.bust_ratio()).alias("ratio"), F.round(x / (1 + x), 4).alias("p"))
-    made = written(both.where("ratio IS NOT NULL").select(*EVENT, (F.col("ratio") >= 1).cast("int").alias("y"), "p"))
+    made = both.where("ratio IS NOT NULL").select(*EVENT, (F.col("ratio") >= 1).cast("int").alias("y"), "p")
     return made.withColumn("band", events.band(F.col("p"), F.lit(0.3), F.lit(0.5)))
 
 
@@ -84,7 +84,7 @@ R.add("rev_curve", lambda s, d: scores.economic_value(scored(s, d)), with_sql(*S
 
 
 def _conformal_sets(s: SparkSession, d: str) -> DataFrame:
-    rows = scored(s, d)
+    rows = written(scored(s, d))
     return scores.conformal_sets(rows, scores.conformal_threshold(rows, 0.1))
 
 
