@@ -35,21 +35,57 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@functools.lru_cache(maxsize=2)
-def byte_level_encoder(path: str):
-    """A fast encoder for a byte-level vocabulary file, with its special tokens found in texts.
+#: White space of so many characters is cut out before the pattern sees it, which would go back over it step by step.
+LONG_SPACE = 1_000
+
 
-    The vocabulary's ids rise in the order of its merges, so the ids serve as merge ranks.
+class ByteLevelEncoder:
+    """An encoder for a byte-level vocabulary file.
+
+    The vocabulary's ids rise in the order of its merges, so the ids serve as merge ranks. ``token_bytes`` has the bytes
+    of every id.
     """
-    import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        made = json.load(f)
-    special = {t["content"]: t["id"] for t in made["added_tokens"]}
-    byte = byte_alphabet()
-    ranks = {bytes(byte[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how byte-level vocabularies split texts
-    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        special = {t["content"]: t["id"] for t in made["added_tokens"]}
+        byte = byte_alphabet()
+        ranks = {bytes(byte[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how byte-level vocabularies split texts
+        self._words = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self._whole = tiktoken.Encoding("one word", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self._special = tuple(special)
+        self._long_space = regex.compile(r"\p{White_Space}{%d,}" % LONG_SPACE)
+        spelt = {i: token for token, i in ranks.items()} | {i: token.encode() for token, i in special.items()}
+        self.token_bytes = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+
+    def encode(self, text: str, special: bool):
+        """The ids of a text of any length as a numpy array; special tokens in it are found only if asked for."""
+        import numpy as np
+
+        known = {"allowed_special": "all"} if special else {"disallowed_special": ()}
+        if len(text) < LONG_SPACE:
+            return self._words.encode_to_numpy(text, **known)
+        parts, at = [], 0
+        for found in self._long_space.finditer(text):
+            # the pattern makes one word of white space but its last character, which goes with what follows; before
+            # the text's end or a special token, which stand alone, the word is all of it
+            end = found.end() - 1
+            if found.end() == len(text) or special and text.startswith(self._special, found.end()):
+                end += 1
+            parts += [self._words.encode_to_numpy(text[at : found.start()], **known), self._whole.encode_to_numpy(text[found.start() : end])]
+            at = end
+        return np.concatenate([*parts, self._words.encode_to_numpy(text[at:], **known)])
+
+
+@functools.lru_cache(maxsize=2)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    """The encoder of a vocabulary file, made once for each Python worker."""
+    return ByteLevelEncoder(path)
 
 
 def piece_lengths(n: int, capacity: int) -> list[int]:
@@ -70,7 +106,7 @@ def _piece_udf(path: str, capacity: int, end: int, keep_ids: bool):
         close = np.array([end], dtype="<u4")
         ends, piece, start, length, crc, kept = [0], [], [], [], [], []
         for text in texts:
-            ids = np.concatenate([encoder.encode_to_numpy(text.as_py() or "", allowed_special="all"), close]).astype("<u4")
+            ids = np.concatenate([encoder.encode(text.as_py() or "", special=True), close]).astype("<u4")
             at = 0
             for k, n in enumerate(piece_lengths(len(ids), capacity)):
                 part = ids[at : at + n]

@@ -82,3 +82,28 @@ def test_pieces_match_library(spark, keep_ids):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+LONG = [
+    " " * 2_000_000,
+    "\t" * 2_000_000 + "end",
+    "a" + "\n" * 2_000_000 + " b",
+    "x" + " " * 1_200_000 + "<|endoftext|>" + " \n" * 700 + "'s",
+    " " * 999 + "a" + " " * 1000 + "b" + " " * 1001 + "　" * 1500 + "\x1c" * 1200 + "c " + "\x85" * 3000,
+    "<|endoftext|>" + " " * 1500 + "<|endof" + "\r\n" * 800 + "5" + " " * 1300,
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+@pytest.mark.parametrize("special", [False, True])
+def test_long_white_space_matches_library(text, special):
+    lib = Tokenizer.from_file(PATH)
+    lib.encode_special_tokens = not special
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert packing.byte_level_encoder(PATH).encode(text, special).tolist() == want
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, LONG[0]), (2, LONG[1])], "doc_id long, text string")
+    out = packing.pack_documents(docs, PATH).collect()
+    assert sum(r["length"] for r in out) == sum(len(packing.byte_level_encoder(PATH).encode(t, True)) + 1 for t in LONG[:2])
