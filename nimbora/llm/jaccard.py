@@ -69,14 +69,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted hashes of a text's shingles: runs of five words, or all words if they are fewer."""
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of a text's shingles: runs of ``shingle`` words, or all words if they are fewer."""
     words = (text or "").encode().lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    width = min(n, SHINGLE)
+    width = min(n, shingle)
     run = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
         run = run * np.uint64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k]
@@ -137,17 +137,23 @@ def bit_sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _sketch_rows(most_parts: int | None):
+def copy_digest(elements: np.ndarray) -> tuple[bytes, int, int]:
+    """A digest that tells sets apart, and its two halves as signed numbers."""
+    digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+    return digest, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _sketch_rows(most_parts: int | None, shingle: int = SHINGLE):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()  # copies within a task are sketched once, as far as they are remembered
         for batch in batches:
             n, high, low, ends, spare, inner, parts = [], [], [], [0], [], [0], []
             for text in batch.column("text"):
-                elements = shingle_set(text.as_py())
-                digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+                elements = shingle_set(text.as_py(), shingle)
+                digest, upper, lower = copy_digest(elements)
                 n.append(len(elements))
-                high.append(int.from_bytes(digest[:8], "little", signed=True))
-                low.append(int.from_bytes(digest[8:], "little", signed=True))
+                high.append(upper)
+                low.append(lower)
                 if digest not in met:
                     if len(met) == REMEMBERED:
                         met.clear()
@@ -168,21 +174,24 @@ def _sketch_rows(most_parts: int | None):
     return rows
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-        ends = np.cumsum([0, *map(len, sets)])
-        flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        bits = np.concatenate([bit_sketch(s) for s in sets]) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(bits)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-            ],
-            names=["id", "n", "bits", "elements"],
-        )
+def _set_rows(shingle: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            bits = np.concatenate([bit_sketch(s) for s in sets]) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(bits)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                ],
+                names=["id", "n", "bits", "elements"],
+            )
+
+    return rows
 
 
 @F.arrow_udf(LongType())
@@ -278,25 +287,36 @@ def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(named) if small else named, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFrame:
-    """n_shingles and component_id of each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id.
+def sets_of(texts: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The whole sets of the documents that ``ids`` (id) names, written: id, n, bits, elements."""
+    return materialise(_restricted(texts, ids.distinct()).mapInArrow(_set_rows(shingle), "id long, n long, bits array<bigint>, elements array<bigint>"))
 
-    Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more; component_id is the smallest
-    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. ``most_parts`` bounds the parts kept of a
-    sketch (see PARTS); with None all are kept, and no pair of any size rests on chance but for hash collisions.
 
-    Null, empty and blank texts have no shingles and link with nothing, not even each other. Rows that repeat a doc_id
-    count as linked with each other if they have words. A similarity of exactly 0.8 links. Rows with a null doc_id are
-    left out. An empty table gives an empty result. Other columns are not read. Texts of any length are read whole.
-    """
-    bounded_batches(docs.sparkSession)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, high long, low long, bands array<struct<spare:int,parts:array<bigint>>>"
-    sketched = materialise(texts.mapInArrow(_sketch_rows(most_parts), schema))
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Of each part, the pairs (a, b) of its documents with the first and with the last of them."""
+    return shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
+
+
+def star_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """The star pairs whose sets link, written."""
+    return materialise(_linked(materialise(_near(materialise(star_pairs(shared)), sets)), sets))
+
+
+def copies_classed(sketched: DataFrame) -> DataFrame:
+    """Each row's class of equal sets, written: doc_id, n_shingles, rep (the class's smallest doc_id)."""
     lean = sketched.select("doc_id", "n_shingles", "high", "low")
     copies = materialise(lean.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
-    members = materialise(lean.join(copies, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")))
+    return materialise(lean.join(copies, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")))
+
+
+def sketched_documents(texts: DataFrame, most_parts: int | None, shingle: int = SHINGLE) -> DataFrame:
+    """Sizes, digests and parity sketches of ``texts`` (doc_id, text), written."""
+    schema = "doc_id long, n_shingles long, high long, low long, bands array<struct<spare:int,parts:array<bigint>>>"
+    return materialise(texts.mapInArrow(_sketch_rows(most_parts, shingle), schema))
+
 
+def shared_parts(sketched: DataFrame, members: DataFrame) -> DataFrame:
+    """The parts by which documents may link, written: part, rep, and the part's smallest and largest rep (low, high)."""
     banded = sketched.select("doc_id", F.posexplode("bands").alias("band", "sketch")).select("doc_id", "band", "sketch.spare", F.explode("sketch.parts").alias("part"))
     frequent = materialise(banded.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = frequent.agg(F.sum("n")).first()[0] or 0
@@ -310,11 +330,19 @@ def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFram
     kept = materialise(own.withColumn("place", F.row_number().over(by_frequency)).where("place > spare").select("rep", "part", before.alias("before"), room.alias("room")))
     ends = materialise(kept.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members"), F.min("before").alias("least")).where("low < high"))
     total = ends.agg(F.sum("members")).first()[0] or 0
-    shared = materialise(joined_with_hot(kept, ends, "part", "members", total).where("before + least <= room").select("part", "rep", "low", "high"))
+    return materialise(joined_with_hot(kept, ends, "part", "members", total).where("before + least <= room").select("part", "rep", "low", "high"))
+
 
-    sets = materialise(_restricted(texts, shared.select(F.col("rep").alias("id")).distinct()).mapInArrow(_set_rows, "id long, n long, bits array<bigint>, elements array<bigint>"))
-    stars = materialise(shared.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(shared.select(F.col("rep").alias("a"), F.col("high").alias("b"))).where("a < b").distinct())
+def confirmed(texts: DataFrame, members: DataFrame, shared: DataFrame, shingle: int = SHINGLE, known: DataFrame | None = None) -> DataFrame:
+    """n_shingles and component_id of each row of ``members``, by links between documents of one part of ``shared``.
+
+    Links (a, b) that are ``known`` already are taken as they are.
+    """
+    sets = sets_of(texts, shared.select(F.col("rep").alias("id")), shingle)
+    stars = materialise(star_pairs(shared))
     links = materialise(_linked(materialise(_near(stars, sets)), sets))
+    if known is not None:
+        links = links.union(known)
     found = components(links)
 
     placed = materialise(shared.join(found, shared["rep"] == found["id"], "left").select("part", "rep", F.coalesce("component", "rep").alias("component")))
@@ -324,3 +352,21 @@ def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFram
         found = components(links.union(more))
     result = members.join(found, members["rep"] == found["id"], "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFrame:
+    """n_shingles and component_id of each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id.
+
+    Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more; component_id is the smallest
+    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. ``most_parts`` bounds the parts kept of a
+    sketch (see PARTS); with None all are kept, and no pair of any size rests on chance but for hash collisions.
+
+    Null, empty and blank texts have no shingles and link with nothing, not even each other. Rows that repeat a doc_id
+    count as linked with each other if they have words. A similarity of exactly 0.8 links. Rows with a null doc_id are
+    left out. An empty table gives an empty result. Other columns are not read. Texts of any length are read whole.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = sketched_documents(texts, most_parts)
+    members = copies_classed(sketched)
+    return confirmed(texts, members, shared_parts(sketched, members))

@@ -10,17 +10,18 @@ from nimbora.llm import jaccard
 from nimbora.llm.graphs import components
 
 
-def shingles(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def runs_of(words, width):
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)])
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if len(words) >= width else frozenset([tuple(words)])
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
-    parent = {i: i for i, _ in rows}
+def linked(sets):
+    parent = {i: i for i, _ in sets}
 
     def root(x):
         while parent[x] != x:
@@ -35,6 +36,10 @@ def brute(rows):
     return {(i, len(s), root(i)) for i, s in sets}
 
 
+def brute(rows):
+    return linked([(i, runs_of(words_of(t), 5)) for i, t in rows])
+
+
 def run(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("clash")).withColumn("n", F.lit(1))
     out = jaccard.near_duplicates(docs).collect()
