@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.llm import bpe, jaccard, languages, licenses, packing, quality, search, sharding, substrings, urls
+from nimbora.llm import alignment, bpe, jaccard, languages, licenses, minhash, packing, quality, search, sharding, spelling, substrings, urls
 from nimbora.llm.common import table
 
 
@@ -115,9 +115,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of similar sets of four-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with the corpus-wide counts of its links."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.count_alignments(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus and the form that it is a variant of."""
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_license_scan": op1_license_scan, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op4_exact_top_k": op4_exact_top_k, "op5_substring_dedup": op5_substring_dedup, "op6_url_filter": op6_url_filter, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_kd_sharding": op8_kd_sharding, "op9_best_fit_packing": op9_best_fit_packing, "op10_language_id": op10_language_id}
+    made = [op1_license_scan, op2_ngram_jaccard_join, op3_quality_rules, op4_exact_top_k, op5_substring_dedup, op6_url_filter, op7_bpe_round_trip]
+    made += [op8_kd_sharding, op9_best_fit_packing, op10_language_id, op11_minhash_near_dedup, op12_tokenizer_alignment, op13_spelling_variants]
+    return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
