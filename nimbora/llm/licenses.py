@@ -1,7 +1,7 @@
 """License scans: ordered signature rules, gated by keywords, with overlaps resolved.
 
-A table of rules is made from license families (below) and phrase forms: each rule is a regular expression over the
-text with A-Z lower-cased, with a gate, a mark, a priority and a weight. Gate and mark are literals that every match of the rule
+A table of rules is made from license families (below) and phrase forms, and from sentences of license texts: each rule is a
+regular expression over the text with A-Z lower-cased, with a gate, a mark, a priority and a weight. Gate and mark are literals that every match of the rule
 contains, so a rule is tried only where the text contains both, as words or within them. All matches, as character
 intervals, are resolved in two ordered passes: an interval that lies inside another one is suppressed (of equal intervals the one of higher priority
 stays), then of two that overlap in part the one of higher priority stays, the earlier one on ties.
@@ -89,6 +89,27 @@ FORMS = [
     ("short licenced", 60, 0.6, "licenced", "s", r"(?<![0-9a-z])(?:{s})[\s-]+licenced(?![0-9a-z])"),
 ]
 
+#: Sentences of license texts as (label, priority, weight, gate, mark, pattern).
+SENTENCES = [
+    ("mit", 75, 0.9, "permission", "charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
+    ("boost", 75, 0.9, "permission", "organization", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+or\s+organization\s+obtaining\s+a\s+copy"),
+    ("isc", 75, 0.9, "permission", "fee", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee"),
+    ("bsd", 75, 0.9, "redistribution", "permitted", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,?\s+with\s+or\s+without\s+modification,?\s+(?:are|is)\s+permitted"),
+    ("bsd", 74, 0.8, "redistributions", "copyright", r"redistributions\s+(?:of\s+source\s+code|in\s+binary\s+form)\s+must\s+(?:retain|reproduce)\s+the\s+above\s+copyright\s+notice"),
+    ("bsd", 74, 0.8, "endorse", "software", r"to\s+endorse\s+or\s+promote\s+products\s+derived\s+from\s+this\s+software"),
+    ("gpl", 92, 0.95, "redistribute", "general", r"you\s+can\s+redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+general\s+public\s+license"),
+    ("lgpl", 92, 0.95, "redistribute", "lesser", r"you\s+can\s+redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+lesser\s+general\s+public\s+license"),
+    ("agpl", 92, 0.95, "redistribute", "affero", r"you\s+can\s+redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+affero\s+general\s+public\s+license"),
+    ("apache", 75, 0.8, "compliance", "license", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license"),
+    ("mpl", 92, 0.95, "mozilla", "source", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+license"),
+    ("zlib", 74, 0.8, "altered", "marked", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such"),
+    ("unlicense", 92, 0.95, "unencumbered", "domain", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
+    ("cc0", 74, 0.9, "waives", "copyright", r"waives\s+all\s+(?:of\s+)?(?:his\s+or\s+her\s+|their\s+)?copyright\s+and\s+related"),
+    ("warranty-disclaimer", 50, 0.5, "provided", "warrant", r"software\s+is\s+provided\s+(?:by\s+the\s+(?:copyright\s+holders?|authors?|regents)(?:\s+and\s+contributors)?\s+)?[\"'`]{0,2}as\s+is[\"'`]{0,2},?\s+(?:and\s+any\s+express\s+or\s+implied\s+warranties|without\s+(?:any\s+)?(?:express\s+or\s+implied\s+)?warranty)"),
+    ("warranty-disclaimer", 50, 0.5, "warranty", "fitness", r"implied\s+warranty\s+of\s+merchantability\s+or\s+fitness\s+for\s+a\s+particular\s+purpose"),
+    ("liability-disclaimer", 50, 0.5, "liable", "event", r"in\s+no\s+event\s+shall\s+the\s+(?:authors?|regents|copyright\s+(?:holders?|owners?))(?:\s+(?:or|and)\s+(?:copyright\s+holders|contributors))?\s+be\s+liable\s+for\s+any\s+(?:claim|direct|damages)"),
+]
+
 #: The base phrases, as their words, and their labels.
 BASE = [(["mit", "license"], "mit"), (["apache", "license"], "apache"), (["general", "public", "license"], "gpl")]
 
@@ -97,13 +118,15 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def rules() -> list[dict]:
-    """The ordered rule table: one rule for each family and phrase form."""
+    """The ordered rule table: one rule for each family and phrase form, then those of license texts."""
     made = []
     for label, marks, title, short, tag, address in FAMILIES:
         for form, priority, weight, gate, part, pattern in FORMS:
             regex = pattern.format(t=title, s=short, x=tag, u=address)
             mark = {"t": marks[0], "s": marks[1], "u": marks[2]}.get(part, gate)
             made.append({"rule": len(made), "label": label, "gate": gate or mark, "mark": mark, "form": form, "priority": priority, "weight": weight, "regex": regex})
+    for label, priority, weight, gate, mark, regex in SENTENCES:
+        made.append({"rule": len(made), "label": label, "gate": gate, "mark": mark, "form": "text", "priority": priority, "weight": weight, "regex": regex})
     return made
 
 
@@ -112,20 +135,56 @@ def _literal(rows: list[dict], schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
 
 
+HIT = "struct<start:int,end:int,priority:int,rule:int,label:string,weight:double>"
+
+
+def _named(value: Column, use) -> Column:
+    """``use`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _folded(items: Column, state: Column, state_kind: str, step) -> Column:
+    """Folds ``items`` in order: a struct of the last ``state`` and ``kept``, the hits that were kept.
+
+    ``step`` takes (state, item) and gives the next state and an array of the hits that the item adds. A fold copies what it
+    has gathered at every step, so one list for all would take time with the square of their number. Items are cut into
+    pieces, the cube root of their number in size; a first pass carries only the state from piece to piece, a
+    second one folds every piece from its state.
+    """
+    size = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(items))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / size).cast("int")), lambda k: F.slice(items, k * size + 1, size))
+
+    def carried(acc: Column, part: Column) -> Column:
+        after = F.aggregate(part, acc["state"], lambda at, item: step(at, item)[0])
+        return F.struct(after.alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, added = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["kept"], added).alias("kept"))
+
+    def pieces(cut: Column) -> Column:
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<{state_kind}>").alias("starts"))
+        return _named(F.aggregate(cut, zero, carried), lambda run: F.struct(run["state"].alias("state"), F.flatten(F.transform(cut, lambda part, k: F.aggregate(part, F.struct(F.get(run["starts"], k).alias("state"), _no_hits().alias("kept")), one, lambda acc: acc["kept"]))).alias("kept")))
+
+    return _named(parts, pieces)
+
+
 def _matches(text: Column, rule: Column) -> Column:
     """All matches of one rule as intervals of characters."""
     between = F.split(text, rule["regex"], -1)
     found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + pair["gap"]
+        end = start + pair["hit"]
         hit = F.struct(start.alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["weight"].alias("weight"))
-        return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+        return end, F.array(hit)
+
+    def placed(hits: Column, gaps: Column) -> Column:
+        pairs = F.transform(hits, lambda hit, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(hit).alias("hit")))
+        return _named(pairs, lambda p: _folded(p, F.lit(0), "int", step)["kept"])
 
-    pairs = F.transform(found, lambda hit, i: F.struct(F.get(between, i).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), _no_hits().alias("hits"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["hits"])).otherwise(_no_hits())
+    return _named(F.struct(found.alias("hits"), between.alias("gaps")), lambda r: F.when(F.size(r["hits"]) > 0, placed(r["hits"], r["gaps"])).otherwise(_no_hits()))
 
 
 def _place(word: Column, i: Column) -> Column:
@@ -140,7 +199,7 @@ def _place(word: Column, i: Column) -> Column:
 
 
 def _no_hits() -> Column:
-    return F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string,weight:double>>")
+    return F.array().cast(f"array<{HIT}>")
 
 
 def _resolved(hits: Column) -> Column:
@@ -148,22 +207,18 @@ def _resolved(hits: Column) -> Column:
     keyed = F.transform(hits, lambda h: F.struct(h["start"], (-h["end"]).alias("back"), (-h["priority"]).alias("low"), h["rule"], h.alias("hit")))
     ordered = F.transform(F.array_sort(keyed), lambda k: k["hit"])
 
-    def outer(acc: Column, h: Column) -> Column:
-        inside = h["end"] <= acc["reach"]
-        return F.struct(F.greatest(acc["reach"], h["end"]).alias("reach"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(h))).alias("kept"))
+    def outer(reach: Column, h: Column) -> tuple[Column, Column]:
+        return F.greatest(reach, h["end"]), F.when(h["end"] <= reach, _no_hits()).otherwise(F.array(h))
 
-    maximal = F.aggregate(ordered, F.struct(F.lit(-1).alias("reach"), _no_hits().alias("kept")), outer, lambda acc: acc["kept"])
+    def apart(last: Column, h: Column) -> tuple[Column, Column]:
+        """``last`` holds the interval that may still give way, if any; it is kept once one begins behind it."""
+        clash = (F.size(last) > 0) & (h["start"] < F.get(last, F.lit(0))["end"])
+        weaker = clash & (h["priority"] <= F.get(last, F.lit(0))["priority"])
+        return F.when(weaker, last).otherwise(F.array(h)), F.when(clash, _no_hits()).otherwise(last)
 
-    def apart(kept: Column, h: Column) -> Column:
-        clash = (F.size(kept) > 0) & (h["start"] < F.try_element_at(kept, F.lit(-1))["end"])
-        stronger = h["priority"] > F.try_element_at(kept, F.lit(-1))["priority"]
-        return (
-            F.when(~clash, F.concat(kept, F.array(h)))
-            .when(stronger, F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(h)))
-            .otherwise(kept)
-        )
-
-    return F.aggregate(maximal, _no_hits(), apart)
+    maximal = _named(ordered, lambda x: _folded(x, F.lit(-1), "int", outer)["kept"])
+    kept = _named(maximal, lambda x: _folded(x, _no_hits(), f"array<{HIT}>", apart))
+    return _named(kept, lambda r: F.concat(r["kept"], r["state"]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -181,7 +236,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     clear = docs.drop("n_words", "places", "detections", "license_score", "_lower", "_words", "_gates")
     table = rules()
     gates = sorted({r[k] for r in table for k in ("gate", "mark")} | {"license"})
-    rule_list = _literal([{k: r[k] for k in ("gate", "mark", "regex", "label", "priority", "rule", "weight")} for r in table], "gate:string,mark:string,regex:string,label:string,priority:int,rule:int,weight:double")
+    # rules by mark, and those of a mark by gate, so that most are passed over together
+    by_mark: dict[str, dict[str, list[dict]]] = {}
+    for r in table:
+        by_mark.setdefault(r["mark"], {}).setdefault(r["gate"], []).append({k: r[k] for k in ("regex", "label", "priority", "rule", "weight")})
+    marks = [{"mark": m, "gates": [{"gate": g, "rules": rules_} for g, rules_ in inner.items()]} for m, inner in by_mark.items()]
+    mark_list = _literal(marks, "mark:string,gates:array<struct<gate:string,rules:array<struct<regex:string,label:string,priority:int,rule:int,weight:double>>>>")
 
     words = clear.withColumn("_lower", F.translate(whole_text(), UPPER, LOWER)).withColumn("_words", F.array_remove(F.split("_lower", BETWEEN), ""))
     gated = words.withColumn("_gates", F.filter(F.split(F.lit(" ".join(gates)), " "), lambda g: F.contains(F.col("_lower"), g)))
@@ -189,13 +249,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<word:int,label:string>>")
     spots = F.transform("_words", lambda w, i: _place(w, i))
     places = F.when(F.array_contains("_gates", "license"), F.array_compact(spots)).otherwise(none)
-    tried = F.filter(rule_list, lambda r: F.array_contains("_gates", r["gate"]) & F.array_contains("_gates", r["mark"]))
+    def passed(rows: Column, name: str, inner: str) -> Column:
+        return F.flatten(F.transform(F.filter(rows, lambda r: F.array_contains("_gates", r[name])), lambda r: r[inner]))
+
+    tried = passed(passed(mark_list, "mark", "gates"), "gate", "rules")
     hits = F.flatten(F.transform(tried, lambda r: _matches(F.col("_lower"), r)))
     found = gated.select(
         *[F.col(f"`{c}`") for c in clear.columns],
         F.size("_words").cast("long").alias("n_words"),
         places.alias("places"),
-        F.when(F.size("_gates") > 0, _resolved(hits)).otherwise(_no_hits()).alias("detections"),
+        F.when(F.size("_gates") > 0, _named(hits, lambda h: F.when(F.size(h) > 0, _resolved(h)).otherwise(_no_hits()))).otherwise(_no_hits()).alias("detections"),
     )
     best = F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0))
     return found.withColumn("license_score", F.when(F.size("places") > 0, F.greatest(best, F.lit(0.85))).otherwise(best))

@@ -67,3 +67,37 @@ def test_matches_brute_force(spark, extra):
 def test_empty_table_and_rule_count(spark):
     assert len(licenses.rules()) >= 300
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_hits_take_time_in_proportion(spark):
+    """100,000 hits in one text: every one is found, and ten times as many do not take a hundred times as long."""
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        docs = spark.createDataFrame([(1, "mit license, " * n)], "doc_id long, text string")
+        start = time.time()
+        row = licenses.scan_licenses(docs).select("n_words", F.size("places").alias("n"), F.size("detections").alias("d"), F.array_min(F.transform("detections", lambda d: d["start"])).alias("a"), F.array_max(F.transform("detections", lambda d: d["end"])).alias("b")).first()
+        took.append(time.time() - start)
+        assert tuple(row) == (2 * n, n, n, 0, 13 * n - 2)
+    assert took[1] < 40 * took[0] + 20
+
+
+SENTENCES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that": "bsd",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "gpl",
+    "You may not use this file except in compliance with the License.": "apache",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND': "warranty-disclaimer",
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT": "liability-disclaimer",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+}
+
+
+def test_license_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        text = list(SENTENCES)[r["doc_id"]]
+        assert {d["label"] for d in r["detections"]} == {SENTENCES[text]}
+        assert [(d["start"], d["end"], d["priority"], d["rule"], d["label"], d["weight"]) for d in r["detections"]] == brute(text)[2]
