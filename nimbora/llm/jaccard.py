@@ -42,8 +42,8 @@ PERCENT = 80
 #: Largest set of the first band, whose parts are the single elements.
 FIRST = 64
 
-#: Parts of a band's sketch for each element of its largest set, and at most so many parts are kept. Bands up to sets of
-#: 512 elements keep all parts, and the pigeonhole principle holds for them. Wider bands keep a sample of the parts by
+#: Parts of a band's sketch for each element of its largest set. A caller may bound the parts that are kept, as by PARTS: bands
+#: up to sets of 512 elements then still keep all, and the pigeonhole principle holds for them; wider ones keep a sample by
 #: hash: similar sets are expected to share 100 or more of them, and sharing fewer than SURE has a chance of about one
 #: in 10**12 for a pair at the very threshold, of the order of the hashes' own collisions.
 PER_ELEMENT, PARTS, SURE = 0.3, 256, 45
@@ -354,12 +354,12 @@ def confirmed(texts: DataFrame, members: DataFrame, shared: DataFrame, shingle:
     return result.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, most_parts: int | None = None) -> DataFrame:
     """n_shingles and component_id of each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more; component_id is the smallest
-    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. ``most_parts`` bounds the parts kept of a
-    sketch (see PARTS); with None all are kept, and no pair of any size rests on chance but for hash collisions.
+    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. All parts of a sketch are kept, so no pair of any
+    size rests on chance but for hash collisions; ``most_parts`` bounds them (see PARTS) where a shuffle of a third is worth that.
 
     Null, empty and blank texts have no shingles and link with nothing, not even each other. Rows that repeat a doc_id
     count as linked with each other if they have words. A similarity of exactly 0.8 links. Rows with a null doc_id are
