@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import jaccard
-from nimbora.llm.common import bounded_batches, joined_with_hot, materialise
+from nimbora.llm.common import HOT, bounded_batches, materialise
 from nimbora.llm.graphs import components
 
 #: Words of a shingle.
@@ -109,6 +109,20 @@ def _crowds(texts: DataFrame, members: DataFrame, crowds: DataFrame) -> tuple[Da
     return links, jaccard.shared_parts(sketched, classes.select("doc_id", "n_shingles", "rep"))
 
 
+def _met(named: DataFrame, ends: DataFrame) -> DataFrame:
+    """Each document (rep) of ``named`` with those of its buckets that ``ends`` has: part, rep, low, high, members.
+
+    Fewer than HOT buckets have more than one in HOT of all rows; they are told apart within a document's list, and
+    their rows stay where they are. The rest is shuffled, where no bucket has more rows than that.
+    """
+    total = ends.agg(F.sum("members")).first()[0] or 0
+    hot = ends.where(F.col("members") > total / HOT)
+    dealt = named.crossJoin(F.broadcast(hot.agg(F.collect_list("part").alias("_hot"))))
+    few = dealt.select("rep", F.explode(F.array_intersect("buckets", "_hot")).alias("part")).join(F.broadcast(hot), "part")
+    many = dealt.select("rep", F.explode(F.array_except("buckets", "_hot")).alias("part")).join(ends.hint("merge"), "part")
+    return few.unionByName(many)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """n_shingles and component_id of each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -125,11 +139,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_shingles long, high long, low long, buckets array<bigint>"
     signed = materialise(texts.mapInArrow(_bucket_rows, schema))
     members = jaccard.copies_classed(signed)
-    named = signed.where(F.size("buckets") > 0).join(members.select("doc_id", "rep").distinct(), "doc_id")
-    bucketed = named.select("rep", F.explode("buckets").alias("part"))
-    ends = materialise(bucketed.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high"))
-    total = ends.agg(F.sum("members")).first()[0] or 0
-    met = materialise(joined_with_hot(bucketed, ends, "part", "members", total).distinct())
+    named = materialise(signed.where(F.size("buckets") > 0).join(members.select("doc_id", "rep").distinct(), "doc_id").select("rep", "buckets"))
+    ends = materialise(named.select("rep", F.explode("buckets").alias("part")).groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high"))
+    met = materialise(_met(named, ends).distinct())
     shared = met.where(F.col("members") <= CROWD).select("part", "rep", "low", "high")
     crowds = met.where(F.col("members") > CROWD).select("part", "rep", "low", "high")
     links = None
