@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.functions.normal import erf
+from nimbora.operators.neighbours import nearest_rows
 from nimbora.operators.ordered import written
+from nimbora.operators.quantiles import quantiles
 
 
 def climatology(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -38,7 +36,7 @@ def emos_fit(rows: DataFrame, least: int = 50) -> DataFrame:
 
 def emos_probability(rows: DataFrame, fit: DataFrame, cuts: DataFrame, keys: list[str], gamma: float = 1.0) -> DataFrame:
     """The probability that any variable's error passes its threshold: keys, p."""
-    median = rows.groupBy("variable").agg(F.median("spread").alias("_mid"))
+    median = quantiles(rows, F.col("spread"), {"_mid": 0.5}, ["variable"])
     met = rows.join(F.broadcast(fit), "variable").join(F.broadcast(cuts), "variable").join(F.broadcast(median), "variable")
     sigma = F.greatest(F.col("a") + F.col("b") * F.coalesce("spread", "_mid"), F.lit(1e-6))
     inside = F.greatest(erf(F.col("bust_threshold") / (sigma * math.sqrt(2))), F.lit(1e-300))
@@ -60,30 +58,6 @@ def emos_exponent(probabilities: DataFrame) -> DataFrame:
     return scored.orderBy(F.round("brier", 9), "gamma").limit(1)
 
 
-#: Vectors of a block, and queries that are compared with it at a time.
-VECTORS, ASKED = 2_048, 64
-
-
-def _nearest(k: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for i in range(batch.num_rows):
-                items, asked = batch.column("items")[i].values, batch.column("asked")[i].values
-                ids, labels = items.field("id").to_numpy(), items.field("label").to_numpy()
-                known = np.stack(items.field("v").to_numpy(zero_copy_only=False))
-                for query, q in zip(asked.field("id").to_numpy(), asked.field("v").to_numpy(zero_copy_only=False), strict=True):
-                    far = ((known - q) ** 2).sum(axis=1)
-                    far[ids == query] = np.inf
-                    near = np.lexsort((ids, far))[:k]
-                    near = near[np.isfinite(far[near])]
-                    found.append((np.full(len(near), query), ids[near], labels[near], far[near]))
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "label", "d"])
-
-    return rows
-
-
 def standardised(vectors: DataFrame) -> DataFrame:
     """``vectors`` (v, ...) with each component less its mean over all rows, divided by its deviation (by 1 where that is 0)."""
     parts = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
@@ -93,29 +67,29 @@ def standardised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", scaled)
 
 
+def _whole(vectors: DataFrame) -> DataFrame:
+    return written(standardised(vectors).select(F.col("id").cast("long").alias("id"), "v", F.col("label").cast("long").alias("label")))
+
+
 def analog_votes(vectors: DataFrame, queries: Column, k: int = 50) -> DataFrame:
     """Share of each label among the ``k`` nearest other rows (all, if fewer): query_id, label, share.
 
     ``vectors`` has id, v (doubles, all of one length) and label (whole numbers); the rows where ``queries`` holds are
-    asked about. Components are standardised over all rows; ties go to the smaller id. Vectors and queries are cut into
-    blocks of bounded size, and every pair of blocks is a row of its own, so no side is sent to all.
+    asked about. Components are standardised over all rows; ties go to the smaller id. See ``neighbours`` for how rows
+    that cannot be near are passed over.
     """
-    spark = vectors.sparkSession
-    scaled = written(standardised(vectors).select(F.col("id").cast("long").alias("id"), "v", F.col("label").cast("long").alias("label")))
+    scaled = _whole(vectors)
     n = scaled.count()
     if n < 2:
-        return spark.createDataFrame([], "query_id long, label long, share double")
-    asked = scaled.where(queries)
-    n_blocks, n_asked = -(-n // VECTORS), max(1, -(-asked.count() // ASKED))
+        return vectors.sparkSession.createDataFrame([], "query_id long, label long, share double")
+    best, _ = nearest_rows(scaled, queries, k)
+    return best.groupBy("query_id", "label").agg((F.count(F.lit(1)) / min(k, n - 1)).alias("share"))
 
-    def blocks(rows: DataFrame, parts: int, name: str, columns: list[str]) -> DataFrame:
-        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(f"{name}_block")).agg(F.collect_list(F.struct(*columns)).alias(name))
 
-    pairs = spark.range(n_blocks * n_asked).select((F.col("id") % n_blocks).alias("items_block"), F.floor(F.col("id") / n_blocks).alias("asked_block"))
-    met = pairs.join(blocks(scaled, n_blocks, "items", ["id", "v", "label"]), "items_block").join(blocks(asked, n_asked, "asked", ["id", "v"]), "asked_block")
-    near = met.select("items", "asked").mapInArrow(_nearest(k), "query_id long, id long, label long, d double")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") <= k)
-    return best.groupBy("query_id", "label").agg((F.count(F.lit(1)) / min(k, n - 1)).alias("share"))
+def analog_probability(vectors: DataFrame, queries: Column, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The mean label (0 or 1) of the ``k`` nearest other rows: query_id, p; and how many pairs were opened, of how many."""
+    best, opened = nearest_rows(_whole(vectors), queries, k)
+    return best.groupBy("query_id").agg(F.avg("label").alias("p")), opened
 
 
 def best_rung(scores: DataFrame, least: float = 0.01) -> DataFrame:

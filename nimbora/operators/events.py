@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nimbora.functions.circular import deviation
+from nimbora.operators.quantiles import quantiles
 
 KEYS = ["region_id", "init_date", "valid_date", "lead_time_days"]
 
@@ -34,7 +35,7 @@ def event_rows(paired: DataFrame, angle: str) -> DataFrame:
 
 def thresholds(rows: DataFrame, error: str, share: float, name: str) -> DataFrame:
     """The exact percentile of an error for each variable."""
-    return rows.groupBy("variable").agg(F.round(F.percentile(error, share), PLACES).alias(name))
+    return quantiles(rows, F.col(error), {name: share}, ["variable"]).select("variable", F.round(name, PLACES).alias(name))
 
 
 def bust_ratio() -> Column:
@@ -77,7 +78,7 @@ def dominant(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def band_cuts(scores: DataFrame, score: str) -> DataFrame:
     """The one row (medium, high) of cuts: the scores' 50 % and 80 % points, or the defaults for few or like scores."""
-    made = scores.agg(F.count(score).alias("n"), F.percentile(score, 0.5).alias("q50"), F.percentile(score, 0.8).alias("q80"), F.min(score).alias("least"), F.max(score).alias("most"))
+    made = quantiles(scores, F.col(score), {"q50": 0.5, "q80": 0.8, "least": 0.0, "most": 1.0}, count="n")
     plain = (F.col("n") < 20) | (F.col("most") - F.col("least") <= 1e-8)
     above = F.when(F.col("q80") <= F.col("q50"), F.least(F.lit(1.0), F.col("q50") + 1e-3)).otherwise(F.col("q80"))
     return made.select(F.when(plain, DEFAULT_CUTS[0]).otherwise(F.col("q50")).alias("medium"), F.when(plain, DEFAULT_CUTS[1]).otherwise(above).alias("high"))

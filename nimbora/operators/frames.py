@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nimbora.functions.circular import heading, wrapped
 from nimbora.operators import events
+from nimbora.operators.models import LEAST_ROWS, fold_of
 from nimbora.operators.trajectories import as_of
 
 RUN = ["region_id", "variable", "valid_date", "init_date"]
@@ -20,13 +21,39 @@ def with_trajectories(rows: DataFrame, jumps: DataFrame, pools: DataFrame) -> Da
 def wide(rows: DataFrame, member_p90: DataFrame, variables: list[str]) -> DataFrame:
     """One row an event: conf, jump_abs, laf_ratio and spread by variable, and the mean and largest spread.
 
-    A variable that an event lacks has null columns and no part in the mean.
+    A variable that an event lacks has null columns and no part in the mean. pred_err must be a prediction, not what was
+    observed: see ``linear_out_of_fold`` and ``models.predicted_errors``.
     """
     rated = rows.join(F.broadcast(member_p90), "variable", "left").withColumn("conf", events.confidence(F.col("pred_err"), F.col("member_p90")))
     each = [F.avg(F.when(F.col("variable") == v, F.col(c))).alias(f"{c}_{v}") for v in variables for c in ("pred_err", "conf", "spread", "jump_abs", "laf_ratio")]
     return rated.groupBy(*events.KEYS).agg(*each, F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"))
 
 
+def linear_out_of_fold(rows: DataFrame, k: int = 3, block: int = 3) -> DataFrame:
+    """``rows`` (KEYS, variable, actual_err, spread) with pred_err: each error as a line on the spread fitted on the other folds.
+
+    Folds are blocks of runs; the fit of a fold is the sums over all rows less its own, so no row is joined to other
+    rows. A missing spread is the other folds' mean. It is null where the others have fewer than LEAST_ROWS rows.
+    """
+    folded = rows.withColumn("_fold", fold_of(F.col("init_date"), k, block))
+    x, y = F.col("spread"), F.col("actual_err")
+    both = x.isNotNull() & y.isNotNull()
+    sums = {"n": F.count(F.when(both, 1)), "x": F.sum(F.when(both, x)), "y": F.sum(F.when(both, y)), "xx": F.sum(F.when(both, x * x)), "xy": F.sum(F.when(both, x * y))}
+    own = folded.groupBy("variable", "_fold").agg(*[F.coalesce(v, F.lit(0)).alias(f"_own_{c}") for c, v in sums.items()])
+    whole = own.groupBy("variable").agg(*[F.sum(f"_own_{c}").alias(f"_all_{c}") for c in sums])
+    rest = own.join(whole, "variable").select("variable", "_fold", *[(F.col(f"_all_{c}") - F.col(f"_own_{c}")).alias(c) for c in sums])
+    slope = F.coalesce(F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.col("n") * F.col("xx") - F.col("x") * F.col("x")), F.lit(0.0))
+    fits = rest.where(F.col("n") >= LEAST_ROWS).select("variable", "_fold", slope.alias("_slope"), (F.col("x") / F.col("n")).alias("_mx"), (F.col("y") / F.col("n")).alias("_my"))
+    met = folded.drop("pred_err").join(F.broadcast(fits), ["variable", "_fold"], "left")  # a row for each variable and fold
+    line = F.col("_my") + F.col("_slope") * (F.coalesce(x, F.col("_mx")) - F.col("_mx"))
+    return met.withColumn("pred_err", F.when(line.isNotNull(), F.greatest(F.lit(0.0), line))).drop("_fold", "_slope", "_mx", "_my")
+
+
+def with_predicted(rows: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``rows`` with pred_err of ``predicted`` (KEYS, variable, pred_err) in place of their own; null where there is none."""
+    return rows.drop("pred_err").join(predicted.select(*events.KEYS, "variable", "pred_err"), [*events.KEYS, "variable"], "left")
+
+
 def with_season(frame: DataFrame) -> DataFrame:
     """Adds month and season of the valid date."""
     return frame.withColumns({"month": F.month("valid_date"), "season": events.season_of(F.col("valid_date"))})

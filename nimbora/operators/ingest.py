@@ -68,3 +68,22 @@ def resolve(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
     known = plain.groupBy("_plain").agg(F.min("region_id").alias("region_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
     small = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     return rows.withColumn("_plain", plain_header(F.col(column))).join(F.broadcast(known) if small else known, "_plain", "left").drop("_plain")
+
+
+def range_scores(rows: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]], least: float = 0.6) -> DataFrame:
+    """For each column and each variable of ``ranges`` (low, high): the share of the column's numbers within, and whether that is
+    ``least`` or more (plausible).
+
+    Texts that are no numbers do not count. A column without numbers has a null share and is plausible: nothing speaks
+    against it. All rows count, by one aggregation.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").try_cast("double").alias("x")) for c in columns])).alias("c")
+    numbers = rows.select(each).select("c.column", "c.x")
+    made = numbers.groupBy("column").agg(*[F.avg(F.when(F.col("x").isNotNull(), F.col("x").between(low, high).cast("double"))).alias(name) for name, (low, high) in ranges.items()])
+    long = made.unpivot(["column"], list(ranges), "variable", "share")
+    return long.withColumn("plausible", F.coalesce(F.col("share") >= least, F.lit(True)))
+
+
+def finite(value: Column) -> Column:
+    """A number that is neither NaN nor infinite, else null."""
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)

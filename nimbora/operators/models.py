@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,8 +13,12 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nimbora.operators.quantiles import quantiles
+
 CLIP = 1e-6
 
+EVENT_KEYS = ["region_id", "init_date", "valid_date", "lead_time_days"]
+
 #: Rows that a regressor needs.
 LEAST_ROWS = 30
 
@@ -36,8 +41,9 @@ class Fitted:
 
 
 def _fitted(learner, train: DataFrame, columns: list[str]) -> Fitted:
-    found = train.agg(*[F.median(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in columns]).first()
-    medians = {c: float(found[c] or 0.0) for c in columns}
+    values = train.select([F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    found = {r["column"]: r["median"] for r in quantiles(values, F.col("value"), {"median": 0.5}, ["column"]).collect()}  # a row a column
+    medians = {c: float(found.get(c, 0.0)) for c in columns}
     return Fitted(learner.fit(_with_features(train, medians)), medians)
 
 
@@ -70,6 +76,17 @@ def out_of_fold(rows: DataFrame, columns: list[str], target: str, k: int = 3, tr
     return made
 
 
+def predicted_errors(rows: DataFrame, variables: list[str], columns: list[str], k: int = 3, trees: int = 10, embargo: int = 10) -> DataFrame:
+    """pred_err of each event and variable: out-of-fold boosted trees of actual_err on ``columns``, one for each variable.
+
+    ``rows`` has the event keys, variable, actual_err and ``columns``. A row's error comes from trees that saw neither its
+    fold of runs nor runs within ``embargo`` days of it.
+    """
+    kept = [*EVENT_KEYS, "variable"]
+    parts = [out_of_fold(rows.where(F.col("variable") == v).select(*kept, *columns, "actual_err"), columns, "actual_err", k, trees, embargo) for v in variables]
+    return functools.reduce(DataFrame.unionByName, parts).select(*kept, F.col("predicted").alias("pred_err"))
+
+
 def importances(rows: DataFrame, columns: list[str], target: str, trees: int = 10) -> DataFrame:
     """Each column's share in the trees' gains."""
     model = _fitted(GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=3, seed=7), rows, columns)
@@ -77,6 +94,16 @@ def importances(rows: DataFrame, columns: list[str], target: str, trees: int = 1
     return rows.sparkSession.createDataFrame([(c, float(s)) for c, s in zip(columns, shares, strict=True)], "feature string, importance double")
 
 
+def fitted_classifier(train: DataFrame, columns: list[str], trees: int = 10, depth: int = 3) -> Fitted:
+    """Boosted trees of y on ``columns``."""
+    return _fitted(GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7), train, columns)
+
+
+def fitted_regressor(train: DataFrame, columns: list[str], target: str, trees: int = 10, depth: int = 3) -> Fitted:
+    """Boosted trees of ``target`` on ``columns``."""
+    return _fitted(GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=depth, seed=7), train, columns)
+
+
 def classified(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 10, held: DataFrame | None = None) -> DataFrame:
     """Adds raw_p: the probability of y by boosted trees; with ``held``, no more trees than help on those rows."""
     learner = GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7)
@@ -87,25 +114,6 @@ def classified(train: DataFrame, rows: DataFrame, columns: list[str], trees: int
     return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("raw_p"))
 
 
-def attributions(train: DataFrame, rows: DataFrame, columns: list[str], groups: list[str], trees: int = 10) -> DataFrame:
-    """How far each column moves the probability of boosted trees: the mean distance from that with the column at its median.
-
-    One row a column over all rows (the groups null, ``of_all``), and one for each column and group.
-    """
-    model = _fitted(GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=3, seed=7), train, columns)
-
-    def p(frame: DataFrame, name: str) -> DataFrame:
-        found = model.transform(frame).withColumn(name, vector_to_array("probability")[1])
-        return found.drop("features", "rawPrediction", "probability", "prediction")
-
-    made = p(rows, "_p")
-    for k, c in enumerate(columns):
-        made = p(made.withColumnsRenamed({c: "_kept"}).withColumn(c, F.lit(model.medians[c])), f"_p{k}").drop(c).withColumnRenamed("_kept", c)
-    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.col("_p") - F.col(f"_p{k}")).alias("moved")) for k, c in enumerate(columns)])
-    each = made.select(*groups, F.explode(parts).alias("c")).select(*groups, "c.*")
-    return each.groupingSets([["feature"], ["feature", *groups]], "feature", *groups).agg(F.avg("moved").alias("moved"), F.count(F.lit(1)).alias("n"), (F.grouping(groups[0]) == 1).alias("of_all"))
-
-
 def _logit(p: Column) -> Column:
     bounded = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), p))
     return F.ln(bounded / (1 - bounded))

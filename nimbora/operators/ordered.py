@@ -49,5 +49,10 @@ def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str], by:
     starts = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_of_{s}").over(before), F.lit(0)).alias(f"_at_{s}") for s in sums])
     inner = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     own = dealt.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{s}") for s, c in sums.items()])
-    made = own.join(F.broadcast(starts) if not by else starts, [*by, "_range"])
+    # groups meet null-safely, so that null is a group like others
+    named = starts.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_range"]})
+    same = F.col("_range") == F.col("_of__range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    made = own.join(F.broadcast(named) if not by else named, same).drop(*[f"_of_{c}" for c in [*by, "_range"]])
     return made.withColumns({s: F.col(f"_in_{s}") + F.col(f"_at_{s}") for s in sums}).drop("_range", *[f"_{k}_{s}" for k in ("in", "at") for s in sums])

@@ -6,11 +6,14 @@ distinct values as there are rows are no one task's work.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nimbora.functions.normal import cdf, quantile
-from nimbora.operators.ordered import by_ranges, running_sums
+from nimbora.operators.ordered import by_ranges, running_sums, written
+from nimbora.operators.quantiles import quantiles
 
 CLIP = 1e-6
 
@@ -137,42 +140,103 @@ def binormal(rows: DataFrame) -> DataFrame:
     return m.withColumn("binormal_auc", F.when((F.col("n0") >= 2) & (F.col("n1") >= 2), cdf(distance)))
 
 
-def _pool(rows, pos: str, n: str):
-    """Which block each row of a frame, in order, falls in when neighbours out of order are pooled."""
-    blocks: list[list[float]] = []
-    for a, b in zip(rows[pos], rows[n], strict=True):
-        blocks.append([a, b, 1])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [x + y for x, y in zip(blocks[-1], last, strict=True)]
-    return [k for k, block in enumerate(blocks) for _ in range(int(block[2]))], [block[0] / block[1] for block in blocks]
+#: Corners of a range that are looked at together with those of all other ranges, at most.
+CORNERS = 64
+
+
+def _chain(points: list[tuple[int, int]]) -> list[int]:
+    """Places of the points, in order of x, that lie on their lower convex hull."""
+    kept: list[int] = []
+    for k, (x, y) in enumerate(points):
+        while len(kept) > 1:
+            (x0, y0), (x1, y1) = points[kept[-2]], points[kept[-1]]
+            if (y1 - y0) * (x - x1) <= (y - y1) * (x1 - x0):
+                break
+            kept.pop()
+        kept.append(k)
+    return kept
+
+
+def _corners(dealt: DataFrame) -> DataFrame:
+    """The corners of each range's own hull, over the running numbers of outcomes (x) and of positive ones (y)."""
+    import pandas as pd
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ignore_index=True)
+        x, y = [0, *(pdf["np"] + pdf["nn"]).cumsum().tolist()], [0, *pdf["np"].cumsum().tolist()]
+        kept = [k for k in _chain(list(zip(x, y))) if k]
+        return pd.DataFrame({"_range": pdf["_range"].iloc[0], "x": [x[k] for k in kept], "y": [y[k] for k in kept]})
+
+    return dealt.groupBy("_range").applyInPandas(within, "_range int, x long, y long")
+
+
+def _below(bridge: list[tuple[int, int]]):
+    """Keeps the corners that do not lie above the hull ``bridge``."""
+    xs = [x for x, _ in bridge]
+
+    def rows(frames):
+        for pdf in frames:
+            kept = []
+            for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
+                k = min(max(bisect.bisect_left(xs, x), 1), len(bridge) - 1)
+                (x0, y0), (x1, y1) = bridge[k - 1], bridge[k]
+                kept.append((y - y0) * (x1 - x0) <= (y1 - y0) * (x - x0))
+            yield pdf[kept]
+
+    return rows
 
 
 def pooled_adjacent(rows: DataFrame) -> DataFrame:
     """Isotonic fit of the outcome on p: p, fitted, np, nn, one row a distinct p.
 
-    Violators may be pooled in any order, so ranges of p are pooled side by side, and then the blocks that are left over.
-    Their observed shares rise strictly within a range, and m such shares need about m ** 1.5 outcomes at the least, so
-    the second step holds a small part of the rows whatever the data.
+    Pooling neighbours that are out of order is the lower convex hull of the running counts. Ranges of p are pooled side
+    by side, which leaves each with the corners of its own hull. Then, in rounds, up to CORNERS corners of every range, its
+    two first and two last among them, are put together: what lies above the hull of these lies above the whole one and
+    goes. A round that drops none of the corners it looked at finds all neighbours in order. Between rounds no task holds
+    more than a range, and the driver a few corners of each.
     """
     import pandas as pd
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p", ignore_index=True)
-        pdf["_block"], _ = _pool(pdf.assign(n=pdf["np"] + pdf["nn"]), "np", "n")
-        return pdf[["p", "np", "nn", "_range", "_block"]]
+    dealt = by_ranges(histogram(rows), [F.col("p")])
+    totals = dealt.groupBy("_range").agg(F.sum(F.col("np") + F.col("nn")).alias("n"), F.sum("np").alias("pos"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = totals.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("x0"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("y0"))
+    starts = written(starts)
+    corners = written(_corners(dealt).join(F.broadcast(starts), "_range").select("_range", (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y")))
+    inner = Window.partitionBy("_range")
+    while True:
+        ranked = corners.withColumn("k", F.row_number().over(inner.orderBy("x"))).withColumn("n", F.count(F.lit(1)).over(inner))
+        step = F.ceil(F.col("n") / (CORNERS - 4))
+        looked = ranked.where((F.col("k") <= 2) | (F.col("k") > F.col("n") - 2) | (F.col("k") % step == 0)).select("x", "y")
+        points = [(0, 0), *sorted((r["x"], r["y"]) for r in looked.collect())]
+        hull = [points[k] for k in _chain(points)]
+        if len(hull) == len(points):
+            break
+        corners = written(corners.mapInPandas(_below(hull), corners.schema))
+
+    # a row belongs to the next corner, which may be the first of a later range; a corner's slope is towards the one before
+    edges = corners.groupBy("_range").agg(F.min(F.struct("x", "y")).alias("first"), F.max(F.struct("x", "y")).alias("last"))
+    every = starts.select("_range", "x0", "y0").join(edges, "_range", "left")
+    earlier, later = (Window.orderBy("_range").rowsBetween(*w) for w in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+    borders = every.select("_range", "x0", F.coalesce(F.last("last", True).over(earlier), F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))).alias("a"), F.first("first", True).over(later).alias("z"))
+    borders = borders.select("_range", "x0", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("z.x").alias("zx"), F.col("z.y").alias("zy"))
+
+    def fit(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-    def over(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p", ignore_index=True)
-        block, fitted = _pool(pdf, "np", "n")
-        pdf["fitted"] = [fitted[k] for k in block]
-        return pdf[["_range", "_block", "fitted"]]
+        border, own = pdf.iloc[0], own.sort_values("x")
+        x, y = [int(border["ax"]), *own["x"].tolist()], [int(border["ay"]), *own["y"].tolist()]
+        if not pd.isna(border["zx"]):
+            x.append(int(border["zx"]))
+            y.append(int(border["zy"]))
+        at = int(border["x0"]) + (pdf["np"] + pdf["nn"]).cumsum().to_numpy()
+        slopes = np.array([(y[k] - y[k - 1]) / (x[k] - x[k - 1]) for k in range(1, len(x))])
+        pdf["fitted"] = slopes[np.searchsorted(np.array(x[1:]), at)]
+        return pdf[["p", "fitted", "np", "nn"]]
 
-    dealt = by_ranges(histogram(rows), [F.col("p")])
-    local = dealt.groupBy("_range").applyInPandas(within, "p double, np long, nn long, _range int, _block int")
-    left = local.groupBy("_range", "_block").agg(F.min("p").alias("p"), F.sum("np").alias("np"), F.sum(F.col("np") + F.col("nn")).alias("n"))
-    fitted = left.groupBy(F.lit(0).alias("_one")).applyInPandas(over, "_range int, _block int, fitted double")
-    return local.join(fitted, ["_range", "_block"]).select("p", "fitted", "np", "nn")
+    placed = dealt.join(F.broadcast(borders), "_range")
+    return placed.groupBy("_range").cogroup(corners.groupBy("_range")).applyInPandas(fit, "p double, fitted double, np long, nn long")
 
 
 def brier_decomposition(rows: DataFrame) -> DataFrame:
@@ -188,21 +252,112 @@ def brier_decomposition(rows: DataFrame) -> DataFrame:
     return made.select("brier", (F.col("brier") - F.col("fit")).alias("mcb"), (unc - F.col("fit")).alias("dsc"), unc.alias("unc"))
 
 
-def block_bootstrap(rows: DataFrame, draws: int = 1000, block: int = 3, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """Percentile interval of the ROC area over draws of runs of consecutive cycles (init_date), wrapped at the end.
+def cycle_pairs(rows: DataFrame) -> DataFrame:
+    """For each two cycles (i, j; places of init_date in order) the positive outcomes of i that stand above negative ones of j.
+
+    Pairs of equal p count half, so c is in halves; pairs without any are left out. Ranges of p are counted side by side:
+    what is below a range is known for each cycle, and only pairs within it are looked at.
+    """
+    import pandas as pd
 
-    Draws and starts come from hashes, so they are the same each time. The counts of a (cycle, p) are what is redrawn.
+    h = histogram(rows, ["init_date"])
+    numbered = _cycles(h)
+    dealt = by_ranges(h.join(F.broadcast(numbered), "init_date").select("k", "p", "np", "nn"), [F.col("p")])
+    n = numbered.count()
+    before = Window.partitionBy("k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("k", "_range").agg(F.sum("nn").alias("nn"))
+    ranges = each.select("_range").distinct()
+    full = ranges.join(each.select("k").distinct(), how="cross").join(each, ["k", "_range"], "left")  # a row for each range and cycle
+    below = written(full.select("_range", "k", F.coalesce(F.sum("nn").over(before), F.lit(0)).alias("below")))
+
+    def count(pdf: pd.DataFrame, under: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if pdf.empty:
+            return pd.DataFrame({"i": [], "j": [], "c": []})
+        negative = np.zeros(n, np.int64)
+        negative[under["k"].to_numpy()] = under["below"].to_numpy()
+        found: dict[int, np.ndarray] = {}
+        for _, same in pdf.groupby("p", sort=True):
+            here = np.zeros(n, np.int64)
+            np.add.at(here, same["k"].to_numpy(), same["nn"].to_numpy())
+            twice = 2 * negative + here
+            for k, np_ in zip(same["k"].tolist(), same["np"].tolist()):
+                if np_:
+                    found[k] = found.get(k, 0) + np_ * twice
+            negative += here
+        made = [(k, j, c) for k, row in found.items() for j, c in enumerate(row.tolist()) if c]
+        return pd.DataFrame(made, columns=["i", "j", "c"])
+
+    counted = dealt.groupBy("_range").cogroup(below.groupBy("_range")).applyInPandas(count, "i int, j int, c long")
+    return counted.groupBy("i", "j").agg(F.sum("c").alias("c"))
+
+
+def _cycles(h: DataFrame) -> DataFrame:
+    """init_date and k: the place of each cycle in order, from 0."""
+    return h.select("init_date").distinct().select("init_date", (F.row_number().over(Window.orderBy("init_date")) - 1).alias("k"))  # one row a cycle
+
+
+def draw_starts(draw, block, seed: int):
+    """A number from 1 for each draw and block of it: two steps of a linear congruential generator."""
+    first = (draw * 1_000_003 + block * 7_919 + seed * 104_729 + 1) % 2_147_483_647 * 48_271 % 2_147_483_647
+    return (first + block) % 2_147_483_647 * 69_621 % 2_147_483_647
+
+
+def _weights(n: int, draws: int, block: int, seed: int):
+    """How often each of ``n`` cycles is in each draw: runs of ``block`` cycles, wrapped at the end, cut to ``n`` in all."""
+    import numpy as np
+
+    weights = np.zeros((draws, n), np.int64)
+    draw = np.arange(draws, dtype=np.int64)
+    for b in range(-(-n // block)):
+        start = draw_starts(draw, b, seed) % n
+        for j in range(min(block, n - b * block)):
+            np.add.at(weights, (draw, (start + j) % n), 1)
+    return weights
+
+
+def bootstrap_areas(rows: DataFrame, draws: int = 1000, block: int = 3, seed: int = 7) -> DataFrame:
+    """The ROC area of each draw (draw, auc) of runs of consecutive cycles (init_date), wrapped at the end.
+
+    The area is bilinear in how often each cycle is drawn, so pairs of outcomes are counted once for each pair of cycles,
+    and a draw is a quadratic form in that table. A block is a fifth of the cycles at most. The draws are the same each time.
     """
     spark = rows.sparkSession
+    pairs = written(cycle_pairs(rows))
     h = histogram(rows, ["init_date"])
-    cycles = h.select("init_date").distinct().withColumn("k", F.row_number().over(Window.orderBy("init_date")) - 1)
-    n = F.broadcast(cycles.agg(F.count(F.lit(1)).alias("cycles")))
-    drawn = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(n)
-    starts = drawn.select("draw", "cycles", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("cycles") / block) - 1).cast("int"))).alias("b"))
-    places = starts.select("draw", "cycles", "b", F.pmod(F.xxhash64("draw", "b", F.lit(seed)), F.col("cycles")).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).where(F.col("b") * block + F.col("j") < F.col("cycles"))
-    times = places.select("draw", F.pmod(F.col("start") + F.col("j"), F.col("cycles")).alias("k")).groupBy("draw", "k").agg(F.count(F.lit(1)).alias("times"))
-    weighted = h.join(F.broadcast(cycles), "init_date").join(times, "k").groupBy("draw", "p").agg(F.sum(F.col("np") * F.col("times")).alias("np"), F.sum(F.col("nn") * F.col("times")).alias("nn"))
-    w = Window.partitionBy("draw").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    auc = weighted.withColumn("below", F.coalesce(F.sum("nn").over(w), F.lit(0))).groupBy("draw").agg(F.try_divide(F.sum(F.col("np") * (F.col("below") + F.col("nn") / 2)), F.sum("np").cast("double") * F.sum("nn")).alias("auc"))
+    totals = h.groupBy("init_date").agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))
+    sums = totals.join(F.broadcast(_cycles(h)), "init_date").select("k", "np", "nn").collect()  # one row a cycle
+    n = len(sums)
+    if not n:
+        return spark.createDataFrame([], "draw long, auc double")
+    length = max(1, min(block, n // 5))
+
+    def forms(frames):
+        import numpy as np
+        import pandas as pd
+
+        weights, total = _weights(n, draws, length, seed), np.zeros(draws, np.int64)
+        for pdf in frames:
+            for i, row in pdf.groupby("i"):
+                total += weights[:, i] * (weights[:, row["j"].to_numpy()] @ row["c"].to_numpy())
+        yield pd.DataFrame({"draw": np.arange(draws), "c": total})
+
+    counted = pairs.repartition("i").mapInPandas(forms, "draw long, c long").groupBy("draw").agg(F.sum("c").alias("c"))
+
+    import numpy as np
+
+    weights, ordered = _weights(n, draws, length, seed), sorted((r["k"], r["np"], r["nn"]) for r in sums)
+    outcomes = [(d, int(p), int(q)) for d, (p, q) in enumerate(zip(weights @ np.array([x[1] for x in ordered]), weights @ np.array([x[2] for x in ordered])))]
+    drawn = spark.createDataFrame(outcomes, "draw long, p long, q long")
+    both = F.col("p").cast("double") * F.col("q")
+    return drawn.join(counted, "draw", "left").select("draw", F.try_divide(F.coalesce("c", F.lit(0)) / 2, both).alias("auc"))
+
+
+def block_bootstrap(rows: DataFrame, draws: int = 1000, block: int = 3, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """Percentile interval of the ROC area over ``bootstrap_areas``: low, high, draws (those with both outcomes).
+
+    With a single cycle every draw is that cycle, so the interval is a point.
+    """
     tail = (1 - level) / 2
-    return auc.agg(F.percentile("auc", tail).alias("low"), F.percentile("auc", 1 - tail).alias("high"), F.count("auc").alias("draws"))
+    return quantiles(bootstrap_areas(rows, draws, block, seed), F.col("auc"), {"low": tail, "high": 1 - tail}, count="draws")

@@ -281,13 +281,17 @@ R.add(
 )
 
 
-def _event_frame(s: SparkSession, d: str) -> DataFrame:
-    """Every event with its trajectories, spreads, season, frequency, index, descriptors and label."""
+def event_frame(s: SparkSession, d: str, errors=None) -> DataFrame:
+    """Every event with its predicted errors, trajectories, spreads, season, frequency, index, descriptors and label.
+
+    Predicted errors are ``errors`` of the event rows, or else lines on the spread; either way from folds that lack the event.
+    """
     pairs = written(paired(s, d))
     rows = written(events.event_rows(pairs, ANGLE))
     means = written(runs(s, d))
     p90 = events.thresholds(pairs, "abs_error", 0.9, "member_p90")
-    full = frames.with_trajectories(rows, trajectories.jumpiness(means, ANGLE), trajectories.lagged_pool(means, ANGLE))
+    predicted = frames.linear_out_of_fold(rows) if errors is None else frames.with_predicted(rows, errors(rows))
+    full = frames.with_trajectories(predicted, trajectories.jumpiness(means, ANGLE), trajectories.lagged_pool(means, ANGLE))
     frequency = events.bust_frequency(pairs, events.thresholds(pairs, "abs_error", 0.75, "cut"), events.season_of(F.col("valid_date")))
     readings = table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("value"))
     # the test tables' orders are years older than their events, so readings are moved next to them
@@ -303,14 +307,18 @@ FRAMED = [*[f"{c}_{v}" for v in VARIABLES for c in ("pred_err", "conf", "spread"
 SEASON = "CASE WHEN month(valid_date) IN (12, 1, 2) THEN 'DJF' WHEN month(valid_date) IN (3, 4, 5) THEN 'MAM' WHEN month(valid_date) IN (6, 7, 8, 9) THEN 'JJAS' ELSE 'ON' END"
 R.add(
     "event_frame",
-    _event_frame,
+    event_frame,
     with_sql(
         *ALL,
         RUNS,
         JUMPS,
         LAF,
+        "folded AS (SELECT * EXCLUDE (pred_err), CAST((floor(datediff('day', DATE '2000-01-01', init_date) / 3) % 3 + 3) % 3 AS INTEGER) AS fold FROM evt)",
+        "own AS (SELECT variable, fold, count(spread) AS n, coalesce(sum(spread), 0) AS x, coalesce(sum(actual_err) FILTER (spread IS NOT NULL), 0) AS y, coalesce(sum(spread * spread), 0) AS xx, coalesce(sum(spread * actual_err), 0) AS xy FROM folded GROUP BY ALL)",
+        "rest AS (SELECT a.variable, a.fold, sum(b.n) AS n, sum(b.x) AS x, sum(b.y) AS y, sum(b.xx) AS xx, sum(b.xy) AS xy FROM own a JOIN own b ON a.variable = b.variable AND a.fold <> b.fold GROUP BY ALL HAVING sum(b.n) >= 30)",
+        "pred AS (SELECT f.*, CASE WHEN n IS NOT NULL THEN greatest(0.0, y / n + coalesce((n * xy - x * y) / nullif(n * xx - x * x, 0), 0) * (coalesce(spread, x / n) - x / n)) END AS pred_err FROM folded f LEFT JOIN rest USING (variable, fold))",
         "ratios AS (SELECT *, CASE WHEN n_members < 2 THEN NULL WHEN len(p) = 0 THEN 1.0 WHEN spread = 0 THEN NULL ELSE laf_std / spread END AS laf_ratio FROM dev)",
-        "full_rows AS (SELECT e.*, greatest(0.0, least(1.0, 1.0 - pred_err / member_p90)) AS conf, j.jump_abs, r.laf_ratio FROM evt e JOIN p90 USING (variable) LEFT JOIN jumps j USING (region_id, variable, valid_date, init_date) LEFT JOIN ratios r USING (region_id, variable, valid_date, init_date))",
+        "full_rows AS (SELECT e.*, greatest(0.0, least(1.0, 1.0 - pred_err / member_p90)) AS conf, j.jump_abs, r.laf_ratio FROM pred e JOIN p90 USING (variable) LEFT JOIN jumps j USING (region_id, variable, valid_date, init_date) LEFT JOIN ratios r USING (region_id, variable, valid_date, init_date))",
         f"freq AS (SELECT region_id, {SEASON} AS season, avg(CASE WHEN round(abs_error, 9) > cut THEN 1.0 ELSE 0.0 END) AS bust_frequency FROM paired JOIN (SELECT variable, round(quantile_cont(abs_error, 0.75), 9) AS cut FROM paired GROUP BY 1) USING (variable) GROUP BY ALL)",
         f"readings AS (SELECT CAST(o_orderdate AS DATE) + {OFFSET} AS day, avg(o_totalprice) AS value FROM orders GROUP BY 1)",
         "wide AS (SELECT region_id, init_date, valid_date, lead_time_days, " + ", ".join(f"avg(CASE WHEN variable = '{v}' THEN {c} END) AS {c}_{v}" for v in VARIABLES for c in ("pred_err", "conf", "spread", "jump_abs", "laf_ratio")) + ", avg(spread) AS spread_mean, max(spread) AS spread_max FROM full_rows GROUP BY ALL)",

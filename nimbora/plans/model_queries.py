@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.operators import baselines, events, models, scores
+from nimbora.operators import baselines, events, models, scores, shapley
 from nimbora.operators.ordered import written
 from nimbora.plans.forecast_queries import event_rows
 from nimbora.plans.registry import Registry
@@ -93,4 +94,22 @@ def _ladder(s: SparkSession, d: str) -> DataFrame:
 
 
 R.add("baseline_ladder", _ladder)
-R.add("feature_attributions", lambda s, d: models.attributions(*_halves(s, d), COLUMNS, ["lead_time_days"]))
+def _attributions(s: SparkSession, d: str) -> DataFrame:
+    """Mean absolute Shapley values of the classifier's columns, over all test events and by lead."""
+    train, rows = _halves(s, d)
+    model = models.fitted_classifier(train, COLUMNS)
+    return shapley.mean_attributions(shapley.attributed(model, rows, COLUMNS, ["lead_time_days"]), COLUMNS, ["lead_time_days"])
+
+
+R.add("feature_attributions", _attributions)
+
+
+def _additivity(s: SparkSession, d: str) -> DataFrame:
+    """For each test event the raw score by the model and by base and Shapley values, which agree."""
+    train, rows = _halves(s, d)
+    model = models.fitted_classifier(train, COLUMNS)
+    by_model = model.transform(rows).select(*EVENT, vector_to_array("rawPrediction")[1].alias("by_model"))
+    return shapley.attributed(model, rows, COLUMNS, EVENT).select(*EVENT, "base", F.col("raw_score").alias("by_parts")).join(by_model, EVENT)
+
+
+R.add("shapley_additivity", _additivity)

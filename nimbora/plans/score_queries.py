@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nimbora.operators import baselines, events, scores
 from nimbora.functions import normal
 from nimbora.operators.ordered import written
+from nimbora.operators.quantiles import quantiles
 from nimbora.plans.forecast_queries import ALL, EVT, cuts, event_rows, paired
 from nimbora.plans.registry import Registry
 from nimbora.plans.views import ANGLE, EVENT, table, with_sql
@@ -237,7 +238,23 @@ R.add(
     + "SELECT brier, brier - fit AS mcb, rate * (1 - rate) - fit AS dsc, rate * (1 - rate) AS unc FROM b",
     ("brier", "mcb", "dsc", "unc"),
 )
-R.add("block_bootstrap", lambda s, d: scores.block_bootstrap(scored(s, d)))
+R.add(
+    "block_bootstrap",
+    lambda s, d: scores.block_bootstrap(scored(s, d)),
+    with_sql(
+        *S,
+        "h AS (SELECT init_date, p, sum(y) AS np, sum(1 - y) AS nn FROM scored GROUP BY ALL)",
+        "c AS (SELECT init_date, row_number() OVER (ORDER BY init_date) - 1 AS k FROM (SELECT DISTINCT init_date FROM h))",
+        "n AS (SELECT count(*) AS n, greatest(1, least(3, count(*) // 5)) AS len FROM c)",
+        "b AS (SELECT d, b, n, len, (((d * 1000003 + b * 7919 + 7 * 104729 + 1) % 2147483647 * 48271 % 2147483647) + b) % 2147483647 * 69621 % 2147483647 % n AS start FROM (SELECT n, len, unnest(range(CAST(ceil(n / len) AS BIGINT))) AS b FROM n), range(1000) r(d))",
+        "t AS (SELECT d, (start + j) % n AS k, count(*) AS times FROM b, range(3) r(j) WHERE j < len AND b * len + j < n GROUP BY ALL)",
+        "w AS (SELECT d, p, sum(np * times) AS np, sum(nn * times) AS nn FROM h JOIN c USING (init_date) JOIN t USING (k) GROUP BY ALL)",
+        "u AS (SELECT *, coalesce(sum(nn) OVER (PARTITION BY d ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w)",
+        "a AS (SELECT d, sum(np * (below + nn / 2)) / nullif(CAST(sum(np) AS DOUBLE) * sum(nn), 0) AS auc FROM u GROUP BY d)",
+    )
+    + "SELECT quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high, count(auc) AS draws FROM a",
+    ("low", "high"),
+)
 
 
 def _curve(s: SparkSession, d: str) -> DataFrame:
@@ -273,8 +290,10 @@ R.add(
 
 
 def _degenerate(s: SparkSession, d: str) -> DataFrame:
-    p = F.col("p")
-    return scored(s, d).agg(F.count(F.lit(1)).alias("n"), F.avg((p >= 0.5).cast("double")).alias("high_share"), F.avg(((p > 0.99) | (p < 0.01)).cast("double")).alias("rail_share"), (F.percentile("p", 0.75) - F.percentile("p", 0.25)).alias("iqr")).withColumn("usable", (F.col("n") >= 50) & (F.col("high_share") <= 0.6) & (F.col("rail_share") <= 0.1) & (F.col("iqr") > 0.02))
+    p, rows = F.col("p"), scored(s, d)
+    shares = rows.agg(F.count(F.lit(1)).alias("n"), F.avg((p >= 0.5).cast("double")).alias("high_share"), F.avg(((p > 0.99) | (p < 0.01)).cast("double")).alias("rail_share"))
+    middle = quantiles(rows, p, {"low": 0.25, "high": 0.75}).select((F.col("high") - F.col("low")).alias("iqr"))
+    return shares.crossJoin(F.broadcast(middle)).withColumn("usable", (F.col("n") >= 50) & (F.col("high_share") <= 0.6) & (F.col("rail_share") <= 0.1) & (F.col("iqr") > 0.02))
 
 
 R.add("degeneracy_check", _degenerate, with_sql(*S, "a AS (SELECT count(*) AS n, avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) AS high_share, avg(CASE WHEN p > 0.99 OR p < 0.01 THEN 1.0 ELSE 0.0 END) AS rail_share, quantile_cont(p, 0.75) - quantile_cont(p, 0.25) AS iqr FROM scored)") + "SELECT *, n >= 50 AND high_share <= 0.6 AND rail_share <= 0.1 AND iqr > 0.02 AS usable FROM a", ("high_share", "rail_share", "iqr"))

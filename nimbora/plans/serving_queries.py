@@ -83,11 +83,10 @@ R.add("nested_region_detail", _detail, with_sql(*S) + "SELECT e.region_id, c.n_c
 
 
 def _traces(s: SparkSession, d: str) -> DataFrame:
-    rows = forecasts(s, d).where("variable = 'view' AND region_id < 5")
-    return rows.groupBy("region_id", "init_date", "member").agg(F.count(F.lit(1)).alias("n"), F.avg("forecast_value").alias("level")).withColumn("is_control", F.col("member") == 0)
+    return forecasts(s, d).groupBy("region_id", "variable", "init_date", "member").agg(F.count(F.lit(1)).alias("n"), F.avg("forecast_value").alias("level")).withColumn("is_control", F.col("member") == 0)
 
 
-R.add("member_traces", _traces, with_sql(FC) + "SELECT region_id, init_date, member, count(*) AS n, avg(forecast_value) AS level, member = 0 AS is_control FROM fc WHERE variable = 'view' AND region_id < 5 GROUP BY ALL", ("level",))
+R.add("member_traces", _traces, with_sql(FC) + "SELECT region_id, variable, init_date, member, count(*) AS n, avg(forecast_value) AS level, member = 0 AS is_control FROM fc GROUP BY ALL", ("level",))
 
 
 def _subject(s: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from nimbora.functions import moisture
 from nimbora.functions.circular import separation, wrapped
 from nimbora.operators import grids, ingest, store
+from nimbora.operators.ordered import written
+from nimbora.operators.quantiles import quantiles
 from nimbora.plans.registry import Registry
 from nimbora.plans.views import EVENT, FC, forecasts, table, with_sql
 
@@ -157,8 +159,8 @@ SELECT c_mktsegment, corr(a, b) AS rho, count(*) AS n FROM r GROUP BY 1 HAVING c
 
 
 def _site_bias(s: SparkSession, d: str) -> DataFrame:
-    sites = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.median("l_extendedprice").alias("m"))
-    return sites.crossJoin(F.broadcast(sites.agg(F.median("m").alias("mm")))).where("m > 1.05 * mm").select("l_suppkey", "m")
+    sites = written(quantiles(table(s, d, "lineitem"), F.col("l_extendedprice"), {"m": 0.5}, ["l_suppkey"]))
+    return sites.crossJoin(F.broadcast(quantiles(sites, F.col("m"), {"mm": 0.5}))).where("m > 1.05 * mm").select("l_suppkey", "m")
 
 
 R.add("site_bias_pairs", _site_bias, "WITH s AS (SELECT l_suppkey, median(l_extendedprice) AS m FROM lineitem GROUP BY 1) SELECT l_suppkey, m FROM s WHERE m > 1.05 * (SELECT median(m) FROM s)", ("m",), 4)

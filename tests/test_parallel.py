@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nimbora.operators import baselines, events, frames, ingest, models, ordered, scores, store, trajectories
+from nimbora.operators import baselines, events, frames, ingest, models, neighbours, ordered, scores, store, trajectories
 from nimbora.streaming import tiers
 
 
@@ -127,8 +127,9 @@ def test_as_of(spark):
 
 
 def test_analogs_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(baselines, "VECTORS", 32)
-    monkeypatch.setattr(baselines, "ASKED", 3)
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    monkeypatch.setattr(neighbours, "LEAF", 8)
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.normal(size=4) * [1, 100, 0.01, 0]], int(rng.integers(0, 3))) for i in range(140)]
     data += [(200 + i, data[0][1], 1) for i in range(5)]

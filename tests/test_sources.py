@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from nimbora.sources import canonical, canonical_store, uploads
+from nimbora.sources import canonical, canonical_store, records, uploads
 
 
 def put(tmp_path, name, text):
@@ -123,3 +123,49 @@ def test_csv_is_safe_and_quoted(spark, tmp_path):
 def test_has_cycle(spark):
     rows = spark.createDataFrame([("forecast", "2024-01-01")] * 3 + [("observed", "2024-01-02")], "value_type string, init_date string").withColumn("init_date", F.col("init_date").cast("date"))
     assert canonical_store.has_cycle(rows, "2024-01-01", 3) and not canonical_store.has_cycle(rows, "2024-01-01", 4) and not canonical_store.has_cycle(rows, "2024-01-02", 1)
+
+
+QUOTED = [
+    ('a,b\n1,"x\ny"\n2,z\n', [("1", "x\ny"), ("2", "z")]),
+    ("a,b\n1,2\na,b\n3,4\n", [("1", "2"), ("a", "b"), ("3", "4")]),
+    ('a,b\r\n1,"x, ""y"",\r\n\r\nz"\r\n\r\n5,6\r\n', [("1", 'x, "y",\r\n\r\nz'), ("5", "6")]),
+    ('"a\nb",c\n1,5" pipe\n2,3" pipe\n"q",""\n', [("1", '5" pipe'), ("2", '3" pipe'), ("q", None)]),
+    ('a,b\n"1\n""2""\n3","4\n5"\n6,"7"\n', [('1\n"2"\n3', "4\n5"), ("6", "7")]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), QUOTED)
+@pytest.mark.parametrize("block", ["128m", "5"])
+def test_quotes_over_lines(spark, tmp_path, text, want, block):
+    """Also with blocks of 5 bytes, so that records run over several of them."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        out = uploads.read_upload(spark, put(tmp_path, "a.csv", text)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
+def test_a_field_that_is_not_closed_is_refused(spark, tmp_path):
+    with pytest.raises(uploads.UnreadableUpload):
+        uploads.read_upload(spark, put(tmp_path, "a.csv", 'a,b\n1,"x\n2,3\n'))
+
+
+def test_states_against_the_csv_module():
+    """Where a line ends, against a reader that is fed the lines one by one."""
+    import csv
+    import random
+
+    rng = random.Random(4)
+    for _ in range(2000):
+        lines = ["".join(rng.choice('ab,"" ') for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(1, 5))]
+        state, starts = False, []
+        for line in lines:
+            if not state:
+                starts.append(line)
+            state = records.ends_inside(line, ",", state)
+        fed = iter([f"{x}\n" for x in lines])
+        count = sum(1 for _ in csv.reader(fed))
+        assert state or count == len(starts)
