@@ -119,14 +119,29 @@ def _logit(p: Column) -> Column:
     return F.ln(bounded / (1 - bounded))
 
 
-def platt(held: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds p: raw_p put right by a logistic fit on held-out rows; left as it is if the fit would turn it round."""
+def raw_probability(model: Fitted, rows: DataFrame) -> DataFrame:
+    """``rows`` with raw_p: the classifier's probability of y."""
+    return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("raw_p"))
+
+
+def platt_fit(held: DataFrame) -> tuple[float, float] | None:
+    """Slope and cut of a logistic fit of y on the logit of raw_p; None with one class, or if the fit would turn it round."""
     if held.select("y").distinct().count() < 2:
-        return rows.withColumn("p", F.col("raw_p"))
+        return None
     made = VectorAssembler(inputCols=["_x"], outputCol="_v").transform(held.withColumn("_x", _logit(F.col("raw_p"))))
     fit = LogisticRegression(labelCol="y", featuresCol="_v", regParam=0.0).fit(made)
     a, b = float(fit.coefficients[0]), float(fit.intercept)
-    return rows.withColumn("p", F.col("raw_p") if a <= 0 else 1 / (1 + F.exp(-(a * _logit(F.col("raw_p")) + b))))
+    return (a, b) if a > 0 else None
+
+
+def platt_applied(rows: DataFrame, fit: tuple[float, float] | None) -> DataFrame:
+    """Adds p: raw_p put right by ``fit``, or as it is without one."""
+    return rows.withColumn("p", F.col("raw_p") if fit is None else 1 / (1 + F.exp(-(fit[0] * _logit(F.col("raw_p")) + fit[1]))))
+
+
+def platt(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds p: raw_p put right by a logistic fit on held-out rows; left as it is if the fit would turn it round."""
+    return platt_applied(rows, platt_fit(held))
 
 
 def logistic(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.operators import baselines, events, models, scores, shapley
-from nimbora.operators.ordered import written
+from nimbora.operators import baselines, events, models, scores, scoring, shapley
+from nimbora.operators.ordered import shared_folder, written
 from nimbora.plans.forecast_queries import event_rows
 from nimbora.plans.registry import Registry
 from nimbora.plans.score_queries import S, scored
@@ -54,7 +55,18 @@ R.add("gbt_classifier_platt", _classifier)
 R.add("feature_importance", lambda s, d: models.importances(framed(s, d).withColumn("y", F.col("y").cast("double")), COLUMNS, "y"))
 R.add("baseline_logistic", lambda s, d: models.logistic(*_halves(s, d), ["lead_time_days"]).select(*EVENT, "y", "p"))
 R.add("baseline_idr", lambda s, d: models.isotonic(*_halves(s, d), "spread_view").select(*EVENT, "y", "p"))
-R.add("score_cycle", lambda s, d: _classifier(s, d).withColumn("band", events.band(F.col("p"), F.lit(0.1), F.lit(0.3))).groupBy("init_date", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))
+def _scored_chain(s: SparkSession, d: str) -> DataFrame:
+    """Bands of every run, by a chain fitted on the runs of first half-months, saved and loaded again."""
+    path = f"{shared_folder(s)}/nimbora-{uuid.uuid4().hex}"
+    rows = written(event_rows(s, d).select(*EVENT, "variable", "spread", "actual_err"))
+    labels = scored(s, d).select(*EVENT, "y")
+    early = "dayofmonth(init_date) <= 15"
+    scoring.save_scorer(scoring.fit_scorer(rows.where(early), labels.where(early), VARIABLES, trees=5, embargo=2), s, path)
+    found = scoring.score(scoring.load_scorer(s, path), rows.where(f"NOT {early}").drop("actual_err"))
+    return found.groupBy("init_date", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.count("dominant_variable").alias("n_dominant"))
+
+
+R.add("score_cycle", _scored_chain)
 
 
 def _folds(s: SparkSession, d: str) -> DataFrame:

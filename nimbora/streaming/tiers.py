@@ -41,6 +41,8 @@ def upsert(batch: DataFrame, path: str, keys: list[str], partition: str) -> None
     side = f"{path}_staged/{uuid.uuid4().hex}"
     best(merged, keys).write.parquet(side)
     spark.read.schema(batch.schema).parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    staged = jvm.org.apache.hadoop.fs.Path(side)
+    staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staged, True)
 
 
 def run(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, keys: list[str], partition: str, files: int = 1_000) -> StreamingQuery:
