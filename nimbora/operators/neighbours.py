@@ -22,6 +22,9 @@ SAMPLE, LEAF, LEAVES = 20_000, 1_024, 2_048
 #: Rows of a block of a leaf, and queries that meet it at a time.
 BLOCK, ASKED = 2_048, 64
 
+#: Places to which squared distances are rounded, so that ties do not hang on the order of a sum.
+PLACES = 9
+
 FOUND = "query_id long, id long, label long, d double"
 
 
@@ -75,7 +78,7 @@ def _nearest(k: int):
                 ids, labels = items.field("id").to_numpy(), items.field("label").to_numpy()
                 known, queries = _matrix(items.field("v"), len(ids)), _matrix(asked.field("v"), len(asked))
                 for query, q in zip(asked.field("id").to_numpy(), queries, strict=True):
-                    far = ((known - q) ** 2).sum(axis=1)
+                    far = np.round(((known - q) ** 2).sum(axis=1), PLACES)
                     far[ids == query] = np.inf
                     near = np.lexsort((ids, far))[:k]
                     near = near[np.isfinite(far[near])]
@@ -95,7 +98,7 @@ def _visits(low: np.ndarray, high: np.ndarray, leaf: np.ndarray):
             for query, q, mine, most in zip(batch.column("id").to_numpy(), x, own, bound, strict=True):
                 apart = np.maximum(np.maximum(low - q, q - high), 0.0)
                 # a box at the very bound may hold a row of a smaller id
-                near = leaf[((apart**2).sum(axis=1) <= most * (1 + 1e-12)) & (leaf != mine)]
+                near = leaf[((apart**2).sum(axis=1) <= most * (1 + 1e-12) + 10.0**-PLACES) & (leaf != mine)]
                 ids.append(np.full(len(near), query))
                 leaves.append(near)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(leaves) if leaves else [], pa.int64())], names=["id", "leaf"])
@@ -114,7 +117,7 @@ def _met(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 def nearest_rows(scaled: DataFrame, queries: Column, k: int) -> tuple[DataFrame, DataFrame]:
     """The ``k`` nearest other rows of each row of ``scaled`` (id, v, label) where ``queries`` holds: query_id, id, label, d, r.
 
-    ``v`` is standardised and whole; d is the squared distance, ties go to the smaller id, r counts from 1. The second table is one row:
+    ``v`` is standardised and whole; d is the squared distance, rounded to PLACES; ties go to the smaller id, r counts from 1. The second table is one row:
     opened (pairs that were compared) and pairs (all there are).
     """
     spark = scaled.sparkSession

@@ -148,13 +148,13 @@ def _features(s: SparkSession, d: str) -> DataFrame:
     rows = event_rows(s, d).groupBy(*EVENT).agg(F.coalesce(F.avg("spread"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("spread"), F.lit(0.0)).alias("most"), F.count(F.lit(1)).alias("k"))
     made = rows.join(scored(s, d).select(*EVENT, "y"), EVENT)
     day = F.datediff("valid_date", F.lit("2020-01-01").cast("date"))
-    return made.select(((F.col("region_id") * 100_000 + day) * 20 + F.col("lead_time_days")).cast("long").alias("id"), F.array(F.col("lead_time_days").cast("double"), F.round("mean", 6), F.round("most", 6), F.col("k").cast("double")).alias("v"), F.col("y").alias("label"))
+    return made.select(((F.col("region_id") * 100_000 + day) * 11 + F.col("lead_time_days")).cast("long").alias("id"), F.array(F.col("lead_time_days").cast("double"), F.round("mean", 6), F.round("most", 6), F.col("k").cast("double")).alias("v"), F.col("y").alias("label"))
 
 
 R.add(
     "baseline_analog_events",
     lambda s, d: baselines.analog_probability(_features(s, d), F.col("id") % 20 == 0, 50)[0],
-    with_sql(*S, "f AS (SELECT region_id, init_date, valid_date, lead_time_days, coalesce(avg(spread), 0) AS a, coalesce(max(spread), 0) AS b, count(*) AS c FROM evt GROUP BY ALL)", "v AS (SELECT (region_id * 100000 + datediff('day', DATE '2020-01-01', valid_date)) * 20 + lead_time_days AS id, lead_time_days::DOUBLE AS l, round(a, 6) AS a, round(b, 6) AS b, c::DOUBLE AS c, y FROM f JOIN scored USING (region_id, init_date, valid_date, lead_time_days))", "m AS (SELECT avg(l) AS ml, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(l) AS sl, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM v)", "z AS (SELECT id, y, (l - ml) / coalesce(nullif(sl, 0), 1) AS l, (a - ma) / coalesce(nullif(sa, 0), 1) AS a, (b - mb) / coalesce(nullif(sb, 0), 1) AS b, (c - mc) / coalesce(nullif(sc, 0), 1) AS c FROM v, m)", "r AS (SELECT q.id AS query_id, z.y, row_number() OVER (PARTITION BY q.id ORDER BY (q.l - z.l) ** 2 + (q.a - z.a) ** 2 + (q.b - z.b) ** 2 + (q.c - z.c) ** 2, z.id) AS k FROM z JOIN z q ON q.id <> z.id WHERE q.id % 20 = 0)")
+    with_sql(*S, "f AS (SELECT region_id, init_date, valid_date, lead_time_days, coalesce(avg(spread), 0) AS a, coalesce(max(spread), 0) AS b, count(*) AS c FROM evt GROUP BY ALL)", "v AS (SELECT (region_id * 100000 + datediff('day', DATE '2020-01-01', valid_date)) * 11 + lead_time_days AS id, lead_time_days::DOUBLE AS l, round(a, 6) AS a, round(b, 6) AS b, c::DOUBLE AS c, y FROM f JOIN scored USING (region_id, init_date, valid_date, lead_time_days))", "m AS (SELECT avg(l) AS ml, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(l) AS sl, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM v)", "z AS (SELECT id, y, (l - ml) / coalesce(nullif(sl, 0), 1) AS l, (a - ma) / coalesce(nullif(sa, 0), 1) AS a, (b - mb) / coalesce(nullif(sb, 0), 1) AS b, (c - mc) / coalesce(nullif(sc, 0), 1) AS c FROM v, m)", "r AS (SELECT q.id AS query_id, z.y, row_number() OVER (PARTITION BY q.id ORDER BY round((q.l - z.l) ** 2 + (q.a - z.a) ** 2 + (q.b - z.b) ** 2 + (q.c - z.c) ** 2, 9), z.id) AS k FROM z JOIN z q ON q.id <> z.id WHERE q.id % 20 = 0)")
     + "SELECT CAST(query_id AS BIGINT) AS query_id, avg(y) AS p FROM r WHERE k <= 50 GROUP BY 1",
     ("p",),
 )

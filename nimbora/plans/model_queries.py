@@ -61,7 +61,7 @@ def _scored_chain(s: SparkSession, d: str) -> DataFrame:
     rows = written(event_rows(s, d).select(*EVENT, "variable", "spread", "actual_err"))
     labels = scored(s, d).select(*EVENT, "y")
     early = "dayofmonth(init_date) <= 15"
-    scoring.save_scorer(scoring.fit_scorer(rows.where(early), labels.where(early), VARIABLES, trees=5, embargo=2), s, path)
+    scoring.save_scorer(scoring.fit_scorer(rows.where(early), labels.where(early), VARIABLES, trees=3, k=2, embargo=2), s, path)
     found = scoring.score(scoring.load_scorer(s, path), rows.where(f"NOT {early}").drop("actual_err"))
     return found.groupBy("init_date", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.count("dominant_variable").alias("n_dominant"))
 
