@@ -354,12 +354,13 @@ def confirmed(texts: DataFrame, members: DataFrame, shared: DataFrame, shingle:
     return result.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, most_parts: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, most_parts: int | None = PARTS) -> DataFrame:
     """n_shingles and component_id of each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their shingle sets is 0.8 or more; component_id is the smallest
-    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. All parts of a sketch are kept, so no pair of any
-    size rests on chance but for hash collisions; ``most_parts`` bounds them (see PARTS) where a shuffle of a third is worth that.
+    doc_id that links reach. Sets are compared by 64-bit hashes of shingles. ``most_parts`` bounds the parts kept of a
+    sketch (see PARTS); with None all are kept, and no pair of any size rests on chance but for hash collisions, at the
+    cost of more than four times the input on disk.
 
     Null, empty and blank texts have no shingles and link with nothing, not even each other. Rows that repeat a doc_id
     count as linked with each other if they have words. A similarity of exactly 0.8 links. Rows with a null doc_id are
