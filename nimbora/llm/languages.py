@@ -227,6 +227,9 @@ def certain_languages(docs: DataFrame, training: DataFrame, part: float = LEAST_
     Both measures are near 0 by chance: false positives are taken off, and equal counts have no margin. All training
     rows are scored; to the driver come their counts by language and thousandth. Texts without a letter, and languages
     that no training row of theirs was given, are never certain.
+
+    Null and empty texts have no letter. Repeated rows are judged alike, and each teaches. Without any training row, or any
+    row of ``docs``, the result is empty. Texts are read whole; columns of ``docs`` are given back as they are.
     """
     model = fit_languages(training)
     own = _judged(training, model, ["lang_pred", "known", "margin"]).where("lang = lang_pred").select("lang_pred", F.posexplode(F.array("known", "margin")))

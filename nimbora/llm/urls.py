@@ -136,7 +136,11 @@ def _labelled(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int)
 
 
 def held_out_accuracy(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE, trees: int = 20, depth: int = 4) -> DataFrame:
-    """How well trees fitted on the labelled URLs of all but one fold of hosts judge those of that fold: verdict, n, share right."""
+    """How well trees fitted on the labelled URLs of all but one fold of hosts judge those of that fold: verdict, n, share right.
+
+    URLs that are null or have no host, and those that no rule decides, take no part. Repeated rows count once each. Only
+    page_id and url are read. An empty fold gives no rows; where all labelled URLs are of that fold, nothing can be fitted.
+    """
     featured, _ = _labelled(pages, rules, sample)
     seen, unseen = featured.where(_fold() != 0), featured.where(_fold() == 0)
     judged = _scored(unseen, seen, _fitted(seen, trees, depth))
