@@ -59,11 +59,12 @@ def worst_misses(scored: DataFrame, k: int) -> DataFrame:
 
 
 def detail(scored: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each region with its probability by lead and its series by variable, nested."""
-    curve = scored.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("init_date", "lead_time_days", "p"))).alias("curve"))
-    series = rows.groupBy("region_id", "variable").agg(F.sort_array(F.collect_list(F.struct("init_date", "lead_time_days", "fc_mean", "obs_mean"))).alias("points"))
-    nested = series.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("variable", "points"))).alias("series"))
-    return curve.join(nested, "region_id", "left")
+    """Each region and run with its probability by lead and its series by variable, nested: as many points as the run has leads."""
+    keys = ["region_id", "init_date"]
+    curve = scored.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lead_time_days", "valid_date", "p", "band"))).alias("curve"))
+    series = rows.groupBy(*keys, "variable").agg(F.sort_array(F.collect_list(F.struct("lead_time_days", "valid_date", "fc_mean", "obs_mean"))).alias("points"))
+    nested = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("variable", "points"))).alias("series"))
+    return curve.join(nested, keys, "left")
 
 
 def agreement(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

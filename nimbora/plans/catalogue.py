@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nimbora.plans import forecast_queries
 
 #: Modules that register queries.
-MODULES = ["forecast_queries", "score_queries", "serving_queries", "store_queries", "model_queries", "stream_queries", "source_queries", "reduction_queries", "algorithm_queries"]
+MODULES = ["forecast_queries", "score_queries", "serving_queries", "replay_queries", "store_queries", "model_queries", "stream_queries", "source_queries", "reduction_queries", "algorithm_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

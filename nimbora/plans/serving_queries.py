@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.operators import serving
+from nimbora.operators.ordered import written
 from nimbora.plans.forecast_queries import event_rows
 from nimbora.plans.registry import Registry
 from nimbora.plans.score_queries import S, scored
@@ -74,9 +75,11 @@ R.add(
 
 
 def _detail(s: SparkSession, d: str) -> DataFrame:
-    nested = serving.detail(scored(s, d), event_rows(s, d))
-    series = nested.select("region_id", F.size("curve").alias("n_curve"), F.explode("series").alias("v"))
-    return series.select("region_id", F.col("n_curve").cast("long").alias("n_curve"), F.col("v.variable").alias("variable"), F.size("v.points").cast("long").alias("n_points"), F.element_at("v.points", 1)["init_date"].alias("first_run"))
+    nested = written(serving.detail(scored(s, d), event_rows(s, d)))
+    curves = nested.groupBy("region_id").agg(F.sum(F.size("curve")).alias("n_curve"))
+    series = nested.select("region_id", "init_date", F.explode("series").alias("v"))
+    points = series.groupBy("region_id", F.col("v.variable").alias("variable")).agg(F.sum(F.size("v.points")).alias("n_points"), F.min("init_date").alias("first_run"))
+    return points.join(curves, "region_id")
 
 
 R.add("nested_region_detail", _detail, with_sql(*S) + "SELECT e.region_id, c.n_curve, variable, count(*) AS n_points, min(init_date) AS first_run FROM evt e JOIN (SELECT region_id, count(*) AS n_curve FROM scored GROUP BY 1) c ON c.region_id = e.region_id GROUP BY ALL")
