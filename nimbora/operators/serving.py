@@ -73,6 +73,12 @@ def agreement(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.corr(a, b).alias("pearson"))
 
 
+def against_threshold(agreed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds to an agreement by variable its mae in percent of the variable's bust threshold; null without one above 0."""
+    share = F.when(F.col("bust_threshold") > 0, 100.0 * F.col("mae") / F.col("bust_threshold"))
+    return agreed.join(F.broadcast(cuts), "variable", "left").withColumn("mae_pct_of_threshold", share)  # a row a variable
+
+
 def per_variable(rows: DataFrame, member_p90: DataFrame, cuts: DataFrame) -> DataFrame:
     """For each region, lead, variable and day: means over runs, confidence and threshold."""
     made = rows.groupBy("region_id", "lead_time_days", "variable", "valid_date").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nimbora.operators import serving
 from nimbora.operators.ordered import written
-from nimbora.plans.forecast_queries import event_rows
+from nimbora.plans.forecast_queries import cuts, event_rows
 from nimbora.plans.registry import Registry
 from nimbora.plans.score_queries import S, scored
 from nimbora.plans.views import FC, forecasts, with_sql
@@ -74,6 +74,19 @@ R.add(
 )
 
 
+def _against(s: SparkSession, d: str) -> DataFrame:
+    rows = written(event_rows(s, d).select("variable", "fc_mean", "obs_mean", "actual_err"))
+    return serving.against_threshold(serving.agreement(rows, ["variable"], "fc_mean", "obs_mean"), cuts(rows))
+
+
+R.add(
+    "agreement_of_threshold",
+    _against,
+    with_sql(*S, "a AS (SELECT variable, count(*) AS n, avg(fc_mean - obs_mean) AS bias, avg(abs(fc_mean - obs_mean)) AS mae, sqrt(avg((fc_mean - obs_mean) ** 2)) AS rmse, corr(fc_mean, obs_mean) AS pearson FROM evt GROUP BY 1)") + "SELECT *, CASE WHEN bust_threshold > 0 THEN 100 * mae / bust_threshold END AS mae_pct_of_threshold FROM a LEFT JOIN thr USING (variable)",
+    ("bias", "mae", "rmse", "pearson", "mae_pct_of_threshold"),
+)
+
+
 def _detail(s: SparkSession, d: str) -> DataFrame:
     nested = written(serving.detail(scored(s, d), event_rows(s, d)))
     curves = nested.groupBy("region_id").agg(F.sum(F.size("curve")).alias("n_curve"))

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from nimbora.operators import replay
+from nimbora.operators import replay, serving
 from nimbora.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -123,6 +123,13 @@ def test_divergence_and_its_charts(spark):
     assert charts[day(20)]["members"] is None and len(charts[day(20)]["mean"]) == 4
 
 
+def test_agreement_in_percent_of_the_threshold(spark):
+    rows = spark.createDataFrame([("rain", 1.0, 3.0), ("rain", 4.0, 4.0), ("temp", 1.0, 2.0), ("snow", 1.0, 2.0)], "variable string, a double, b double")
+    cuts = spark.createDataFrame([("rain", 4.0), ("temp", 0.0)], "variable string, bust_threshold double")
+    made = serving.against_threshold(serving.agreement(rows, ["variable"], "a", "b"), cuts).collect()
+    assert {r["variable"]: r["mae_pct_of_threshold"] for r in made} == {"rain": 25.0, "temp": None, "snow": None}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
 def test_scoring_queries_on_given_tables(spark):
     """The queries without SQL give whole results: every later event is scored once, and rungs are compared on the same events."""
