@@ -5,9 +5,10 @@ the space itself. Where both spell the same bytes, their tokens are the two side
 that overlap. A union-find over that graph yields its connected components: the smallest groups that both tokenizers
 cut alike. The members of a component expand to the links, and the corpus counts each linked pair of ids by documents.
 
-Documents are encoded in chunks (one Arrow batch each). A chunk is one row: what is known of its documents, and each
-distinct pair once with the number of its documents that hold it. So pairs are added up before they are shuffled, and the corpus-wide
-counts come back once for each chunk rather than once for each document.
+Documents are encoded in chunks (one Arrow batch or less). A chunk gives a row for each of its documents, and one for each
+distinct pair with the number of its documents that hold it. So pairs are added up before they are shuffled, and the corpus-wide
+counts come back once for each chunk rather than once for each document. No row holds a whole chunk: writers and readers of
+Parquet, sorts and joins buffer rows by their number.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,14 +169,32 @@ def _document_rows(path_a: str, path_b: str):
     return rows
 
 
-CHUNK = "chunk long, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,n_pairs:int>>, places array<int>, times array<int>, pairs array<bigint>, held array<int>"
+#: A row is a document (with its distinct pairs, by their places among the chunk's, and how often each occurs) or a pair of
+#: a chunk (with the number of its documents that hold it); the columns of the other kind are null.
+CHUNK = "chunk long, doc struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>, places array<int>, times array<int>, place int, pair long, held int"
+
+#: Bytes of text that are aligned at once (one text may be longer).
+CHUNK_BYTES = 4 << 20
+
+
+def _slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``most`` bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def _chunk_rows(path_a: str, path_b: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _shared_bytes(path_a, path_b)
         first = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(part for whole in batches for part in _slices(whole)):
             made = _aligned(tables, batch.column("text").to_pylist())
             digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in _spelt(tables, made)]
             pairs, place = np.unique(made["pair"], return_inverse=True)
@@ -182,16 +202,13 @@ def _chunk_rows(path_a: str, path_b: str):
             held, times = np.unique(made["link_doc"] * max(len(pairs), 1) + place, return_counts=True)
             places = held % max(len(pairs), 1)
             n_pairs = np.bincount(held // max(len(pairs), 1), minlength=batch.num_rows)
-            columns = [batch.column("doc_id"), *(pa.array(made[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(digests, pa.string()), pa.array(n_pairs, pa.int32())]
-            docs = pa.StructArray.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs"])
-            one = lambda values, kind: _lists(np.array([len(values)]), values, kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first + k], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), one(places, pa.int32()), one(times, pa.int32()),
-                    one(pairs, pa.int64()), one(np.bincount(places, minlength=len(pairs)), pa.int32()),
-                ],
-                names=["chunk", "docs", "places", "times", "pairs", "held"],
-            )
+            columns = [batch.column("doc_id"), *(pa.array(made[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(digests, pa.string())]
+            doc = pa.StructArray.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+            found = [doc, _lists(n_pairs, places, pa.int32()), _lists(n_pairs, times, pa.int32())]
+            of_pairs = [pa.array(np.arange(len(pairs)), pa.int32()), pa.array(pairs, pa.int64()), pa.array(np.bincount(places, minlength=len(pairs)), pa.int32())]
+            names = ["chunk", "doc", "places", "times", "place", "pair", "held"]
+            for n, own in ((len(doc), [*found, *(pa.nulls(len(doc), c.type) for c in of_pairs)]), (len(pairs), [*(pa.nulls(len(pairs), c.type) for c in found), *of_pairs])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first + k), pa.int64()), *own], names=names)
 
     return rows
 
@@ -199,25 +216,20 @@ def _chunk_rows(path_a: str, path_b: str):
 SUMMED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts the corpus-wide counts of a chunk's pairs to the links of its documents."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            docs = batch.column("docs")[i].values
-            places, times = (batch.column(c)[i].values.to_numpy().astype(np.int64) for c in ("places", "times"))
-            known = batch.column("known")[i].values
-            n_pairs = docs.field("n_pairs").to_numpy()
-            count, best = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-            at = known.field("place").to_numpy()
-            count[at], best[at] = known.field("docs").to_numpy(), known.field("best").to_numpy(zero_copy_only=False)
-            sums = []
-            for value in (best, count):
-                run = np.concatenate([[0], np.cumsum(times * value[places])])
-                ends = np.cumsum(n_pairs)
-                sums.append(pa.array(run[ends] - run[ends - n_pairs], pa.int64()))
-            fields = {c: docs.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")} | {"n_best": sums[0], "count_sum": sums[1]}
-            names = [c.split()[0] for c in SUMMED.split(", ")]
-            yield pa.RecordBatch.from_arrays([fields[c] for c in names], names=names)
+def _summed(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """Puts the corpus-wide counts of a chunk's pairs (``known``) to the links of its documents (``docs``)."""
+    places, times = (docs.column(c).combine_chunks() for c in ("places", "times"))
+    ends = np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64))
+    places, times = places.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+    at = known.column("place").to_numpy()
+    fields = {c: pc.struct_field(docs.column("doc"), c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+    for name, column in (("n_best", "best"), ("count_sum", "docs")):
+        value = np.zeros(len(at), np.int64)
+        value[at] = known.column(column).to_numpy()
+        run = np.concatenate([[0], np.cumsum(times * value[places])])
+        fields[name] = pa.array(run[ends] - run[np.concatenate([[0], ends])[:-1]], pa.int64())
+    names = [c.split()[0] for c in SUMMED.split(", ")]
+    return pa.table([fields[c] for c in names], names=names)
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -241,14 +253,17 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(most), "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
 
+def _pair_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.where("pair IS NOT NULL").select("chunk", "place", "pair", "held")
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """Of the chunks of ``aligned_chunks``: id_a, id_b, docs (documents that hold the pair linked), best."""
-    rows = aligned.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.held").alias("held"))
-    return _counted(rows).select(F.shiftright("pair", SHIFT).cast("int").alias("id_a"), F.col("pair").bitwiseAND((1 << SHIFT) - 1).cast("int").alias("id_b"), "docs", "best")
+    return _counted(_pair_rows(aligned)).select(F.shiftright("pair", SHIFT).cast("int").alias("id_a"), F.col("pair").bitwiseAND((1 << SHIFT) - 1).cast("int").alias("id_b"), "docs", "best")
 
 
 def aligned_chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The alignment of ``docs`` (doc_id, text, ...), written, one row for each chunk of documents."""
+    """The alignment of ``docs`` (doc_id, text, ...), written: a row for each document and for each pair of a chunk of them."""
     bounded_batches(docs.sparkSession)
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows(path_a, path_b), CHUNK))
 
@@ -264,8 +279,7 @@ def count_alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     columns and long texts are treated as in ``align_documents``.
     """
     chunks = aligned_chunks(docs, path_a, path_b)
-    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "p")).select("chunk", "place", F.col("p.pairs").alias("pair"), F.col("p.held").alias("held"))
-    known = rows.join(_counted(rows), "pair").groupBy("chunk").agg(F.collect_list(F.struct("place", "docs", "best")).alias("known"))
-    none = F.array().cast("array<struct<place:int,docs:bigint,best:boolean>>")
-    met = chunks.select("chunk", "docs", "places", "times").join(known, "chunk", "left").withColumn("known", F.coalesce("known", none))
-    return met.select("docs", "places", "times", "known").mapInArrow(_summed_rows, SUMMED)
+    rows = _pair_rows(chunks)
+    known = rows.join(_counted(rows), "pair").select(F.col("chunk").alias("of_chunk"), "place", "docs", F.col("best").cast("long").alias("best"))
+    own = chunks.where("doc IS NOT NULL").select("chunk", "doc", "places", "times")
+    return own.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_summed, SUMMED)

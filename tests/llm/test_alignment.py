@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -152,3 +153,24 @@ def test_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.count_alignments(empty, A, B).collect() == []
     assert alignment.align_documents(empty, A, B).collect() == []
+
+
+def test_no_row_holds_a_whole_chunk(spark):
+    """Rows are buffered by their number, so what a row holds must not grow with the documents beside it."""
+    docs = spark.createDataFrame([(k, f"word{k} number {k * k} of many {k % 7}") for k in range(900)], "doc_id long, text string").coalesce(1)
+    alone = alignment.aligned_chunks(docs.where("doc_id < 30"), A, B)
+    whole = alignment.aligned_chunks(docs, A, B)
+
+    def largest(chunks):
+        return chunks.select(F.max(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"]
+
+    assert largest(whole) < 2 * largest(alone)
+
+
+def test_slices_are_bounded_and_whole():
+    texts = ["a" * 5, None, "b" * 9, "", "c" * 30, "d", "é" * 4, "e" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(alignment._slices(batch, 15))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(8))
+    assert [p.num_rows for p in parts] == [4, 1, 2, 1]
+    assert list(alignment._slices(batch.slice(0, 0), 15)) == []
