@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.operators.ordered import written
+from nimbora.operators.ordered import bounded_batches, written
 
 #: Rows that the splits are found on, rows of a leaf as far as the sample tells, and leaves at most.
 SAMPLE, LEAF, LEAVES = 20_000, 1_024, 2_048
@@ -22,6 +22,9 @@ SAMPLE, LEAF, LEAVES = 20_000, 1_024, 2_048
 #: Rows of a block of a leaf, and queries that meet it at a time.
 BLOCK, ASKED = 2_048, 64
 
+#: Visits of leaves that a task gives out at a time (one query's more at most).
+VISITS = 20_000
+
 #: Places to which squared distances are rounded, so that ties do not hang on the order of a sum.
 PLACES = 9
 
@@ -69,39 +72,65 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
+def _near(known: np.ndarray, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each query the rows of ``known`` that may be among its ``k`` + 1 nearest: inner products tell distances but for
+    their rounding, and what lies beyond that of the last one is left out. What is not a number stays in."""
+    own, all_ = (queries**2).sum(axis=1), (known**2).sum(axis=1)
+    about = own[:, None] + all_ - 2 * (queries @ known.T)
+    if about.shape[1] <= k + 1:
+        yield from (np.arange(len(known)) for _ in queries)
+        return
+    last = np.partition(about, k, axis=1)[:, k]
+    apart = 1e-12 * known.shape[1] * (own + all_.max()) + 4 * 10.0**-PLACES
+    for row, most in zip(about, last + apart, strict=True):
+        yield np.flatnonzero(~(row > most))
+
+
 def _nearest(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for i in range(batch.num_rows):
                 items, asked = batch.column("items")[i].values, batch.column("asked")[i].values
                 ids, labels = items.field("id").to_numpy(), items.field("label").to_numpy()
                 known, queries = _matrix(items.field("v"), len(ids)), _matrix(asked.field("v"), len(asked))
-                for query, q in zip(asked.field("id").to_numpy(), queries, strict=True):
-                    far = np.round(((known - q) ** 2).sum(axis=1), PLACES)
-                    far[ids == query] = np.inf
-                    near = np.lexsort((ids, far))[:k]
+                found = []
+                for query, q, rows_ in zip(asked.field("id").to_numpy(), queries, _near(known, queries, k), strict=True):
+                    far = np.round(((known[rows_] - q) ** 2).sum(axis=1), PLACES)
+                    far[ids[rows_] == query] = np.inf
+                    near = np.lexsort((ids[rows_], far))[:k]
                     near = near[np.isfinite(far[near])]
-                    found.append((np.full(len(near), query), ids[near], labels[near], far[near]))
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "label", "d"])
+                    found.append((np.full(len(near), query), ids[rows_[near]], labels[rows_[near]], far[near]))
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "label", "d"])
 
     return rows
 
 
 def _visits(low: np.ndarray, high: np.ndarray, leaf: np.ndarray):
-    """The leaves (by row of ``leaf``) that a query must look into besides its own: those with a box nearer than its bound."""
+    """The leaves (by row of ``leaf``) that a query must look into besides its own: those with a box nearer than its bound.
+
+    They are given out VISITS at a time or so: they are as many as queries times leaves.
+    """
+
+    def pairs(ids: list[np.ndarray], leaves: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (ids, leaves)], names=["id", "leaf"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, own, bound = _matrix(batch.column("v"), batch.num_rows), batch.column("leaf").to_numpy(), batch.column("bound").to_numpy(zero_copy_only=False)
-            ids, leaves = [], []
+            ids, leaves, held = [], [], 0
             for query, q, mine, most in zip(batch.column("id").to_numpy(), x, own, bound, strict=True):
                 apart = np.maximum(np.maximum(low - q, q - high), 0.0)
                 # a box at the very bound may hold a row of a smaller id
                 near = leaf[((apart**2).sum(axis=1) <= most * (1 + 1e-12) + 10.0**-PLACES) & (leaf != mine)]
                 ids.append(np.full(len(near), query))
                 leaves.append(near)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(leaves) if leaves else [], pa.int64())], names=["id", "leaf"])
+                held += len(near)
+                if held >= VISITS:
+                    yield pairs(ids, leaves)
+                    ids, leaves, held = [], [], 0
+            if ids:
+                yield pairs(ids, leaves)
 
     return rows
 
@@ -121,6 +150,7 @@ def nearest_rows(scaled: DataFrame, queries: Column, k: int) -> tuple[DataFrame,
     opened (pairs that were compared) and pairs (all there are).
     """
     spark = scaled.sparkSession
+    bounded_batches(spark)
     n = scaled.count()
     sample = scaled.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     nodes = _splits(np.array([np.array(v) for v in sample]), max(1, min(LEAVES, n // LEAF)))

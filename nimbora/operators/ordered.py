@@ -31,6 +31,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows, and bytes, that go to a Python worker at once (one row may be longer).
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches at BATCH_ROWS and BATCH_BYTES or less; smaller settings are left as they are."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < found <= most:
+            spark.conf.set(name, str(most))
+
+
 def by_ranges(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` written in ranges of ``order``, with the range's number in ``_range``."""
     return written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,42 @@ def test_soil_mask_and_gate(spark):
     assert out == {("a", "share"): (pytest.approx(2 / 3), True), ("b", "share"): (None, True)}
     values = spark.createDataFrame([(1.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "x double").select(ingest.finite(F.col("x")).alias("x"))
     assert [r["x"] for r in values.collect()] == [1.0, None, None, None, None]
+
+
+def test_visits_are_given_out_in_bounded_parts():
+    """A batch of queries that must look into all leaves gives many small tables with every visit once."""
+    leaves, n = 500, 400
+    low, high = np.zeros((leaves, 2)), np.ones((leaves, 2))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array([[0.5, 0.5]] * n), pa.array([k % leaves for k in range(n)]), pa.array([1.0] * n)], names=["id", "v", "leaf", "bound"]
+    )
+    parts = list(neighbours._visits(low, high, np.arange(leaves))(iter([batch])))
+    assert max(p.num_rows for p in parts) < 20_000 + leaves
+    found = [(i, x) for p in parts for i, x in zip(p.column("id").to_pylist(), p.column("leaf").to_pylist())]
+    assert sorted(found) == [(i, x) for i in range(n) for x in range(leaves) if x != i]
+
+
+def test_batches_of_neighbours_are_bounded(spark):
+    data = [(i, [float(i % 7), float(i % 5)], 0) for i in range(40)]
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(c) for c in names]
+    try:
+        for c, value in zip(names, ("10000", str(256 << 20))):
+            spark.conf.set(c, value)
+        neighbours.nearest_rows(spark.createDataFrame(data, "id long, v array<double>, label long"), F.lit(True), 3)
+        assert [int(spark.conf.get(c).rstrip("b")) <= most for c, most in zip(names, (1_000, 16 << 20))] == [True, True]
+    finally:
+        for c, value in zip(names, before):
+            spark.conf.set(c, value)
+
+
+def test_rows_ruled_out_by_inner_products_are_not_near():
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e-7, 1e6):
+        known = np.round(rng.normal(size=(300, 3)), 1) * scale  # many ties
+        known[5], known[6, 0] = np.inf, np.nan
+        queries = known[:40]
+        for q, kept in zip(queries, neighbours._near(known, queries, 7)):
+            far = np.round(((known - q) ** 2).sum(axis=1), neighbours.PLACES)
+            first = np.lexsort((np.arange(300), far))[:8]
+            assert set(first[np.isfinite(far[first])].tolist()) <= set(kept.tolist())
