@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from typing import Any
+from multiprocessing.pool import ThreadPool
+from typing import Any, TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbora.operators.ordered import written
 from nimbora.operators.quantiles import quantiles
 
 CLIP = 1e-6
@@ -22,6 +26,17 @@ EVENT_KEYS = ["region_id", "init_date", "valid_date", "lead_time_days"]
 #: Rows that a regressor needs.
 LEAST_ROWS = 30
 
+#: Models that are fitted at a time: their jobs are many and short.
+AT_ONCE = 5
+
+X, Y = TypeVar("X"), TypeVar("Y")
+
+
+def side_by_side(spark: SparkSession, made: Callable[[X], Y], given: Iterable[X]) -> list[Y]:
+    """``made`` of each of ``given``, in order, AT_ONCE at a time."""
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(spark)(made), list(given), chunksize=1)
+
 
 def _with_features(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
     known = {f"{c}__filled": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m)) for c, m in medians.items()}
@@ -41,6 +56,9 @@ class Fitted:
 
 
 def _fitted(learner, train: DataFrame, columns: list[str]) -> Fitted:
+    """The learner fitted on ``train``, of which only what it needs is written: medians and learners go over it many times."""
+    others = [learner.getOrDefault(p) for p in ("labelCol", "validationIndicatorCol") if learner.hasParam(p) and learner.isDefined(p)]
+    train = written(train.select(*dict.fromkeys([*columns, *others])))
     values = train.select([F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]).unpivot([], columns, "column", "value")
     found = {r["column"]: r["median"] for r in quantiles(values, F.col("value"), {"median": 0.5}, ["column"]).collect()}  # a row a column
     medians = {c: float(found.get(c, 0.0)) for c in columns}
@@ -83,8 +101,10 @@ def predicted_errors(rows: DataFrame, variables: list[str], columns: list[str],
     fold of runs nor runs within ``embargo`` days of it.
     """
     kept = [*EVENT_KEYS, "variable"]
-    parts = [out_of_fold(rows.where(F.col("variable") == v).select(*kept, *columns, "actual_err"), columns, "actual_err", k, trees, embargo) for v in variables]
-    return functools.reduce(DataFrame.unionByName, parts).select(*kept, F.col("predicted").alias("pred_err"))
+    def part(v: str) -> DataFrame:
+        return out_of_fold(rows.where(F.col("variable") == v).select(*kept, *columns, "actual_err"), columns, "actual_err", k, trees, embargo)
+
+    return functools.reduce(DataFrame.unionByName, side_by_side(rows.sparkSession, part, variables)).select(*kept, F.col("predicted").alias("pred_err"))
 
 
 def importances(rows: DataFrame, columns: list[str], target: str, trees: int = 10) -> DataFrame:
@@ -126,6 +146,7 @@ def raw_probability(model: Fitted, rows: DataFrame) -> DataFrame:
 
 def platt_fit(held: DataFrame) -> tuple[float, float] | None:
     """Slope and cut of a logistic fit of y on the logit of raw_p; None with one class, or if the fit would turn it round."""
+    held = written(held.select("y", "raw_p"))
     if held.select("y").distinct().count() < 2:
         return None
     made = VectorAssembler(inputCols=["_x"], outputCol="_v").transform(held.withColumn("_x", _logit(F.col("raw_p"))))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from nimbora.operators import events, models
 from nimbora.operators.models import EVENT_KEYS, Fitted
+from nimbora.operators.ordered import written
 
 #: What a regressor is given.
 GIVEN = ["lead", "spread"]
@@ -57,24 +58,27 @@ def fit_scorer(rows: DataFrame, labels: DataFrame, variables: list[str], trees:
 
     A third of the runs calibrates the probability; the bands' cuts are those of the calibrated scores.
     """
-    given = _given(rows)
-    regressors = {}
-    for v in variables:
+    given = written(_given(rows))
+
+    def regressor(v: str) -> Fitted | None:
         train = given.where((F.col("variable") == v) & F.col("actual_err").isNotNull())
-        if train.limit(models.LEAST_ROWS).count() >= models.LEAST_ROWS:
-            regressors[v] = models.fitted_regressor(train, GIVEN, "actual_err", trees)
+        return models.fitted_regressor(train, GIVEN, "actual_err", trees) if train.limit(models.LEAST_ROWS).count() >= models.LEAST_ROWS else None
+
+    found = models.side_by_side(rows.sparkSession, regressor, variables)
+    regressors = {v: fitted for v, fitted in zip(variables, found, strict=True) if fitted is not None}
     predicted = models.predicted_errors(given, variables, GIVEN, k, trees, embargo)
     joined = given.drop("pred_err").join(predicted, [*EVENT_KEYS, "variable"], "left")
-    frame = _frame(joined, variables).join(labels.select(*EVENT_KEYS, "y"), EVENT_KEYS)
+    frame = written(_frame(joined, variables).join(labels.select(*EVENT_KEYS, "y"), EVENT_KEYS))
     columns = _columns(variables)
     held = models.fold_of(F.col("init_date"), 3) == 2
     classifier = models.fitted_classifier(frame.where(~held), columns, trees)
-    raw = models.raw_probability(classifier, frame)
+    raw = written(models.raw_probability(classifier, frame).select("init_date", "y", "raw_p"))
     calibration = models.platt_fit(raw.where(held))
     cuts = events.band_cuts(models.platt_applied(raw, calibration), "p").first()
+    usual = _numbers(events.thresholds(given, "actual_err", 0.9, "p90"), "p90")
     return Scorer(
         variables, regressors, classifier, calibration,
-        _numbers(events.thresholds(rows, "actual_err", 0.9, "p90"), "p90"), _numbers(events.thresholds(rows, "actual_err", 0.9, "t"), "t"), (cuts["medium"], cuts["high"]), columns,
+        usual, dict(usual), (cuts["medium"], cuts["high"]), columns,
     )
 
 

@@ -13,7 +13,7 @@ from nimbora.operators import baselines, events, models, scores, scoring, shaple
 from nimbora.operators.ordered import shared_folder, written
 from nimbora.plans.forecast_queries import event_rows
 from nimbora.plans.registry import Registry
-from nimbora.plans.score_queries import S, scored
+from nimbora.plans.score_queries import S, event_tables, scored, scored_of
 from nimbora.plans.views import EVENT, VARIABLES, with_sql
 
 R = Registry()
@@ -58,8 +58,9 @@ R.add("baseline_idr", lambda s, d: models.isotonic(*_halves(s, d), "spread_view"
 def _scored_chain(s: SparkSession, d: str) -> DataFrame:
     """Bands of every run, by a chain fitted on the runs of first half-months, saved and loaded again."""
     path = f"{shared_folder(s)}/nimbora-{uuid.uuid4().hex}"
-    rows = written(event_rows(s, d).select(*EVENT, "variable", "spread", "actual_err"))
-    labels = scored(s, d).select(*EVENT, "y")
+    pairs, rows = event_tables(s, d)
+    labels = scored_of(pairs, rows).select(*EVENT, "y")
+    rows = rows.select(*EVENT, "variable", "spread", "actual_err")
     early = "dayofmonth(init_date) <= 15"
     scoring.save_scorer(scoring.fit_scorer(rows.where(early), labels.where(early), VARIABLES, trees=3, k=2, embargo=2), s, path)
     found = scoring.score(scoring.load_scorer(s, path), rows.where(f"NOT {early}").drop("actual_err"))

@@ -24,10 +24,14 @@ def lines(s: SparkSession, d: str) -> DataFrame:
 LINES = "lines AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_discount * 10 AS p, CAST(l_shipdate AS DATE) AS init_date, l_linestatus FROM lineitem)"
 
 
-def scored(s: SparkSession, d: str) -> DataFrame:
-    """Events with their label (y), a probability from their members' errors (p), and its band."""
+def event_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and event rows by variable, each written once for the steps that read them."""
     pairs = written(paired(s, d).select(*EVENT, "variable", "forecast_value", "observed_value", "abs_error"))
-    rows = written(events.event_rows(pairs, ANGLE).select(*EVENT, "variable", "actual_err", "pred_err"))
+    return pairs, written(events.event_rows(pairs, ANGLE).select(*EVENT, "variable", "actual_err", "pred_err", "spread"))
+
+
+def scored_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Events of ``event_tables`` with their label (y), a probability from their members' errors (p), and its band."""
     usual = cuts(rows).join(events.thresholds(pairs, "abs_error", 0.9, "member_p90"), "variable")  # a row for each variable
     x = F.max(F.col("pred_err") / F.col("member_p90"))
     both = rows.join(F.broadcast(usual), "variable").groupBy(*EVENT).agg(F.max(events.bust_ratio()).alias("ratio"), F.round(x / (1 + x), 4).alias("p"))
@@ -35,6 +39,11 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return made.withColumn("band", events.band(F.col("p"), F.lit(0.3), F.lit(0.5)))
 
 
+def scored(s: SparkSession, d: str) -> DataFrame:
+    """Events with their label (y), a probability from their members' errors (p), and its band."""
+    return scored_of(*event_tables(s, d))
+
+
 SCORED = """scored AS (
   SELECT region_id, init_date, valid_date, lead_time_days, y_bust AS y, p, CASE WHEN p >= 0.5 THEN 'high' WHEN p >= 0.3 THEN 'medium' ELSE 'low' END AS band
   FROM labelled JOIN (SELECT region_id, init_date, valid_date, lead_time_days, round(max(pred_err / member_p90) / (1 + max(pred_err / member_p90)), 4) AS p
