@@ -21,10 +21,10 @@ COLUMNS = ["lead_time_days", *[f"spread_{v}" for v in VARIABLES]]
 
 
 def framed(s: SparkSession, d: str) -> DataFrame:
-    """Events with label, spreads by variable and lead."""
-    wide = events.pivot(event_rows(s, d), VARIABLES, ["spread"])
-    made = scored(s, d).select(*EVENT, "y").join(wide, EVENT)
-    return made.withColumns({c: F.col(c).cast("double") for c in COLUMNS})
+    """Events with label, spreads by variable and lead, written: learners read their rows many times."""
+    pairs, rows = event_tables(s, d)
+    made = scored_of(pairs, rows).select(*EVENT, "y").join(events.pivot(rows, VARIABLES, ["spread"]), EVENT)
+    return written(made.withColumns({c: F.col(c).cast("double") for c in COLUMNS}))
 
 
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,8 @@ def _classifier(s: SparkSession, d: str) -> DataFrame:
     train, rows = _halves(s, d)
     held = train.where("dayofmonth(init_date) > 10")
     fit = train.where("dayofmonth(init_date) <= 10")
-    return models.platt(models.classified(fit, held, COLUMNS), models.classified(fit, rows, COLUMNS)).select(*EVENT, "y", "raw_p", "p")
+    model = models.fitted_classifier(fit, COLUMNS)
+    return models.platt(models.raw_probability(model, held), models.raw_probability(model, rows)).select(*EVENT, "y", "raw_p", "p")
 
 
 R.add("gbt_regressor_oof", _regressor)
@@ -88,9 +89,10 @@ R.add(
 
 def _spread_frame(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Training and test events with lead, mean and largest spread and a column for each season."""
-    rows = event_rows(s, d).groupBy(*EVENT).agg(F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"))
+    pairs, each = event_tables(s, d)
+    rows = each.groupBy(*EVENT).agg(F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"))
     season = events.season_of(F.col("valid_date"))
-    made = scored(s, d).select(*EVENT, "y").join(rows, EVENT).withColumns({"lead": F.col("lead_time_days").cast("double"), **{f"is_{x}": (season == x).cast("double") for x in ("DJF", "MAM", "JJAS", "ON")}})
+    made = scored_of(pairs, each).select(*EVENT, "y").join(rows, EVENT).withColumns({"lead": F.col("lead_time_days").cast("double"), **{f"is_{x}": (season == x).cast("double") for x in ("DJF", "MAM", "JJAS", "ON")}})
     made = written(made)
     return made.where("dayofmonth(init_date) <= 15"), made.where("dayofmonth(init_date) > 15")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nimbora.operators import models, scoring
+from nimbora.plans import model_queries
 
 KEYS = "region_id int, init_date date, valid_date date, lead_time_days int"
 
@@ -44,5 +45,17 @@ def test_a_learner_computes_its_rows_once(spark, fit):
     assert seen.value == 120
 
 
+def test_the_platt_query_fits_one_classifier(spark, monkeypatch):
+    fits, plain = [], models._fitted
+    monkeypatch.setattr(models, "_fitted", lambda *given: fits.append(1) or plain(*given))
+    made = model_queries.R.queries["gbt_classifier_platt"](spark, "/root/testdata/sf0.001")
+    assert made.count() > 0 and len(fits) == 1
+
+
+def test_frames_are_read_from_what_was_written(spark):
+    files = model_queries.framed(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/nimbora-" in f for f in files)
+
+
 def test_results_of_side_by_side_keep_their_order(spark):
     assert models.side_by_side(spark, lambda n: spark.range(n).count(), [7, 3, 0, 5, 2, 9]) == [7, 3, 0, 5, 2, 9]
