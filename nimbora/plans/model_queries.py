@@ -36,11 +36,12 @@ def _regressor(s: SparkSession, d: str) -> DataFrame:
     """Out-of-fold error of each variable's own regressor."""
     rows = written(event_rows(s, d).select(*EVENT, "variable", F.col("lead_time_days").cast("double").alias("lead"), "spread", "actual_err"))
     e = F.col("actual_err") - F.col("predicted")
-    parts = []
-    for v in VARIABLES:
+
+    def part(v: str) -> DataFrame:
         made = models.out_of_fold(rows.where(F.col("variable") == v).drop("variable"), ["lead", "spread"], "actual_err", trees=5)
-        parts.append(made.agg(F.lit(v).alias("variable"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n")))
-    return functools.reduce(DataFrame.unionByName, parts)
+        return made.agg(F.lit(v).alias("variable"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+    return functools.reduce(DataFrame.unionByName, models.side_by_side(s, part, VARIABLES))
 
 
 def _classifier(s: SparkSession, d: str) -> DataFrame:
