@@ -52,10 +52,10 @@ def label(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return made.where("bust_ratio IS NOT NULL").withColumn("y_bust", (F.col("bust_ratio") >= 1).cast("int"))
 
 
-def pivot(rows: DataFrame, variables: list[str], values: list[str]) -> DataFrame:
-    """One row for each event with value_variable columns in a fixed order."""
+def pivot(rows: DataFrame, variables: list[str], values: list[str], *more: Column) -> DataFrame:
+    """One row for each event with value_variable columns in a fixed order, and ``more`` aggregates."""
     made = [F.avg(F.when(F.col("variable") == v, F.col(c))).alias(f"{c}_{v}") for v in variables for c in values]
-    return rows.groupBy(*KEYS).agg(*made)
+    return rows.groupBy(*KEYS).agg(*made, *more)
 
 
 def across(columns: list[Column]) -> tuple[Column, Column]:

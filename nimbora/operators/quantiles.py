@@ -1,16 +1,18 @@
 """Exact quantiles by rank, for groups of any size.
 
 An exact percentile as an aggregate holds every distinct value of a group in one task. Here the distinct values are
-counted, their running counts are summed over ranges, and the values at the asked ranks are picked out: no task holds
-more than a range, even where one group is the whole table.
+counted and dealt into ranges; the ranges' sums tell which of them hold the asked ranks, and only in those are running
+counts made and values picked out: no task holds more than a range, even where one group is the whole table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.operators.ordered import running_sums
+from nimbora.operators.ordered import by_ranges, written
 
 
 def quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: list[str] | None = None, count: str | None = None) -> DataFrame:
@@ -21,31 +23,32 @@ def quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: list
     """
     by = by or []
     known = rows.select(*by, value.cast("double").alias("_v")).where("_v IS NOT NULL")
-    counted = known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    run = running_sums(counted, [F.col("_v")], {"_upto": "_c"}, by)
-    sizes = run.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    met = _with_sizes(run, sizes, by)
-    parts = []
-    for k, share in enumerate(shares.values()):
-        place = (F.col("_n") - 1) * F.lit(float(share))
-        for name, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            holds = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-            parts.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{name}{k}"))
-    found = met.groupBy(*by).agg(F.max("_n").alias("_n"), *parts)
+    dealt = by_ranges(known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), [*map(F.col, by), F.col("_v")])
+    places = [(F.col("_n") - 1) * F.lit(float(share)) for share in shares.values()]
+    ranks = [(f"_{name}{k}", rank(place)) for k, place in enumerate(places) for name, rank in (("low", F.floor), ("high", F.ceil))]
+    met = _holding(dealt, [rank for _, rank in ranks], by)
+    inner = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = met.withColumn("_upto", F.col("_before") + F.sum("_c").over(inner))
+    parts = [F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_v"))).alias(name) for name, rank in ranks]
+    found = run.groupBy(*by).agg(F.max("_n").alias("_n"), *parts)
     made = []
-    for k, (name, share) in enumerate(shares.items()):
-        place = (F.col("_n") - 1) * F.lit(float(share))
+    for k, (name, place) in enumerate(zip(shares, places, strict=True)):
         low, high, part = F.col(f"_low{k}"), F.col(f"_high{k}"), place - F.floor(place)
         made.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
     return found.select(*by, *made, *([F.coalesce("_n", F.lit(0)).cast("long").alias(count)] if count else []))
 
 
-def _with_sizes(run: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    if not by:
-        return run.crossJoin(F.broadcast(sizes))
-    same = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_n")
-    met = None
+def _holding(dealt: DataFrame, ranks: list[Column], by: list[str]) -> DataFrame:
+    """The rows of the ranges that hold one of ``ranks`` of their group, with the count before the range and the group's (_n)."""
+    # a row for each range and group that it holds part of: few, as a range holds neighbours in order
+    every = Window.partitionBy(*by)
+    totals = dealt.groupBy(*by, "_range").agg(F.sum("_c").alias("_in"))
+    upto = F.sum("_in").over(every.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    placed = totals.withColumns({"_to": upto, "_n": F.sum("_in").over(every)}).withColumn("_before", F.col("_to") - F.col("_in"))
+    asked = functools.reduce(lambda a, b: a | b, [(F.col("_to") > rank) & (F.col("_before") <= rank) for rank in ranks])
+    # written, so that its size is known when it is joined; groups meet null-safely, so that null is a group like others
+    named = written(placed.where(asked).select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_range"]], "_before", "_n"))
+    same = F.col("_range") == F.col("_of__range")
     for c in by:
-        one = F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-        met = one if met is None else met & one
-    return run.join(same, met).drop(*[f"_of_{c}" for c in by])
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return dealt.join(named, same).drop(*[f"_of_{c}" for c in [*by, "_range"]])

@@ -40,9 +40,9 @@ def _given(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lead", F.col("lead_time_days").cast("double"))
 
 
-def _frame(rows: DataFrame, variables: list[str]) -> DataFrame:
-    """One row an event: lead, and predicted error and spread of each variable."""
-    return events.pivot(rows, variables, ["pred_err", "spread"]).withColumn("lead", F.col("lead_time_days").cast("double"))
+def _frame(rows: DataFrame, variables: list[str], *more: Column) -> DataFrame:
+    """One row an event: lead, predicted error and spread of each variable, and ``more`` aggregates."""
+    return events.pivot(rows, variables, ["pred_err", "spread"], *more).withColumn("lead", F.col("lead_time_days").cast("double"))
 
 
 def _columns(variables: list[str]) -> list[str]:
@@ -58,17 +58,13 @@ def fit_scorer(rows: DataFrame, labels: DataFrame, variables: list[str], trees:
 
     A third of the runs calibrates the probability; the bands' cuts are those of the calibrated scores.
     """
-    given = written(_given(rows))
-
-    def regressor(v: str) -> Fitted | None:
-        train = given.where((F.col("variable") == v) & F.col("actual_err").isNotNull())
-        return models.fitted_regressor(train, GIVEN, "actual_err", trees) if train.limit(models.LEAST_ROWS).count() >= models.LEAST_ROWS else None
-
-    found = models.side_by_side(rows.sparkSession, regressor, variables)
-    regressors = {v: fitted for v, fitted in zip(variables, found, strict=True) if fitted is not None}
-    predicted = models.predicted_errors(given, variables, GIVEN, k, trees, embargo)
-    joined = given.drop("pred_err").join(predicted, [*EVENT_KEYS, "variable"], "left")
-    frame = written(_frame(joined, variables).join(labels.select(*EVENT_KEYS, "y"), EVENT_KEYS))
+    given = written(models.with_folds(_given(rows).select(*EVENT_KEYS, "variable", *GIVEN, "actual_err"), k, embargo).sortWithinPartitions("variable"))
+    fits = models.fitted_apart(given, "variable", variables, GIVEN, "actual_err", k, trees, whole=True)
+    regressors = {v: fits[v, models.WHOLE] for v in variables if (v, models.WHOLE) in fits}
+    kept = [*EVENT_KEYS, "variable", "spread"]
+    apart = models.predicted_apart(given, fits, "variable", variables, k).select(*kept, F.col("predicted").alias("pred_err"))
+    others = given.where(~F.coalesce(F.col("variable").isin(variables), F.lit(False))).select(*kept, F.lit(None).cast("double").alias("pred_err"))
+    frame = written(_frame(apart.unionByName(others), variables).join(labels.select(*EVENT_KEYS, "y"), EVENT_KEYS))
     columns = _columns(variables)
     held = models.fold_of(F.col("init_date"), 3) == 2
     classifier = models.fitted_classifier(frame.where(~held), columns, trees)
@@ -126,9 +122,10 @@ def predicted(scorer: Scorer, rows: DataFrame) -> DataFrame:
 
 def score(scorer: Scorer, rows: DataFrame) -> DataFrame:
     """Scores the events of ``rows`` (keys, variable, spread): keys, p, band, dominant_variable (null if no error is predicted)."""
-    each = predicted(scorer, rows)
-    frame = _frame(each, scorer.variables)
+    # numbers alone are aggregated, all in one pass; the largest ratio is told from them, by name on ties
+    least = [F.min(F.when(F.col("variable") == v, -F.col("ratio"))).alias(f"_least{i}") for i, v in enumerate(scorer.variables)]
+    frame = _frame(predicted(scorer, rows), scorer.variables, *least)
+    top = F.array_min(F.array(*[F.when(F.col(f"_least{i}").isNotNull(), F.struct(F.col(f"_least{i}").alias("r"), F.lit(v).alias("v"))) for i, v in enumerate(scorer.variables)]))
     p = models.platt_applied(models.raw_probability(scorer.classifier, frame), scorer.calibration)
-    top = each.where("ratio IS NOT NULL").groupBy(*EVENT_KEYS).agg(F.min_by("variable", F.struct(-F.col("ratio"), "variable")).alias("dominant_variable"))
     banded = p.withColumn("band", events.band(F.col("p"), F.lit(scorer.cuts[0]), F.lit(scorer.cuts[1])))
-    return banded.select(*EVENT_KEYS, "p", "band").join(top, EVENT_KEYS, "left")
+    return banded.select(*EVENT_KEYS, "p", "band", top["v"].alias("dominant_variable"))

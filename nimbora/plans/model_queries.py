@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 
 from nimbora.operators import baselines, events, models, scores, scoring, shapley
 from nimbora.operators.ordered import shared_folder, written
-from nimbora.plans.forecast_queries import event_rows
+from nimbora.plans.forecast_queries import cuts, event_rows
 from nimbora.plans.registry import Registry
-from nimbora.plans.score_queries import S, event_tables, scored, scored_of
+from nimbora.plans.score_queries import S, scored
 from nimbora.plans.views import EVENT, VARIABLES, with_sql
 
 R = Registry()
 COLUMNS = ["lead_time_days", *[f"spread_{v}" for v in VARIABLES]]
 
 
+def labelled_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Event rows by variable, written in order of the variable, and the events' labels (y); the pairs are not kept."""
+    rows = written(event_rows(s, d).select(*EVENT, "variable", "spread", "actual_err").sortWithinPartitions("variable"))
+    return rows, events.label(rows, cuts(rows)).select(*EVENT, F.col("y_bust").alias("y"))
+
+
 def framed(s: SparkSession, d: str) -> DataFrame:
     """Events with label, spreads by variable and lead, written: learners read their rows many times."""
-    pairs, rows = event_tables(s, d)
-    made = scored_of(pairs, rows).select(*EVENT, "y").join(events.pivot(rows, VARIABLES, ["spread"]), EVENT)
+    rows, labels = labelled_tables(s, d)
+    made = labels.join(events.pivot(rows, VARIABLES, ["spread"]), EVENT)
     return written(made.withColumns({c: F.col(c).cast("double") for c in COLUMNS}))
 
 
@@ -34,14 +40,11 @@ def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _regressor(s: SparkSession, d: str) -> DataFrame:
     """Out-of-fold error of each variable's own regressor."""
-    rows = written(event_rows(s, d).select(*EVENT, "variable", F.col("lead_time_days").cast("double").alias("lead"), "spread", "actual_err"))
+    rows = event_rows(s, d).select(*EVENT, "variable", F.col("lead_time_days").cast("double").alias("lead"), "spread", "actual_err")
+    made = models.out_of_fold_by(rows, "variable", VARIABLES, ["lead", "spread"], "actual_err", trees=5)
     e = F.col("actual_err") - F.col("predicted")
-
-    def part(v: str) -> DataFrame:
-        made = models.out_of_fold(rows.where(F.col("variable") == v).drop("variable"), ["lead", "spread"], "actual_err", trees=5)
-        return made.agg(F.lit(v).alias("variable"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
-
-    return functools.reduce(DataFrame.unionByName, models.side_by_side(s, part, VARIABLES))
+    found = made.groupBy("variable").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    return s.createDataFrame([(v,) for v in VARIABLES], "variable string").join(found, "variable", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def _classifier(s: SparkSession, d: str) -> DataFrame:
@@ -60,9 +63,7 @@ R.add("baseline_idr", lambda s, d: models.isotonic(*_halves(s, d), "spread_view"
 def _scored_chain(s: SparkSession, d: str) -> DataFrame:
     """Bands of every run, by a chain fitted on the runs of first half-months, saved and loaded again."""
     path = f"{shared_folder(s)}/nimbora-{uuid.uuid4().hex}"
-    pairs, rows = event_tables(s, d)
-    labels = scored_of(pairs, rows).select(*EVENT, "y")
-    rows = rows.select(*EVENT, "variable", "spread", "actual_err")
+    rows, labels = labelled_tables(s, d)
     early = "dayofmonth(init_date) <= 15"
     scoring.save_scorer(scoring.fit_scorer(rows.where(early), labels.where(early), VARIABLES, trees=3, k=2, embargo=2), s, path)
     found = scoring.score(scoring.load_scorer(s, path), rows.where(f"NOT {early}").drop("actual_err"))
@@ -90,10 +91,10 @@ R.add(
 
 def _spread_frame(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Training and test events with lead, mean and largest spread and a column for each season."""
-    pairs, each = event_tables(s, d)
+    each, labels = labelled_tables(s, d)
     rows = each.groupBy(*EVENT).agg(F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"))
     season = events.season_of(F.col("valid_date"))
-    made = scored_of(pairs, each).select(*EVENT, "y").join(rows, EVENT).withColumns({"lead": F.col("lead_time_days").cast("double"), **{f"is_{x}": (season == x).cast("double") for x in ("DJF", "MAM", "JJAS", "ON")}})
+    made = labels.join(rows, EVENT).withColumns({"lead": F.col("lead_time_days").cast("double"), **{f"is_{x}": (season == x).cast("double") for x in ("DJF", "MAM", "JJAS", "ON")}})
     made = written(made)
     return made.where("dayofmonth(init_date) <= 15"), made.where("dayofmonth(init_date) > 15")
 
