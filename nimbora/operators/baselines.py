@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.functions.normal import erf
-from nimbora.operators.neighbours import nearest_rows
+from nimbora.operators.neighbours import nearest_of_all, nearest_rows
 from nimbora.operators.ordered import written
 from nimbora.operators.quantiles import quantiles
 
@@ -75,14 +75,14 @@ def analog_votes(vectors: DataFrame, queries: Column, k: int = 50) -> DataFrame:
     """Share of each label among the ``k`` nearest other rows (all, if fewer): query_id, label, share.
 
     ``vectors`` has id, v (doubles, all of one length) and label (whole numbers); the rows where ``queries`` holds are
-    asked about. Components are standardised over all rows; ties go to the smaller id. See ``neighbours`` for how rows
-    that cannot be near are passed over.
+    asked about. Components are standardised over all rows; ties go to the smaller id. Every pair is compared: in many
+    dimensions no box rules out rows.
     """
     scaled = _whole(vectors)
     n = scaled.count()
     if n < 2:
         return vectors.sparkSession.createDataFrame([], "query_id long, label long, share double")
-    best, _ = nearest_rows(scaled, queries, k)
+    best = nearest_of_all(scaled, queries, k)
     return best.groupBy("query_id", "label").agg((F.count(F.lit(1)) / min(k, n - 1)).alias("share"))
 
 

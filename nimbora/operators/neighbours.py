@@ -3,6 +3,9 @@
 The tree's splits come from a bounded sample of the rows, so the tree is small; every row is put into its leaf, and the
 boxes are those of all rows. A query first looks into its own leaf, which bounds the distance of its k-th neighbour, and
 then only into the leaves whose boxes are nearer than that bound. Leaves are cut into blocks of bounded size.
+
+Where boxes prune little (many components) and all rows ask, ``nearest_of_all`` compares every pair instead: blocks of
+queries meet blocks of rows in a product that is read from files, and a task keeps the best of the rows that it has seen.
 """
 
 from __future__ import annotations
@@ -25,11 +28,20 @@ BLOCK, ASKED = 2_048, 64
 #: Visits of leaves that a task gives out at a time (one query's more at most).
 VISITS = 20_000
 
+#: Bytes of rows that a task of ``nearest_of_all`` compares its queries with (about), and blocks of queries of a task.
+KNOWN_BYTES, ASKED_BLOCKS = 64 << 20, 2
+
+#: Numbers of a piece in which distances are made.
+PIECE = 1 << 22
+
 #: Places to which squared distances are rounded, so that ties do not hang on the order of a sum.
 PLACES = 9
 
 FOUND = "query_id long, id long, label long, d double"
 
+#: A block of rows: their ids and labels, and their components one row after the other.
+ROWS = "ids array<long>, labels array<long>, v array<double>"
+
 
 def _splits(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
     """Nodes (column, bound, left, right) of a tree that halves the widest column; children below 0 are leaves -1 - number."""
@@ -179,3 +191,107 @@ def nearest_rows(scaled: DataFrame, queries: Column, k: int) -> tuple[DataFrame,
     best = first.union(second).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k)
     looked = asked.select("leaf").union(more.select("leaf")).join(F.broadcast(parts), "leaf").agg(F.coalesce(F.sum("members"), F.lit(0)).alias("opened"))
     return best, looked.withColumn("pairs", F.lit(n * asked.count()).cast("long"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v, label) put together in blocks (ROWS) of BLOCK rows at least, but for the last one of a task."""
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, labels, v = (pa.concat_arrays([b.column(c) for b in held]) for c in ("id", "label", "v"))
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (ids, labels, v.flatten())]
+        return pa.RecordBatch.from_arrays(columns, names=["ids", "labels", "v"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK:
+            yield block(held)
+            held, rows = [], 0
+    if rows:
+        yield block(held)
+
+
+class _Best:
+    """The ``k`` nearest rows so far of each query of a block, by distance and id; what is missing is infinitely far."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        self.ids, self.v, self.k = ids, v, k
+        self.own = (v**2).sum(axis=1)
+        self.d, self.near, self.labels = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max), np.zeros((len(ids), k), np.int64)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, known: np.ndarray) -> None:
+        """Takes in a block of rows, ASKED queries at a time."""
+        all_ = (known**2).sum(axis=1)
+        for at in range(0, len(self.ids), ASKED):
+            part = slice(at, at + ASKED)
+            row, col = self._candidates(part, ids, known, all_)
+            far = self._distances(self.v[part], known, row, col)
+            kept = np.isfinite(far) & (ids[col] != self.ids[part][row])
+            if kept.any():
+                self._put(part, row[kept], far[kept], ids[col[kept]], labels[col[kept]])
+
+    def _candidates(self, part: slice, ids: np.ndarray, known: np.ndarray, all_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be among the nearest: inner products tell distances but for their rounding. What is not a number stays in."""
+        own, most = self.own[part], self.d[part, -1]
+        about = own[:, None] + all_ - 2 * (self.v[part] @ known.T)
+        if len(ids) > self.k and not np.isfinite(most).all():
+            others = np.where(ids == self.ids[part][:, None], np.inf, about)
+            most = np.fmin(most, np.partition(others, self.k - 1, axis=1)[:, self.k - 1])
+        apart = 1e-12 * known.shape[1] * (own + all_.max()) + 4 * 10.0**-PLACES
+        return np.nonzero(~(about > (most + apart)[:, None]))
+
+    @staticmethod
+    def _distances(queries: np.ndarray, known: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        step = max(1, PIECE // max(1, known.shape[1]))
+        made = [((known[col[i : i + step]] - queries[row[i : i + step]]) ** 2).sum(axis=1) for i in range(0, len(row), step)]
+        return np.round(np.concatenate(made), PLACES) if made else np.zeros(0)
+
+    def _put(self, part: slice, row: np.ndarray, far: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        n = len(self.ids[part])
+        rows = np.concatenate([np.repeat(np.arange(n), self.k), row])
+        d, near, named = (np.concatenate([mine[part].ravel(), more]) for mine, more in ((self.d, far), (self.near, ids), (self.labels, labels)))
+        order, counts = np.lexsort((near, d, rows)), np.bincount(rows, minlength=n)
+        first = order[(np.cumsum(counts) - counts)[:, None] + np.arange(self.k)]  # a row has k entries at least
+        self.d[part], self.near[part], self.labels[part] = d[first], near[first], named[first]
+
+    def found(self) -> pa.RecordBatch:
+        known = np.isfinite(self.d)
+        columns = np.broadcast_to(self.ids[:, None], known.shape)[known], self.near[known], self.labels[known], self.d[known]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "label", "d"])
+
+
+def _best_of_pairs(k: int):
+    """The ``k`` best rows for each query over the pairs of blocks of a task, in which one block of queries comes many times in a row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, v, known_ids, labels, known = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("asked_ids", "asked_v", "ids", "labels", "v"))
+                queries = v.reshape(len(ids), -1)
+                if best is None or not (np.array_equal(best.ids, ids) and np.array_equal(best.v, queries)):
+                    if best is not None:
+                        yield best.found()
+                    best = _Best(ids, queries, k)
+                best.meet(known_ids, labels, known.reshape(len(known_ids), -1))
+        if best is not None:
+            yield best.found()
+
+    return rows
+
+
+def nearest_of_all(scaled: DataFrame, queries: Column, k: int) -> DataFrame:
+    """What ``nearest_rows`` finds, by comparing every pair: query_id, id, label, d, r. Rows are told apart by id.
+
+    The product of blocks is not shuffled: a task reads ASKED_BLOCKS blocks of queries and KNOWN_BYTES of rows, and gives
+    out ``k`` rows a query at most.
+    """
+    bounded_batches(scaled.sparkSession)
+    rows = scaled.select("id", "v", "label")
+    known, asked = written(rows.mapInArrow(_blocks, ROWS)), written(rows.where(queries).mapInArrow(_blocks, ROWS))
+    size = known.agg(F.sum(F.size("ids") * 16 + F.size("v") * 8)).first()[0] or 0
+    dealt = asked.select(F.col("ids").alias("asked_ids"), F.col("v").alias("asked_v")).repartition(max(1, -(-asked.count() // ASKED_BLOCKS)))
+    pairs = dealt.hint("shuffle_replicate_nl").crossJoin(known.coalesce(max(1, -(-size // KNOWN_BYTES))))
+    ranked = Window.partitionBy("query_id").orderBy("d", "id")
+    return pairs.mapInArrow(_best_of_pairs(k), FOUND).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k)

@@ -210,7 +210,7 @@ R.add(
 
 def _analog(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
-    return baselines.analog_votes(v, F.col("id") % 20 == 0, 50)
+    return baselines.analog_votes(v, F.lit(True), 50)
 
 
 R.add(
@@ -219,7 +219,7 @@ R.add(
     """WITH e AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 st AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY i),
 z AS (SELECT id, any_value(label) AS label, list((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END ORDER BY i) AS v FROM e JOIN st USING (i) GROUP BY id),
-m AS (SELECT q.id AS query_id, z.id, z.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, z.v), z.id) AS r FROM z JOIN z q ON q.id <> z.id WHERE q.id % 20 = 0)
+m AS (SELECT q.id AS query_id, z.id, z.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, z.v), z.id) AS r FROM z JOIN z q ON q.id <> z.id)
 SELECT query_id, CAST(label AS BIGINT) AS label, count(*) / (SELECT CAST(least(50, count(*) - 1) AS DOUBLE) FROM z) AS share FROM m WHERE r <= 50 GROUP BY ALL""",
     ("share",),
 )
