@@ -1,7 +1,7 @@
 """The scoring chain: regressors of the error, a classifier of the bust, calibration and bands, fitted once, saved and served.
 
-What scores a cycle is made of forecasts alone: lead and spread give each variable's predicted error, the predicted errors
-and spreads the probability. In training the classifier sees predicted errors from other folds of runs only.
+What scores a cycle is made of forecasts alone: lead and spread give each variable's predicted error, and that against its
+usual largest the confidence; predicted errors, confidences and spreads give the probability. In training the classifier sees predicted errors from other folds of runs only.
 """
 
 from __future__ import annotations
@@ -40,13 +40,31 @@ def _given(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lead", F.col("lead_time_days").cast("double"))
 
 
+#: What the classifier is given of each variable.
+OF_VARIABLES = ["pred_err", "conf", "spread"]
+
+
+def _by_variable(numbers: dict[str, float]) -> Column:
+    """The row's variable's number; null without one above 0."""
+    found = F.lit(None).cast("double")
+    for v, x in numbers.items():
+        found = F.when((F.col("variable") == v) & F.lit(x > 0), F.lit(x)).otherwise(found)
+    return found
+
+
+def _rated(rows: DataFrame, p90: dict[str, float]) -> DataFrame:
+    """Adds conf: the confidence of pred_err; null where there is no error predicted, or no usual one."""
+    error, usual = F.col("pred_err"), _by_variable(p90)
+    return rows.withColumn("conf", F.when(error.isNotNull() & usual.isNotNull(), events.confidence(error, usual)))
+
+
 def _frame(rows: DataFrame, variables: list[str], *more: Column) -> DataFrame:
-    """One row an event: lead, predicted error and spread of each variable, and ``more`` aggregates."""
-    return events.pivot(rows, variables, ["pred_err", "spread"], *more).withColumn("lead", F.col("lead_time_days").cast("double"))
+    """One row an event: lead, predicted error, confidence and spread of each variable, and ``more`` aggregates."""
+    return events.pivot(rows, variables, OF_VARIABLES, *more).withColumn("lead", F.col("lead_time_days").cast("double"))
 
 
 def _columns(variables: list[str]) -> list[str]:
-    return ["lead", *[f"{c}_{v}" for v in variables for c in ("pred_err", "spread")]]
+    return ["lead", *[f"{c}_{v}" for v in variables for c in OF_VARIABLES]]
 
 
 def _numbers(rows: DataFrame, name: str) -> dict[str, float]:
@@ -64,14 +82,14 @@ def fit_scorer(rows: DataFrame, labels: DataFrame, variables: list[str], trees:
     kept = [*EVENT_KEYS, "variable", "spread"]
     apart = models.predicted_apart(given, fits, "variable", variables, k).select(*kept, F.col("predicted").alias("pred_err"))
     others = given.where(~F.coalesce(F.col("variable").isin(variables), F.lit(False))).select(*kept, F.lit(None).cast("double").alias("pred_err"))
-    frame = written(_frame(apart.unionByName(others), variables).join(labels.select(*EVENT_KEYS, "y"), EVENT_KEYS))
+    usual = _numbers(events.thresholds(given, "actual_err", 0.9, "p90"), "p90")
+    frame = written(_frame(_rated(apart.unionByName(others), usual), variables).join(labels.select(*EVENT_KEYS, "y"), EVENT_KEYS))
     columns = _columns(variables)
     held = models.fold_of(F.col("init_date"), 3) == 2
     classifier = models.fitted_classifier(frame.where(~held), columns, trees)
     raw = written(models.raw_probability(classifier, frame).select("init_date", "y", "raw_p"))
     calibration = models.platt_fit(raw.where(held))
     cuts = events.band_cuts(models.platt_applied(raw, calibration), "p").first()
-    usual = _numbers(events.thresholds(given, "actual_err", 0.9, "p90"), "p90")
     return Scorer(
         variables, regressors, classifier, calibration,
         usual, dict(usual), (cuts["medium"], cuts["high"]), columns,
@@ -110,22 +128,19 @@ def predicted(scorer: Scorer, rows: DataFrame) -> DataFrame:
         else:
             part = mine.select(*EVENT_KEYS, "variable", "spread", F.lit(None).cast("double").alias("pred_err"))
         out = part if out is None else out.unionByName(part)
-
-    def number(table: dict[str, float]) -> Column:
-        found = F.lit(None).cast("double")
-        for v, x in table.items():
-            found = F.when((F.col("variable") == v) & F.lit(x > 0), F.lit(x)).otherwise(found)
-        return found
-
-    return out.withColumns({"conf": events.confidence(F.col("pred_err"), number(scorer.p90)), "ratio": F.try_divide(F.col("pred_err"), number(scorer.thresholds))})
+    return _rated(out, scorer.p90).withColumn("ratio", F.try_divide(F.col("pred_err"), _by_variable(scorer.thresholds)))
 
 
 def score(scorer: Scorer, rows: DataFrame) -> DataFrame:
-    """Scores the events of ``rows`` (keys, variable, spread): keys, p, band, dominant_variable (null if no error is predicted)."""
+    """Scores the events of ``rows`` (keys, variable, spread): keys, p, band, dominant_variable, confidence.
+
+    The last two are null if no error is predicted; confidence is the mean of the variables that have one.
+    """
     # numbers alone are aggregated, all in one pass; the largest ratio is told from them, by name on ties
     least = [F.min(F.when(F.col("variable") == v, -F.col("ratio"))).alias(f"_least{i}") for i, v in enumerate(scorer.variables)]
     frame = _frame(predicted(scorer, rows), scorer.variables, *least)
     top = F.array_min(F.array(*[F.when(F.col(f"_least{i}").isNotNull(), F.struct(F.col(f"_least{i}").alias("r"), F.lit(v).alias("v"))) for i, v in enumerate(scorer.variables)]))
     p = models.platt_applied(models.raw_probability(scorer.classifier, frame), scorer.calibration)
     banded = p.withColumn("band", events.band(F.col("p"), F.lit(scorer.cuts[0]), F.lit(scorer.cuts[1])))
-    return banded.select(*EVENT_KEYS, "p", "band", top["v"].alias("dominant_variable"))
+    mean, _ = events.across([F.col(f"conf_{v}") for v in scorer.variables])
+    return banded.select(*EVENT_KEYS, "p", "band", top["v"].alias("dominant_variable"), mean.alias("confidence"))

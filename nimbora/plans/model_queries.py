@@ -61,13 +61,13 @@ R.add("feature_importance", lambda s, d: models.importances(framed(s, d).withCol
 R.add("baseline_logistic", lambda s, d: models.logistic(*_halves(s, d), ["lead_time_days"]).select(*EVENT, "y", "p"))
 R.add("baseline_idr", lambda s, d: models.isotonic(*_halves(s, d), "spread_view").select(*EVENT, "y", "p"))
 def _scored_chain(s: SparkSession, d: str) -> DataFrame:
-    """Bands of every run, by a chain fitted on the runs of first half-months, saved and loaded again."""
+    """Bands and mean confidence of every run, by a chain fitted on the runs of first half-months, saved and loaded again."""
     path = f"{shared_folder(s)}/nimbora-{uuid.uuid4().hex}"
     rows, labels = labelled_tables(s, d)
     early = "dayofmonth(init_date) <= 15"
     scoring.save_scorer(scoring.fit_scorer(rows.where(early), labels.where(early), VARIABLES, trees=3, k=2, embargo=2), s, path)
     found = scoring.score(scoring.load_scorer(s, path), rows.where(f"NOT {early}").drop("actual_err"))
-    return found.groupBy("init_date", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.count("dominant_variable").alias("n_dominant"))
+    return found.groupBy("init_date", "band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.count("dominant_variable").alias("n_dominant"), F.avg("confidence").alias("mean_confidence"))
 
 
 R.add("score_cycle", _scored_chain)
